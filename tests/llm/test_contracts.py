@@ -105,6 +105,20 @@ def test_op10_base_spans(spark, table):
         assert i is None or set(filter(None, joined.split(","))) <= set(by[i].split(","))
 
 
+def test_op5_against_library(spark, table):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    folder, docs = table
+    listed = [(i, e.ids + [2]) for (i, _), e in zip(docs, own.encode_batch([t for _, t in docs], add_special_tokens=False), strict=True)]
+    expected, start = [], 0
+    for i, ids in sorted(listed, key=lambda x: (x[0] is not None, x[0])):
+        expected.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert by_id(run(spark, "op5_token_output", folder)) == sorted(expected, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels"):

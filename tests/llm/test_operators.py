@@ -1,0 +1,96 @@
+"""Operators against brute force on small fixtures."""
+
+import random
+
+import numpy as np
+import pytest
+
+from unitflow.llm import bpe, decontamination, token_counts, token_output
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_dac_reads_any_token():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.integers(0, 300, 2000), rng.integers(0, 1 << 32, 50), [0, 255, 256, (1 << 32) - 1]])
+    rng.shuffle(ids)
+    own = token_output.DacFile(token_output.file_bytes(np.array([1, 2]), np.array([3, len(ids) - 3]), ids))
+    assert own.all_tokens().tolist() == ids.tolist()
+    assert [own.token(i) for i in range(len(ids))] == ids.tolist()
+    empty = token_output.DacFile(token_output.file_bytes(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert empty.all_tokens().tolist() == []
+
+
+def test_bpe_decode_and_offsets(spark):
+    texts = ["don't  stop", "", None, "a\n\nb", "é 漢"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    got = {r.doc_id: r for r in bpe.encode(docs, path, offsets=True).collect()}
+    assert np.frombuffer(got[0].offsets, "<u4").tolist() == [0, 3, 5, 6]
+    back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+
+
+def brute_split(word, pieces, byte_score):
+    best = [(0.0, 0)] + [None] * len(word)
+    for d in range(1, len(word) + 1):
+        n = len(word[d - 1].encode())
+        options = [(best[d - 1][0] + n * byte_score, best[d - 1][1] + n)]
+        options += [(best[j][0] + pieces[word[j:d]], best[j][1] + 1) for j in range(d) if word[j:d] in pieces]
+        best[d] = max(options, key=lambda o: (o[0], -o[1]))
+    return best[-1]
+
+
+def test_token_counts_by_brute_force(spark):
+    path = "/opt/tokenizers/piece_bpe_32k.model"
+    pieces, byte_score = token_counts.zipf_pieces(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.union(spark.createDataFrame([(None, None, "x", "s", 0), (-1, "", "x", "s", 0), (-2, "漢字 😀\U0001f9ff re re", "x", "s", 0)], docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in token_counts.count_tokens(docs, path).collect():
+        splits = [brute_split("▁" + w, pieces, byte_score) for w in token_counts.words_of(texts[r.doc_id] or "")]
+        assert (r.n_words, r.n_tokens) == (len(splits), sum(n for _, n in splits))
+        assert r.log_prob == pytest.approx(sum(s for s, _ in splits))
+
+
+def brute_coverage(text, item):
+    """Greedy string tiling by trying every pair of places."""
+    a, b = decontamination.tokens_of(text), decontamination.tokens_of(item)
+    used_a, used_b, covered = set(), set(), 0
+    least = min(decontamination.SEED, len(b))
+    while b:
+        best = None
+        for p in range(len(a)):
+            for q in range(len(b)):
+                n = 0
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n] and p + n not in used_a and q + n not in used_b:
+                    n += 1
+                if n >= least and (best is None or (n, -p, -q) > best):
+                    best = (n, -p, -q)
+        if best is None:
+            break
+        n, p, q = best[0], -best[1], -best[2]
+        used_a.update(range(p, p + n))
+        used_b.update(range(q, q + n))
+        covered += n
+    return covered / len(b) if b else 0
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 20, 30])))) for i in range(12)] + [(99, None), (98, "")]
+    texts = []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(0, 25))
+        own = rng.choice(items[:12])[1].split()
+        cut = rng.randint(0, len(own))
+        texts.append((i, " ".join([*words, *own[cut:], "X", *own[:cut], *words])))
+    texts += [(None, items[2][1]), (61, None), (62, "")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = {(d, i): c for d, t in texts for i, s in items if (c := brute_coverage(t or "", s or "")) >= 0.5}
+    for size in (16 << 20, 200):
+        got = {(r.doc_id, r.item_id): r.coverage for r in decontamination.contaminated(docs, bench, block_bytes=size).collect()}
+        assert got == pytest.approx(expected)
+    clean = sorted(str(r.doc_id) for r in decontamination.remove(docs, bench).collect())
+    assert clean == sorted(str(d) for d, _ in texts if all(d != x for x, _ in expected))
