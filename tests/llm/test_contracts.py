@@ -1,6 +1,7 @@
 """The contract columns of the numbered queries against plain Python over a small table of hard cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -105,6 +106,25 @@ def test_op10_base_spans(spark, table):
         assert i is None or set(filter(None, joined.split(","))) <= set(by[i].split(","))
 
 
+def test_op4_base_scores(spark, table):
+    folder, docs = table
+    tokens = {}
+    listed = []
+    for i, text in docs:
+        own = [w.encode() for w in words_of(text.translate({c: c + 32 for c in range(65, 91)}))] + [b" end"]
+        held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+        listed.append((i, held, own))
+        if not held:
+            for w in own:
+                tokens[w] = tokens.get(w, 0) + 1
+    n, v = sum(tokens.values()), len(tokens)
+    expected = sorted(((i, held, len(own), sum(w in tokens for w in own), n, round(sum(math.log10((tokens.get(w, 0) + 1) / (n + v + 1)) for w in own), 6)) for i, held, own in listed), key=str)
+    got = run(spark, "op4_lm_scoring", folder)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=str) == expected
+    if folder == SF:
+        assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
+
+
 def test_op5_against_library(spark, table):
     import public_tokenizers as P
     from tokenizers import Tokenizer

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitflow.llm import bpe, decontamination, quality_rules, secret_scan, token_counts, token_output
+from unitflow.llm import bpe, decontamination, lm_scoring, near_dedup, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
 from unitflow.llm.shared import read
 
 #: The folder of the public tokenizers' files; a parameter of every operator that reads them.
@@ -29,11 +29,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_tokens", "log_prob")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_output.output(read(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
     return token_output.read_back(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_tokens", "perplexity", "limit", "kept")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -49,6 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
     "op5_token_output": op5_token_output,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
