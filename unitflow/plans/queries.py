@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitflow.functions import ids, scripts
+from unitflow.functions import ids, masks, scripts
 from unitflow.operators import batching, glossary, review, rules, store
 from unitflow.sources import lines as line_sources
+from unitflow.sources import markup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -467,3 +468,19 @@ def natural_order(spark, sf_dir):
     own = units(spark, sf_dir).withColumn("bare", F.concat(F.lit("Map/"), "pos", F.lit("/x")))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(scripts.natural_key(F.col("bare"))))
     return own.select("doc_id", "pos", rank.cast("long").alias("rank"))
+
+
+@query()
+def html_leaf_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return markup.html_units(pages, F.lit("auto"), "html", "page_id").select("page_id", "index", "location", "context", "id", F.array_join("original_lines", "\n").alias("text"))
+
+
+@query(UNITS_SQL + r"SELECT doc_id, pos, '[CTRL_0]' || line || ' [CTRL_1]' AS masked, 2::BIGINT AS n_literals, 1::BIGINT AS lost, '\C[' || pos || ']' || line || ' {name}' AS back FROM units WHERE NOT regexp_matches(line, '[\\{}%<>\[\]]')")
+def mask_and_lost_tokens(spark, sf_dir):
+    """A control and a placeholder around each line without such characters of its own: masked, restored, and one of them lost."""
+    own = units(spark, sf_dir).where(~F.col("line").rlike(r"[\\{}%<>\[\]]"))
+    own = own.withColumn("full", F.concat(F.lit("\\C["), "pos", F.lit("]"), "line", F.lit(" {name}"))).withColumn("m", masks.masked(F.array("full")))
+    done = F.array(F.concat(F.lit("{name} "), F.upper("line")))
+    own = own.select("doc_id", "pos", "m", masks.lost(done, F.col("m.literals")).alias("lost"), masks.unmasked(F.col("m.masked"), F.col("m.literals")).alias("back"))
+    return own.select("doc_id", "pos", F.col("m.masked")[0].alias("masked"), F.size("m.literals").cast("long").alias("n_literals"), "lost", F.col("back")[0].alias("back"))
