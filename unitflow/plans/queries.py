@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from unitflow.functions import ids, masks, scripts
 from unitflow.operators import batching, glossary, review, rules, store
+from unitflow.sinks import render
 from unitflow.sources import lines as line_sources
-from unitflow.sources import markup
+from unitflow.sources import markup, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,3 +485,41 @@ def mask_and_lost_tokens(spark, sf_dir):
     done = F.array(F.concat(F.lit("{name} "), F.upper("line")))
     own = own.select("doc_id", "pos", "m", masks.lost(done, F.col("m.literals")).alias("lost"), masks.unmasked(F.col("m.masked"), F.col("m.literals")).alias("back"))
     return own.select("doc_id", "pos", F.col("m.masked")[0].alias("masked"), F.size("m.literals").cast("long").alias("n_literals"), "lost", F.col("back")[0].alias("back"))
+
+
+@query(r"""
+SELECT doc_id, 'r000000/1' AS location, 'short_text' AS item_type, 'text' AS cell FROM documents
+UNION ALL SELECT doc_id, 'r000001/1', CASE WHEN contains(text, chr(10)) THEN 'long_text' ELSE 'short_text' END, text FROM documents WHERE length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 3""")
+def csv_cells(spark, sf_dir):
+    """Each text as a quoted cell after its id, under a header."""
+    made = F.concat(F.lit("id,text\r\n"), F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n'))
+    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return tables.csv_units(df, F.lit("en"), "text", "doc_id").select("doc_id", "location", "item_type", F.array_join("original_lines", "\n").alias("cell"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, 'e' || lpad(k::VARCHAR, 5, '0') AS location, 's' || lpad((k // 40)::VARCHAR, 4, '0') AS context, line AS msgid FROM l WHERE length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 3""")
+def po_entries(spark, sf_dir):
+    """Each line of a text as a catalogue's entry, after a header."""
+    quoted = lambda x: F.concat(F.lit('msgid "'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"\nmsgstr ""'))
+    made = F.concat(F.lit('msgid ""\nmsgstr "x"\n\n'), F.array_join(F.transform(F.split("text", "\n"), quoted), "\n\n"))
+    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+    return tables.po_units(df, F.lit("en"), "text", "doc_id").select("doc_id", "location", "context", F.array_join("original_lines", "\n").alias("msgid"))
+
+
+@query(r"""
+WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events), v AS (SELECT event_id, path, json_extract(props, '$."' || path || '"') AS j FROM k)
+SELECT event_id, path, CASE WHEN json_type(j) = 'VARCHAR' THEN 'string' WHEN json_type(j) = 'BOOLEAN' THEN 'boolean' WHEN json_type(j) = 'NULL' THEN 'null' ELSE 'number' END AS kind, CASE WHEN json_type(j) = 'VARCHAR' THEN j ->> '$' END AS value FROM v""")
+def json_leaves(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "props")
+    return tables.exploded(df, "props", ("event_id",), "leaf long, path string, value string, kind string", tables.json_leaves).select("event_id", "path", "kind", "value")
+
+
+@query(UNITS_SQL + """
+, new AS (SELECT l.doc_id, l.pos, CASE WHEN u.pos IS NOT NULL THEN '<' || l.line || '>' ELSE l.line END AS line FROM lines l LEFT JOIN units u ON u.doc_id = l.doc_id AND u.pos = l.pos)
+SELECT d.doc_id, coalesce(x.text || CASE WHEN ends_with(d.text, chr(10)) THEN chr(10) ELSE '' END, d.text) AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM new GROUP BY doc_id) x ON x.doc_id = d.doc_id""")
+def render_txt(spark, sf_dir):
+    """Texts with each unit's line replaced."""
+    own = units(spark, sf_dir).select("doc_id", "pos", F.lit("").alias("prefix"), F.concat(F.lit("<"), "line", F.lit(">")).alias("target"))
+    return render.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), own, ["doc_id"])
