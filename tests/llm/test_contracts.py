@@ -7,10 +7,14 @@ import re
 import struct
 import zlib
 
+import duckdb
 import pytest
 
 from unitflow.llm import queries
-from unitflow.llm.shared import words_of
+
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,6 +143,19 @@ def test_op5_against_library(spark, table):
     assert by_id(run(spark, "op5_token_output", folder)) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, table, name):
+    folder, _ = table
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from read_parquet('{folder}/documents.parquet{'' if folder == SF else '/*.parquet'}')")
+    want = db.sql(queries.ORACLE_SQL[name])
+    got = run(spark, name, folder)
+    assert sorted(want.columns) == sorted(got[0])
+    expected = [dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]
+    line = lambda rows: sorted(str([r[c] for c in sorted(r)]) for r in rows)
+    assert line(got) == line(expected)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels"):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.llm import bpe, decontamination, lm_scoring, near_dedup, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
+from unitflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from unitflow.llm.shared import read
 
 #: The folder of the public tokenizers' files; a parameter of every operator that reads them.
@@ -73,4 +74,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -100,7 +100,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 for w in sorted(missing):
                     if len(trie.best) > MAX_NODES:
                         trie.clear()
-                    kept[w] = trie.insert(MARK + w)
+                    kept[w] = trie.insert(MARK + w.decode())
                 for words in listed:
                     found = [kept[w] for w in words]
                     rows.append((len(words), sum(n for n, _ in found), math.fsum(s for _, s in found)))
