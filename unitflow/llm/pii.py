@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.shared import materialize
+from unitflow.llm.shared import free_name, materialize
 
 KEY = "unitflow"
 MALE = "Mr|Herr|Monsieur|Señor"
@@ -55,6 +55,11 @@ VOWELS = "a e i o u".split()
 ENDS = {"given_m": "an as el en ian in on or us yn".split(), "given_f": "a ana ea elle ena ia ie ina ine ora".split(), "surname": "berg dale ford ham ley man mont ner stein ton well wood".split()}
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once and named once in the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _byte(stream: Column, i: Column) -> Column:
     """The i-th byte of a hexadecimal stream, which repeats."""
     return F.conv(F.substring(stream, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -75,21 +80,30 @@ def _other(c: Column, r: Column) -> Column:
 
 def _core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form."""
-    stream = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
-    chars = F.array_join(F.transform(F.split(norm, ""), lambda c, i: _other(c, _byte(stream, i))), "")
-    kept_first = F.concat(F.substring(norm, F.lit(1), F.lit(1)), F.substring(chars, F.lit(2), F.char_length(norm)))
+    drawn = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
+    return _let(drawn, lambda stream: _let(F.array_join(F.transform(F.split(norm, ""), lambda c, i: _other(c, _byte(stream, i))), ""), lambda chars: _of_kind(kind, norm, attempt, stream, chars)))
+
+
+def _of_kind(kind: Column, norm: Column, attempt: Column, stream: Column, chars: Column) -> Column:
+    """chars, the normal form with other characters, or what a kind asks for instead."""
+    tail = lambda n: F.substring(chars, F.lit(n), F.char_length(norm))
+    phone = F.concat(F.substring(norm, F.lit(1), F.lit(1)), tail(2))
+    iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), tail(3))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (1 + F.pmod(_byte(stream, k), F.lit(254))).cast("string")), ".")
-    body = F.substring(kept_first, F.lit(1), F.char_length(norm) - 1)
-    twice = lambda d: F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
-    digits = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int")))
-    check = F.pmod(10 - F.aggregate(digits, F.lit(0), lambda s, d: s + d) % 10, F.lit(10))
-    iban = F.concat(F.substring(norm, F.lit(1), F.lit(2)), F.substring(chars, F.lit(3), F.char_length(norm)))
     r = lambda k: _byte(stream, F.lit(k))
     more = F.when(attempt > 0, F.concat(_pick(ONSETS, r(8)), _pick(VOWELS, r(9)))).otherwise(F.lit(""))  # more names once these run out
     syllables = F.concat(_pick(ONSETS, r(0)), _pick(VOWELS, r(1)), _pick(ONSETS, r(2)), _pick(VOWELS, r(3)), more, _pick(ONSETS, r(4)))
-    name = F.concat(syllables, F.when(kind == "given_m", _pick(ENDS["given_m"], r(5))).when(kind == "given_f", _pick(ENDS["given_f"], r(5))).otherwise(_pick(ENDS["surname"], r(5))))
-    named = F.when(norm.rlike(r"^\p{IsLatin}+$"), name).otherwise(chars)
-    return F.when(kind == "email", chars).when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "phone", kept_first).when(kind == "ssn", chars).otherwise(named)
+    ends = F.when(kind == "given_m", _pick(ENDS["given_m"], r(5))).when(kind == "given_f", _pick(ENDS["given_f"], r(5))).otherwise(_pick(ENDS["surname"], r(5)))
+    named = F.when(kind.isin("given_m", "given_f", "surname") & norm.rlike(r"^\p{IsLatin}+$"), F.concat(syllables, ends))
+    card = _let(F.left(phone, F.char_length(norm) - 1), lambda body: F.concat(body, _check_digit(body)))
+    return F.when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).otherwise(F.coalesce(named, chars))
+
+
+def _check_digit(body: Column) -> Column:
+    """The digit that makes a card number's weighted sum a multiple of ten."""
+    twice = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+    digits = F.transform(F.split(F.reverse(body), ""), lambda c, i: F.when(i % 2 == 0, twice(c.cast("int"))).otherwise(c.cast("int")))
+    return F.pmod(-F.aggregate(digits, F.lit(0), lambda s, d: s + d), F.lit(10)).cast("string")
 
 
 def _kind(hit: Column) -> Column:
@@ -122,15 +136,19 @@ def _shaped(like: Column, core: Column) -> Column:
 
 def _surrogate(hit: Column, redrawn: Column, key: str) -> Column:
     """The replacement of a match; redrawn maps entities to the attempt that is free of collisions, if not the first."""
-    parts = _parts(hit)
-    cores = F.transform(parts, lambda e: _core(e["kind"], e["norm"], F.coalesce(F.try_element_at(redrawn, _name_of(e)), F.lit(0)), key))
-    kind, core, words = parts[0]["kind"], cores[0], F.split(hit, " ")
+    core = lambda e: F.struct(e["kind"].alias("kind"), _core(e["kind"], e["norm"], F.coalesce(F.try_element_at(redrawn, _name_of(e)), F.lit(0)), key).alias("core"))
+    return _let(F.transform(_parts(hit), core), lambda cores: _written(hit, cores))
+
+
+def _written(hit: Column, cores: Column) -> Column:
+    """A match with the surrogates of its entities in its own format."""
+    kind, core, words = cores[0]["kind"], cores[0]["core"], F.split(hit, " ")
     cased = lambda c, s: F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(s)).otherwise(s)
-    by_place = F.array_join(F.transform(F.split(hit, ""), lambda c, i: cased(c, F.substring(core, i + 1, F.lit(1)))), "")
     rank = lambda i: F.char_length(F.regexp_replace(F.substring(hit, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-    by_rank = F.array_join(F.transform(F.split(hit, ""), lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), cased(c, F.substring(core, rank(i), F.lit(1)))).otherwise(c)), "")
-    both = F.concat_ws(" ", words[0], _shaped(words[1], cores[0]), F.when(F.size(words) > 2, _shaped(F.element_at(words, -1), F.element_at(cores, -1))))
-    return F.when(kind == "email", by_place).when(kind == "ip", core).when(kind.isin("surname", "given_m", "given_f"), both).otherwise(by_rank)
+    place = lambda i: F.when(kind == "email", i + 1).otherwise(rank(i))
+    put = F.transform(F.split(hit, ""), lambda c, i: F.when((kind == "email") | c.rlike(r"[\p{L}\p{N}]"), cased(c, F.substring(core, place(i), F.lit(1)))).otherwise(c))
+    named = F.concat_ws(" ", words[0], _shaped(words[1], core), F.when(F.size(words) > 2, _shaped(F.element_at(words, -1), F.element_at(cores, -1)["core"])))
+    return F.when(kind == "ip", core).when(kind.isin("surname", "given_m", "given_f"), named).otherwise(F.array_join(put, ""))
 
 
 def _hits(text: Column) -> Column:
@@ -170,18 +188,17 @@ def replace(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col:
     """
     text = F.col(text_col).cast("string")
     redrawn = surrogates(entities(docs, text_col), key).where("attempt > 0").select(F.concat_ws(":", "kind", "norm").alias("entity"), "attempt")
-    empty = F.lit(None).cast("map<string,int>")
     columns = docs.columns
+    hash_, map_, hits, new = (free_name(docs, f"__{n}") for n in ("hash", "redrawn", "hits", "new"))
     if redrawn.isEmpty():
-        df = docs.withColumn("__redrawn", empty)
+        df = docs.withColumn(map_, F.lit(None).cast("map<string,int>"))
     else:
         hit = docs.select(_hits(text).alias("hits"), text.alias("t")).where(F.size("hits") > 0)
-        named = hit.select(F.xxhash64("t").alias("__hash"), F.explode(F.array_distinct(F.transform(F.flatten(F.transform("hits", _parts)), _name_of))).alias("entity"))
-        maps = named.join(redrawn, "entity").distinct().groupBy("__hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__redrawn"))
-        df = docs.withColumn("__hash", F.xxhash64(text)).join(maps, "__hash", "left")
-    df = df.withColumn("__hits", _hits(text))
-    new = F.transform("__hits", lambda h: _surrogate(h, F.col("__redrawn"), key))
-    df = df.withColumn("__new", F.when(F.size("__hits") > 0, new))
-    woven = F.array_join(F.transform(F.split(text, ANY), lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__new"), i), F.lit("")))), "")
-    replaced = F.when(F.col("__new").isNull(), text).otherwise(woven)
-    return df.select(*((replaced if c == text_col else F.col(f"`{c}`")).alias(c) for c in columns), *([F.size("__hits").cast("long").alias(count_col)] if count_col else []))
+        named = hit.select(F.xxhash64("t").alias(hash_), F.explode(F.array_distinct(F.transform(F.flatten(F.transform("hits", _parts)), _name_of))).alias("entity"))
+        maps = named.join(redrawn, "entity").distinct().groupBy(hash_).agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias(map_))
+        df = docs.withColumn(hash_, F.xxhash64(text)).join(maps, hash_, "left")
+    df = df.withColumn(hits, _hits(text))
+    df = df.withColumn(new, F.when(F.size(hits) > 0, F.transform(hits, lambda h: _surrogate(h, F.col(map_), key))))
+    woven = F.array_join(F.transform(F.split(text, ANY), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i), F.lit("")))), "")
+    replaced = F.when(F.col(new).isNull(), text).otherwise(woven)
+    return df.select(*((replaced if c == text_col else F.col(f"`{c}`")).alias(c) for c in columns), *([F.size(hits).cast("long").alias(count_col)] if count_col else []))

@@ -58,6 +58,14 @@ def chunked(lengths, limit: int):
         yield start, len(lengths)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a working column that no column of df has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads; other columns, whatever their names, cannot clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
