@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitflow.functions import ids, masks, scripts
-from unitflow.operators import batching, glossary, review, rules, store
+from unitflow.functions import ids, kana, masks, scripts
+from unitflow.operators import batching, glossary, layout, review, rules, store
 from unitflow.sinks import render
 from unitflow.sources import lines as line_sources
 from unitflow.sources import markup, tables
@@ -523,3 +523,59 @@ def render_txt(spark, sf_dir):
     """Texts with each unit's line replaced."""
     own = units(spark, sf_dir).select("doc_id", "pos", F.lit("").alias("prefix"), F.concat(F.lit("<"), "line", F.lit(">")).alias("target"))
     return render.lines(table(spark, sf_dir, "documents").select("doc_id", "text"), own, ["doc_id"])
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'edge' WHEN 1 THEN 'mixed' WHEN 2 THEN 'untranslated' WHEN 3 THEN 'mixed' END AS kind FROM documents""")
+def kana_kind(spark, sf_dir):
+    """A line of each kind after each text's first line; one in five has none."""
+    k = F.col("doc_id") % 5
+    made = F.when(k == 0, "你好っ").when(k == 1, "你们好っす").when(k == 2, "これはテストです").when(k == 3, "hello ね").otherwise("plain")
+    target = F.when(k == 3, "en").otherwise("zh")
+    df = table(spark, sf_dir, "documents").select("doc_id", F.array(F.regexp_extract("text", r"\A[^\n]*", 0), made).alias("lines"), target.alias("target"))
+    return df.select("doc_id", kana.kana_kind(F.col("lines"), F.col("target")).alias("kind"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, source, lang, CASE WHEN doc_id % 2 = 0 THEN '【' || source || '】' ELSE '[' || lang || ']' END AS label FROM documents)
+SELECT left(label, 1) AS open, right(label, 1) AS close, count(*) AS n_units, count(DISTINCT label) AS n_labels, array_to_string(list_sort(list(DISTINCT source)), ',') AS domains, min(label) AS sample FROM l GROUP BY 1, 2""")
+def layout_shapes(spark, sf_dir):
+    """Each document under a label of its source or language."""
+    label = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("【"), "source", F.lit("】"))).otherwise(F.concat(F.lit("["), "lang", F.lit("]")))
+    df = table(spark, sf_dir, "documents").select(F.array(label, "text").alias("original_lines"), F.col("source").alias("domain"))
+    return layout.propose(layout.label_shapes(df))
+
+
+@query("""
+SELECT lang, count(*) AS n_units, count(*) * 2 AS n_controls, count(*) FILTER (doc_id % 3 = 0) AS lossy_units, count(*) FILTER (doc_id % 3 = 0) AS lost FROM documents GROUP BY lang""")
+def control_loss_rate(spark, sf_dir):
+    """Two controls before each text's language; every third translation keeps one."""
+    source = F.array(F.concat(F.lit("\\C[1]{name} "), "lang"))
+    done = F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("\\C[1] done")).otherwise(F.lit("{name} \\C[1] done")))
+    df = table(spark, sf_dir, "documents").select("doc_id", "lang", masks.masked(source).alias("m"), done.alias("done"))
+    df = df.select("lang", F.size("m.literals").alias("n"), masks.lost("done", "m.literals").alias("lost"))
+    return df.groupBy("lang").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_controls"), F.count_if(F.col("lost") > 0).alias("lossy_units"), F.sum("lost").alias("lost"))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT conv_id, turn, length(coalesce(lag(text) OVER w, '')) AS size, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ p AS (SELECT conv_id, turn, k, least(size, 240) AS given, 1200 - least(size, 240) AS remaining FROM n WHERE k = 1
+  UNION ALL SELECT n.conv_id, n.turn, n.k, least(n.size, 240, p.remaining), p.remaining - least(n.size, 240, p.remaining) FROM p JOIN n ON n.conv_id = p.conv_id AND n.k = p.k + 1)
+SELECT conv_id, turn, given::BIGINT AS given, remaining::BIGINT AS remaining FROM p""")
+def context_budget(spark, sf_dir):
+    """Characters of the turn before that each turn of a conversation gets of a shared budget of 1,200, at most 240 each."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    df = table(spark, sf_dir, "conversations").withColumn("size", F.char_length(F.coalesce(F.lag("text").over(w), F.lit(""))))
+    asked = F.sum(F.least("size", F.lit(240))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    remaining = F.greatest(F.lit(1200) - asked, F.lit(0))
+    before = F.greatest(F.lit(1200) - (asked - F.least("size", F.lit(240))), F.lit(0))
+    return df.select("conv_id", "turn", (before - remaining).alias("given"), remaining.alias("remaining"))
+
+
+@query("""
+SELECT event_id, CASE WHEN json_type(props) <> 'OBJECT' THEN 'other' WHEN 5 * len(list_filter(json_keys(props), lambda k: json_type(json_extract(props, '$."' || k || '"')) = 'VARCHAR')) >= 4 * len(json_keys(props)) THEN 'texts' ELSE 'values' END AS shape FROM events""")
+def json_shape_detect(spark, sf_dir):
+    """Whether four fifths of an object's leaves are strings."""
+    leaves = tables.exploded(table(spark, sf_dir, "events").select("event_id", "props"), "props", ("event_id",), "leaf long, path string, value string, kind string", tables.json_leaves)
+    n = leaves.groupBy("event_id").agg(F.count_if(F.col("kind") == "string").alias("strings"), F.count("*").alias("n"))
+    return n.select("event_id", F.when(5 * F.col("strings") >= 4 * F.col("n"), "texts").otherwise("values").alias("shape"))
