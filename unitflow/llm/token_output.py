@@ -118,6 +118,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(2)
+def _kept(path: str) -> dict[bytes, bytes]:
+    """A worker's cache, which its later tasks go on with."""
+    return {}
+
+
 def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian uint32 or, where the vocabulary fits, uint16), the end id last.
 
@@ -132,7 +138,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        own, kept, last = _tokenizer(vocabulary), {}, array(kind, [end_id]).tobytes()
+        own, kept, last = _tokenizer(vocabulary), _kept(vocabulary), array(kind, [end_id]).tobytes()
         for batch in batches:
             texts, out = ["" if t is None else t for t in batch.column(1).to_pylist()], []
             for low, high in chunked([len(t) for t in texts], CHUNK_CHARS):
