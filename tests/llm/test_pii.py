@@ -57,3 +57,14 @@ def test_key_decides(spark):
     df = spark.createDataFrame([("me@example.com",)], "text string")
     one, again, other = (pii.replace(df, key=k).first().text for k in ("a", "a", "b"))
     assert one == again != other
+
+
+def test_other_scripts(spark):
+    """Scripts with and without an alphabet of their own: every address and name is replaced, and none stops the job."""
+    found = ["사용자@도메인.한국", "محمد@مثال.شبكة", "שלום@דואר.ישראל", "ሰላም@ሰላም.ኢትዮ", "Պետրոսյան", "ᎠᎡᎢ@ᎣᎤ.ᎥᎦ", "სახლი@ფოსტა.გე"]
+    df = spark.createDataFrame([(f"to {'Mr ' if '@' not in x else ''}{x} now",) for x in found], "text string")
+    table = pii.surrogates(pii.entities(df)).collect()
+    assert len(table) == len(found) and not {r.core for r in table} & {r.norm for r in table}
+    texts = [r.text for r in pii.replace(df).collect()]
+    assert all(x not in "".join(texts) for x in found)
+    assert re.fullmatch(r"to [가-힣]{3}@[가-힣]{3}\.[가-힣]{2} now", texts[0]) and re.fullmatch(r"to [ء-ي]{4}@[ء-ي]{4}\.[ء-ي]{4} now", texts[1])

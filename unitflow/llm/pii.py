@@ -35,7 +35,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 MAX_ROUNDS = 30
-#: Characters that may stand for another: of the same script and case.
+#: Characters that may stand for another: of the same script and case, or Latin ones for a script that is not listed, so that a redraw always
+#: draws every letter and digit anew.
 ALPHABETS = {
     "[0-9]": "0123456789",
     "[a-z]": "abcdefghijklmnopqrstuvwxyz",
@@ -49,6 +50,16 @@ ALPHABETS = {
     r"\p{IsHan}": "安白陈东方高何江金李林马明平田王文武小新杨张中周",
     r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにのはまみもやゆよりるれ",
     r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニノハマミモヤユヨリルレ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오조주지기미시은정",
+    r"[\p{IsArabic}&&\p{L}]": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"[\p{IsHebrew}&&\p{L}]": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"[\p{IsArmenian}&&\p{Ll}]": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ",
+    r"[\p{IsArmenian}&&\p{Lu}]": "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՓՔՕՖ",
+    r"[\p{IsThai}&&\p{L}]": "กขคงจฉชซญดตถทธนบปผพฟภมยรลวศสหอ",
+    r"[\p{IsDevanagari}&&\p{L}]": "अकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    # Letters and digits of all other scripts
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+    r"\p{N}": "0123456789",
 }
 ONSETS = "b br c d dr f g gr h j k l m n p r s st t tr v w".split()
 VOWELS = "a e i o u".split()
@@ -70,7 +81,7 @@ def _pick(values: list[str], r: Column) -> Column:
 
 
 def _other(c: Column, r: Column) -> Column:
-    """A character of the same script and case; what belongs to none stays."""
+    """A character of the same script and case; what is no letter or digit stays."""
     out = None
     for pattern, letters in ALPHABETS.items():
         one = F.substring(F.lit(letters), F.pmod(r, F.lit(len(letters))) + 1, F.lit(1))
