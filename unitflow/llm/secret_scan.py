@@ -11,6 +11,8 @@ an empty result. Offsets are code points, the end is exclusive.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,48 +27,70 @@ KINDS = {
 #: What a text must hold for a kind's pattern to be worth matching.
 HINTS = {"assign": r"(?i)passw|secret|token|api_?key", "access": r"AKIA", "hex": r"[0-9a-f]{24}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates that are no secrets: words and compounds without digits of one case or capitalised, numbers, UUIDs.
 ALLOWED = r"^(?:[a-z_=/+-]+|[A-Z_=/+-]+|[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+)*[-_/=+]*|[0-9_=/+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 WINDOW = 20
+#: Elements that a running sum folds at once.
+BLOCK = 256
 HEX_BITS = 3.0
 MIXED_BITS = 3.8
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, add=lambda s, x: s + x) -> Column:
+    """The sum (or another fold from 0) of the elements before each one. Folded in blocks, since a fold that appends to an array
+    copies it: n elements cost n * BLOCK / 2 copies and not n * n / 2."""
+    total = lambda xs, start: F.aggregate(xs, start, add)
+    empty = lambda start: F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs, start: F.aggregate(xs, empty(start), lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * BLOCK + 1, F.lit(BLOCK)))
+    return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, fold(F.transform(bs, lambda b: total(b, F.lit(0))), F.lit(0)), fold)))
+
+
 def _spans(pattern: str, hint: str, group: int, least: int, kind: str, order: int) -> Column:
     """Spans of a pattern's leftmost matches, from the lengths of the matches and of what lies between them."""
     text = F.col("text")
     parts = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+    size = lambda x: F.coalesce(F.char_length(x), F.lit(0))
     span = "struct<start:int,rank:int,end:int,kind:string,hit:string>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["all"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["all"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["part"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(ps: Column) -> Column:
+        lengths = F.transform(ps, lambda x: size(x["gap"]) + size(x["all"]))
+        made = F.zip_with(ps, _let(lengths, lambda v: _running(v)), lambda x, at: F.when(size(x["part"]) >= least, F.struct((at + size(x["gap"])).alias("start"), F.lit(order).alias("rank"), (at + size(x["gap"]) + size(x["all"])).alias("end"), F.lit(kind).alias("kind"), x["all"].alias("hit"))))
+        return F.array_compact(made).cast(f"array<{span}>")
 
-    return F.when(text.rlike(hint), F.aggregate(parts, empty, add)["out"]).otherwise(empty["out"])
+    return F.when(text.rlike(hint), _let(parts, placed)).otherwise(F.array().cast(f"array<{span}>"))
 
 
 def window_entropy(hit: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of a window that slides over a string, by incremental counts."""
-    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    codes = F.transform(F.split(hit, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("at"))
-
-    def slide(acc: Column, code: Column) -> Column:
-        leaves = F.when(acc["at"] >= window, F.instr(F.lit(ALPHABET), F.substring(hit, acc["at"] - window + 1, F.lit(1)))).otherwise(F.lit(0))
-        into = F.element_at(acc["n"], code)
-        s = acc["s"] + weight(into + 1) - weight(into)
-        out = F.when(leaves > 0, F.element_at(acc["n"], F.greatest(leaves, F.lit(1))) + (leaves == code).cast("int")).otherwise(F.lit(0))
-        s = s + F.when(leaves > 0, weight(out - 1) - weight(out)).otherwise(F.lit(0.0))
-        n = F.transform(acc["n"], lambda c, k: c + (k + 1 == code).cast("int") - (k + 1 == leaves).cast("int"))
-        bits = F.log2(F.lit(float(window))) - s / window
-        best = F.when(acc["at"] + 1 >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"])
-        return F.struct(n.alias("n"), s.alias("s"), best.alias("best"), (acc["at"] + 1).alias("at"))
-
-    return F.aggregate(codes, start, slide)["best"]
+    """The largest Shannon entropy, in bits, of a window that slides over a string of ASCII characters, by incremental counts: a step
+    adds the term of the character that enters and takes off that of the one that leaves. Their counts come from the window
+    itself, so a step costs the window's length, whatever the string's."""
+    terms = F.array(*(F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(window + 1)))
+    most = window * math.log2(window)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(most).alias("least"), F.lit(0).alias("at"))
+
+    def slide(codes: Column, terms: Column):
+        def step(acc: Column, code: Column) -> Column:
+            full = acc["at"] >= window
+            before = F.slice(codes, F.greatest(acc["at"] - window, F.lit(0)) + 1, F.least(acc["at"], F.lit(window)))
+            leaves = F.when(full, F.get(codes, acc["at"] - window))
+            seen = lambda xs, c: F.size(xs) - F.size(F.array_remove(xs, c))
+            counts = _let(before, lambda xs: F.struct(seen(xs, code).alias("into"), F.when(full, seen(xs, leaves) + (leaves == code).cast("int")).alias("out")))
+            term = lambda n: F.get(terms, n)
+            s = _let(counts, lambda n: acc["s"] + term(n["into"] + 1) - term(n["into"]) + F.when(full, term(n["out"] - 1) - term(n["out"])).otherwise(F.lit(0.0)))
+            least = lambda x: F.when(acc["at"] + 1 >= window, F.least(acc["least"], x)).otherwise(acc["least"])
+            return _let(s, lambda x: F.struct(x.alias("s"), least(x).alias("least"), (acc["at"] + 1).alias("at")))
+
+        return step
+
+    codes = F.transform(F.split(hit, ""), lambda c: F.ascii(c))
+    return _let(codes, lambda cs: _let(terms, lambda ts: F.lit(math.log2(window)) - F.aggregate(cs, start, slide(cs, ts))["least"] / window))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, allowed: str = ALLOWED) -> DataFrame:
@@ -79,7 +103,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hex_bi
     found = _spans(CANDIDATE, r"[A-Za-z0-9+/_=-]{20}", 0, WINDOW, "entropy", len(KINDS)).alias("found")
     df = df.select("doc_id", *kinds, found)
     df = df.select("doc_id", F.sort_array(F.concat(*KINDS)).alias("base"), F.filter("found", lambda x: ~x["hit"].rlike(allowed)).alias("found"))
-    outside = F.filter("found", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    # In order of start, a candidate lies inside a base span if one before it ends no earlier.
+    inside = lambda xs: F.zip_with(xs, _let(F.transform(xs, lambda x: F.when(x["kind"] != "entropy", x["end"]).otherwise(0)), lambda ends: _running(ends, lambda s, x: F.greatest(s, x))), lambda x, end: F.when((x["kind"] == "entropy") & (end < x["end"]), x))
+    outside = F.when(F.size("found") > 0, F.array_compact(_let(F.sort_array(F.concat("base", "found")), inside))).otherwise(F.col("found"))
     df = df.select("doc_id", "base", outside.alias("found"))
     random = F.filter("found", lambda x: window_entropy(x["hit"]) >= F.when(x["hit"].rlike("^[0-9a-fA-F]+$"), F.lit(hex_bits)).otherwise(F.lit(mixed_bits)))
     return df.select("doc_id", "base", F.sort_array(F.concat("base", random)).alias("spans"))
