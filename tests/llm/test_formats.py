@@ -95,3 +95,42 @@ def test_decontamination_by_brute_force(spark):
         assert got == pytest.approx(expected)
     clean = sorted(str(r.doc_id) for r in decontamination.remove(docs, bench).collect())
     assert clean == sorted(str(d) for d, _ in texts if all(d != x for x, _ in expected))
+
+
+def test_dense_tiles_are_those_of_the_heap():
+    rng = random.Random(8)
+    for _ in range(400):
+        k = rng.choice([1, 2, 3])
+        a = np.array(rng.choices([1, 2, 3], [5, 1, 1], k=rng.randint(1, 25)))
+        b = np.array(rng.choices([1, 2, 3], [5, 1, 1], k=rng.randint(k, 12)))
+        matches = []
+        for p in range(len(a)):
+            for q in range(len(b)):
+                if p and q and a[p - 1] == b[q - 1]:
+                    continue
+                n = 0
+                while p + n < len(a) and q + n < len(b) and a[p + n] == b[q + n]:
+                    n += 1
+                if n >= k:
+                    matches.append((n, p, q))
+        assert decontamination.tile_dense(a, b, k) == decontamination.tile(matches, k)
+
+
+def test_repeated_seeds_of_a_very_long_text(spark):
+    """A million equal words against an item of 400 of them: all pairs of their seeds would be 4 * 10^8."""
+    item = "word " * 400
+    index = decontamination.Index([(1, item), (2, "some other item of six words")])
+    assert list(decontamination.found_in("word " * 1_000_000, index, 0.5)) == [(0, 1, 400, 400)]
+    docs = spark.createDataFrame([(1, "word " * 50_000, "clash", "x"), (2, "", "c", "y"), (3, None, "c", "z")], "doc_id long, text string, item_id string, hashes string")
+    bench = spark.createDataFrame([(1, item, 5)], "item_id long, text string, doc_id long")
+    assert [(r.doc_id, r.n_tiles, r.n_covered) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 1, 400)]
+    assert sorted(r.doc_id for r in decontamination.remove(docs, bench).collect()) == [2, 3]
+
+
+def test_rolled_hashes_tell_windows_apart():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 4, 3000)
+    for k in (1, 3, 5):
+        hashes = decontamination._rolled(ids, k)
+        windows = [tuple(ids[p : p + k]) for p in range(len(ids) - k + 1)]
+        assert len(set(zip(windows, hashes.tolist(), strict=True))) == len(set(windows)) == len(set(hashes.tolist()))
