@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from unitflow.llm import bpe, decontamination, token_counts, token_output
@@ -25,7 +26,7 @@ def test_dac_reads_any_token():
 def test_bpe_decode_and_offsets(spark):
     texts = ["don't  stop", "", None, "a\n\nb", "é 漢"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    path = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     got = {r.doc_id: r for r in bpe.encode(docs, path, offsets=True).collect()}
     assert np.frombuffer(got[0].offsets, "<u4").tolist() == [0, 3, 5, 6]
     back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(bpe.encode(docs, path), path).collect()}
@@ -43,7 +44,7 @@ def brute_split(word, pieces, byte_score):
 
 
 def test_token_counts_by_brute_force(spark):
-    path = "/opt/tokenizers/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     pieces, byte_score = token_counts.zipf_pieces(path)
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     docs = docs.union(spark.createDataFrame([(None, None, "x", "s", 0), (-1, "", "x", "s", 0), (-2, "漢字 😀\U0001f9ff re re", "x", "s", 0)], docs.schema))
@@ -134,3 +135,15 @@ def test_rolled_hashes_tell_windows_apart():
         hashes = decontamination._rolled(ids, k)
         windows = [tuple(ids[p : p + k]) for p in range(len(ids) - k + 1)]
         assert len(set(zip(windows, hashes.tolist(), strict=True))) == len(set(windows)) == len(set(hashes.tolist()))
+
+
+def test_files_are_cut_by_bytes(spark):
+    """Many null ids, repeated rows and a long text: all files but that of the long text are small, and offsets run through them in order of id."""
+    rows = [(None, f"null {k}") for k in range(300)] + [(5, "same row")] * 200 + [(k, f"text {k}") for k in range(300)] + [(299, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = token_output.output(df, public_tokenizers.path("word_bpe_49k.json"), 2, task_bytes=1000, file_bytes_=200)
+    sizes = [r.n_tokens * 2 for r in files.collect()]
+    assert len(sizes) > 20 and sorted(sizes)[-2] <= 200
+    got = sorted(token_output.read_back(files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]

@@ -4,22 +4,24 @@ Ids are split into chunks of eight bits. The first level holds the lowest chunk
 which ids continue; the next level holds the next chunk of those only, and so on. A directory of ranks over each
 bitmap finds an id's chunk on the next level, so any token is read without decoding what stands before it.
 
-A file holds the documents of one range of ids, in ascending order (null ids first, equal ids by their tokens), with a
-directory of documents. Files are rows of a Parquet table below the shared folder, so any executor can read them.
-A null text is an empty text, which has its end id alone. Rows that repeat are written each; an empty table gives no files.
+Documents are ordered by id (null ids first, equal ids by a hash of their texts) over ranges that Spark samples, and each task cuts its range into
+files of a bounded number of bytes, so neither the number of tasks nor a file's size depends on a fixed count; a text longer than a file
+is a file of its own. A file has a directory of its documents. Files are rows of a Parquet table below the shared folder, so any executor can read them.
+A null text is an empty text, which has its end id alone. Rows that repeat are written each, and are dealt to several tasks if they are many; an empty table gives no files.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-import zlib
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ MAGIC = b"DACF1\0\0\0"
 RANK_BITS = 512
 MAX_KEPT = 1_200_000
 CHUNK_CHARS = 1 << 20
+#: Text that one task encodes, and packed ids after which it begins another file.
+TASK_BYTES, FILE_BYTES = 32 << 20, 8 << 20
 _SPACED = bytes(32 if c == 10 else c for c in range(256))
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
 NO_ID = np.iinfo(np.int64).min
@@ -118,79 +122,96 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(2)
-def _kept(path: str) -> dict[bytes, bytes]:
-    """A worker's cache, which its later tasks go on with."""
+@lru_cache(1)
+def _kept(path: str, run: str) -> dict[bytes, bytes]:
+    """A worker's cache of encoded parts, which its later tasks of the same run go on with; another run begins with an empty one."""
     return {}
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (binary, little-endian uint32 or, where the vocabulary fits, uint16), the end id last.
+class Encoder:
+    """Packed ids of texts, the end id last.
 
     The vocabulary's pre-tokenizer never crosses a space or a line feed, and normalising is local to what lies between them: a worker
     encodes each such part once while its cache holds it.
     """
-    wide = _tokenizer(vocabulary).get_vocab_size() > 1 << 16
-    lowers = '"Lowercase"' in json.dumps(json.loads(_tokenizer(vocabulary).to_str())["normalizer"])
-    kind = "I" if wide else "H"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, vocabulary: str, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        own, kept, last = _tokenizer(vocabulary), _kept(vocabulary), array(kind, [end_id]).tobytes()
-        for batch in batches:
-            texts, out = ["" if t is None else t for t in batch.column(1).to_pylist()], []
-            for low, high in chunked([len(t) for t in texts], CHUNK_CHARS):
-                listed = [_parts(t.encode(), lowers) for t in texts[low:high]]
-                missing = set().union(*listed)
-                if len(kept) + len(missing) > MAX_KEPT:
-                    kept.clear()
-                new = list(missing.difference(kept))
-                for w, e in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    kept[w] = array(kind, e.ids).tobytes()
-                out += [b"".join(map(kept.__getitem__, parts)) + last for parts in listed]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+        self.vocabulary, self.run = vocabulary, uuid.uuid4().hex
+        own = _tokenizer(vocabulary)
+        self.width = 4 if own.get_vocab_size() > 1 << 16 else 2
+        self.kind = "I" if self.width == 4 else "H"
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(own.to_str())["normalizer"])
+        self.last = array(self.kind, [end_id]).tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        own, kept = _tokenizer(self.vocabulary), _kept(self.vocabulary, self.run)
+        for low, high in chunked([len(t) for t in texts], CHUNK_CHARS):
+            listed = [_parts(t.encode(), self.lowers) for t in texts[low:high]]
+            missing = set().union(*listed)
+            if len(kept) + len(missing) > MAX_KEPT:
+                kept.clear()
+            new = list(missing.difference(kept))
+            for w, e in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                kept[w] = array(self.kind, e.ids).tobytes()
+            for parts in listed:
+                yield b"".join(map(kept.__getitem__, parts)) + self.last
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary").withColumn("width", F.lit(4 if wide else 2))
 
+def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (binary, little-endian uint32 or, where the vocabulary fits, uint16; the end id last) and width, the bytes of an id."""
+    own = Encoder(vocabulary, end_id)
 
-def write(encoded: DataFrame, n_files: int | None = None) -> DataFrame:
-    """Writes the files and returns them: file, n_docs, n_tokens and data, in order of file.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.encode(texts), pa.binary())], names=["doc_id", "ids"])
 
-    Ranges of doc_id come from its quantiles: a driver-side list of one number for each file. Only packed ids are shuffled.
-    """
-    spark = encoded.sparkSession
-    n_files = n_files or 2 * shuffle_partitions(spark)
-    return materialize(_build(encoded, _bounds(encoded, n_files)), "token-files")
+    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary").withColumn("width", F.lit(own.width))
 
 
-def _bounds(df: DataFrame, n: int) -> list[int]:
-    if n <= 1:
-        return []
-    found = df.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
-    return sorted(set(found or []))
+def output(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = TASK_BYTES, file_bytes_: int = FILE_BYTES) -> DataFrame:
+    """Encodes, writes the files, and returns them: file, n_docs, n_tokens and data, in order of file.
 
+    Texts are shuffled once, to the ranges that are encoded and written where they arrive.
+    """
+    df = keyed(docs, id_col, text_col)
+    total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(-(-total // task_bytes), min(shuffle_partitions(docs.sparkSession), total >> 20), 1)
+    order = ["doc_id", "hash", "row"]  # the row's number deals rows that repeat
+    df = df.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    own = Encoder(vocabulary, end_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, packed, size, file = [], [], 0, TaskContext.get().partitionId() << 32
 
-def _build(encoded: DataFrame, bounds: list[int]) -> DataFrame:
-    file = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id")))) if bounds else F.lit(0)
+        def written() -> pa.RecordBatch:
+            counts = np.array([len(x) // own.width for x in packed])
+            data = file_bytes(np.array(ids, np.int64), counts, np.frombuffer(b"".join(packed), f"<u{own.width}"))
+            return pa.RecordBatch.from_pydict({"file": [file], "n_docs": [len(ids)], "n_tokens": [int(counts.sum())], "data": pa.array([data], pa.binary())})
 
-    def build(table: pa.Table) -> pa.Table:
-        kind = "<u2" if table.column("width")[0].as_py() == 2 else "<u4"
-        ids = [NO_ID if i is None else i for i in table.column("doc_id").to_pylist()]
-        packed = table.column("ids").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: (ids[k], packed[k]))
-        counts = np.array([len(packed[k]) // int(kind[2]) for k in order])
-        data = file_bytes(np.array([ids[k] for k in order], np.int64), counts, np.frombuffer(b"".join(packed[k] for k in order), kind))
-        return pa.table({"file": table.column("file").slice(0, 1), "n_docs": [len(ids)], "n_tokens": [int(counts.sum())], "data": pa.array([data], pa.binary())})
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            for i, x in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+                if packed and size + len(x) > file_bytes_:
+                    yield written()
+                    ids, packed, size, file = [], [], 0, file + 1
+                ids.append(NO_ID if i is None else i)
+                packed.append(x)
+                size += len(x)
+        if packed:
+            yield written()
 
-    return encoded.withColumn("file", file.cast("int")).groupBy("file").applyInArrow(build, "file int, n_docs long, n_tokens long, data binary")
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return materialize(dealt.mapInArrow(run, "file long, n_docs long, n_tokens long, data binary"), "token-files")
 
 
 def read_back(files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids (binary, little-endian uint32).
 
-    The offsets of files are a running sum over one short row for each file.
+    The offsets of files are a running sum over one short row for each file: 16 bytes, sent to the executors, for megabytes of tokens.
     """
     sums = files.select("file", (F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("offset"))
 
@@ -205,14 +226,3 @@ def read_back(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64(), mask=named == NO_ID), pa.array(starts[low:high] + offset, pa.int64()), pa.array(np.diff(starts[low : high + 1]), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return files.join(F.broadcast(sums), "file").select("data", "offset").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
-
-
-def output(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", n_files: int | None = None) -> DataFrame:
-    """Encodes, writes the files, and returns them (see write); ranges come from the table's ids, so texts are encoded once."""
-    n = n_files or 2 * shuffle_partitions(docs.sparkSession)
-    bounds = _bounds(docs.select(F.col(id_col).cast("long").alias("doc_id")), n)
-    return materialize(_build(encode(docs, vocabulary, end_id, id_col, text_col), bounds), "token-files")
