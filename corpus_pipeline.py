@@ -6,11 +6,11 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.llm import bpe, decontamination, near_dedup, pii, quality_classifier
-from unitflow.llm.queries import TOKENIZERS
 from unitflow.llm.shared import materialize, read
 
 
@@ -37,7 +37,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed, little-endian uint32) and the text that decoding them gives."""
-    out = bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", decoded=True)
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), decoded=True)
     return out.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
