@@ -2,23 +2,26 @@
 
 The model is a bigram model with Dirichlet smoothing towards add-one unigrams:
 P(w | v) = (c(vw) + MU * P(w)) / (c(v) + MU), P(w) = (c(w) + 1) / (N + V + 1).
-Documents are dealt into buckets. A bucket sends each distinct n-gram it holds once, with its training count, to the shard that its
-hash names; a shard adds the counts of all buckets, builds its part of the trie and answers each bucket's n-grams;
-the bucket's documents, met with the answers, get their scores. A frequent context's successors are spread over SLICES parts of
+Documents are dealt into buckets of a bounded size. A bucket sends each distinct n-gram it holds once, with its training count, to the shard that its
+hash names; a shard adds the counts of all buckets and answers each bucket's n-grams. Words go first; with their counts a
+bucket knows what a bigram's probability depends on besides its own count, and sends that with the bigram, so that
+shards build their parts of the trie from smoothed probabilities. A frequent context's successors are spread over SLICES parts of
 the hash range, so no shard holds them all, and every n-gram crosses the network once for each bucket that holds it.
 
 A shard's trie has a level of contexts (slices of a context are entries of their own), Elias-Fano coded pointers
-to their successors, successors sorted within each context, and counts quantised to eight bits on a logarithmic scale: what
-the smoothed probability of a bigram depends on besides the unigram level, whose counts are kept exactly. Levels lie in
-anonymous memory maps. A query finds its context, then searches the successors of that context alone.
+to their successors, successors sorted within each context, and the smoothed probabilities of the bigrams, quantised to sixteen bits on a logarithmic
+scale. Contexts and pointers stay coded while they are queried: a value is found by selecting ones and zeros of a bitmap with a rank directory.
+Levels lie in anonymous memory maps. A query finds its context, then searches the successors of that context alone; a bigram
+without an entry backs off to MU * P(w) / (c(v) + MU), which is exact.
 
-A null text is an empty text: one end token. Documents with a null id are learned from. Rows that repeat are counted and scored each; an empty table
+A null text is an empty text: one end token. Texts of any length are scored whole; one longer than a bucket makes a bucket that long. Documents with a null id are learned from. Rows that repeat are counted and scored each; an empty table
 gives an empty result. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import mmap
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,8 @@ from unitflow.llm.shared import materialize, shuffle_partitions
 #: Weight of the unigrams; of 1 to 3000, the best by the log probability of held-out documents lies between 100 and 1000.
 MU = 200.0
 SLICES = 16
+#: Text of a bucket, and of all buckets for each shard; a shard receives some one and a half times as much.
+BUCKET_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
 #: Lower-cases A-Z and turns blanks into spaces, on bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Tokens that no word equals, as they hold blanks.
@@ -49,81 +54,115 @@ def _level(values: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A monotone sequence: low bits as they are, high bits as gaps in a bitmap."""
+    """A monotone sequence: low bits packed, high bits as gaps in a bitmap, with the number of ones before each of its 64-bit words. All queries
+    take arrays and read only the words they need."""
+
+    CHUNK = 1 << 16
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) + 1 if len(values) else 1
         self.n, self.low_bits = n, max(0, (top // max(n, 1)).bit_length() - 1)
         low = values & np.uint64((1 << self.low_bits) - 1)
-        if self.low_bits:
-            bits = (low[:, None] >> np.arange(self.low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
-            self.low = _level(np.packbits(bits.ravel(), bitorder="little"))
-        else:
-            self.low = np.zeros(0, np.uint8)
-        high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(n)
-        bitmap = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
-        bitmap[high] = 1
-        self.high = _level(np.packbits(bitmap, bitorder="little"))
-        self.length = len(bitmap)
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, count=self.length, bitorder="little")) - np.arange(self.n)
-        out = ones.astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, -1)
-            out |= bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
+        bits = (low[:, None] >> np.arange(self.low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8)
+        self.low = _level(np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8)]))
+        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
+        self.buckets = int(high[-1]) + 1 if n else 0
+        bitmap = np.zeros(-(-(n + self.buckets + 1) // 64) * 64, np.uint8)
+        bitmap[high + np.arange(n)] = 1
+        words = bitmap.reshape(-1, 64)
+        self.high = _level(np.packbits(words, axis=1, bitorder="little").ravel())
+        self.ones = _level(np.concatenate([[0], np.cumsum(words.sum(1, dtype=np.int64))]))
+
+    def _select(self, rank: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the rank-th ones or zeros."""
+        before = self.ones if bit else 64 * np.arange(len(self.ones)) - self.ones
+        out = np.empty(len(rank), np.int64)
+        for at in range(0, len(rank), self.CHUNK):
+            own = rank[at : at + self.CHUNK]
+            word = np.searchsorted(before, own, "right") - 1
+            bits = np.unpackbits(self.high.reshape(-1, 8)[word], axis=1, bitorder="little")
+            seen = np.cumsum(bits if bit else 1 - bits, axis=1, dtype=np.uint8)
+            out[at : at + self.CHUNK] = word * 64 + (seen <= (own - before[word])[:, None]).sum(1)
+        return out
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.low_bits
+        eight = self.low[(at >> 3)[:, None] + np.arange(8)].view(np.uint64).ravel()
+        return eight >> (at & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        i = np.asarray(i, np.int64)
+        return (self._select(i, 1) - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Places of values in a sequence without repeats, -1 for those not in it: the run of equal high bits lies between two zeros."""
+        values = np.asarray(values, np.uint64)
+        out = np.full(len(values), -1, np.int64)
+        high = (values >> np.uint64(self.low_bits)).astype(np.int64)
+        rows = np.flatnonzero(high < self.buckets)
+        if not len(rows):
+            return out
+        high, want = high[rows], values[rows] & np.uint64((1 << self.low_bits) - 1)
+        start = np.where(high > 0, self._select(np.maximum(high - 1, 0), 0) + 1 - high, 0)
+        stop = self._select(high, 0) - high
+        low = _bisect(self._low, start, stop, want)
+        inside = np.flatnonzero(low < stop)
+        inside = inside[self._low(low[inside]) == want[inside]]
+        out[rows[inside]] = low[inside]
         return out
 
-    def __getitem__(self, i: int) -> int:
-        """One value: the place of the i-th one in the bitmap, and its low bits."""
-        seen = at = 0
-        while seen + int(self.high[at]).bit_count() <= i:
-            seen += int(self.high[at]).bit_count()
-            at += 1
-        place = at * 8 + int(np.flatnonzero(np.unpackbits(self.high[at : at + 1], bitorder="little"))[i - seen])
-        bits = np.unpackbits(self.low[i * self.low_bits // 8 : ((i + 1) * self.low_bits + 7) // 8], bitorder="little")
-        start = i * self.low_bits % 8
-        return (place - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(bits[start : start + self.low_bits]))
 
+def _bisect(value_at, start: np.ndarray, stop: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The first place of each range [start, stop) whose value is not below the wanted one."""
+    low, high = start.copy(), stop.copy()
+    while (going := np.flatnonzero(low < high)).size:
+        mid = (low[going] + high[going]) // 2
+        less = value_at(mid) < want[going]
+        low[going[less]], high[going[~less]] = mid[less] + 1, mid[~less]
+    return low
 
-#: Counts by their eight-bit codes: exact up to 15, then in steps of nine hundredths; 0 is unseen.
-LEVELS = np.concatenate([np.arange(16), 16 * 1.09 ** np.arange(240)])
 
+#: Codes of the probabilities from 2^-OCTAVES to 1, in equal steps of their logarithm; 0 is no probability.
+OCTAVES, STEPS = 48.0, (1 << 16) - 2
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    steps = 16 + np.round(np.log(np.maximum(counts, 16) / 16) / np.log(1.09))
-    return np.where(counts < 16, counts, np.minimum(steps, 255)).astype(np.uint8)
+
+def quantise(p: np.ndarray, octaves: float = OCTAVES) -> np.ndarray:
+    return (1 + np.round((np.clip(np.log2(p), -octaves, 0) / octaves + 1) * STEPS)).astype(np.uint16)
+
+
+def restored(codes: np.ndarray, octaves: float = OCTAVES) -> np.ndarray:
+    return np.exp2(((codes.astype(float) - 1) / STEPS - 1) * octaves)
 
 
 class Trie:
-    """A shard's bigrams: contexts, pointers, successors and quantised counts."""
+    """A shard's bigrams: contexts, pointers, successors and quantised smoothed probabilities, sorted by keys (context above, successor below)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, p: np.ndarray):
         contexts, first = np.unique((keys >> np.uint64(32)).astype(np.uint32), return_index=True)
         self.contexts = EliasFano(contexts)
         self.pointers = EliasFano(np.concatenate([first, [len(keys)]]))
         self.successors = _level(keys.astype(np.uint32))
-        self.codes = _level(quantise(counts))
+        self.codes = _level(quantise(p))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of sorted keys, 0 where there is none: the levels of contexts and pointers are read once for all."""
-        out = np.zeros(len(keys), np.uint8)
-        contexts, pointers = self.contexts.all(), self.pointers.all().astype(np.int64)
-        if not len(contexts):
+        """Codes of sorted keys, 0 where there is none: each distinct context is found once, then the successors of that context are searched."""
+        out = np.zeros(len(keys), np.uint16)
+        if not len(keys):
             return out
         own = keys >> np.uint64(32)
-        at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-        rows = np.flatnonzero(contexts[at] == own)
-        low, high, want = pointers[at[rows]], pointers[at[rows] + 1], keys[rows].astype(np.uint32)
-        stop = high.copy()
-        while (going := np.flatnonzero(low < high)).size:  # binary search within each context
-            mid = (low[going] + high[going]) // 2
-            less = self.successors[mid] < want[going]
-            low[going[less]], high[going[~less]] = mid[less] + 1, mid[~less]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        place = self.contexts.find(own[first])
+        known = np.flatnonzero(place >= 0)
+        start, stop = np.zeros((2, len(first)), np.int64)
+        start[known], stop[known] = self.pointers.get(place[known]), self.pointers.get(place[known] + 1)
+        times = np.diff(np.concatenate([first, [len(keys)]]))
+        start, stop, want = np.repeat(start, times), np.repeat(stop, times), keys.astype(np.uint32)
+        low = _bisect(self.successors.__getitem__, start, stop, want)
         inside = np.flatnonzero(low < stop)
         inside = inside[self.successors[low[inside]] == want[inside]]
-        out[rows[inside]] = self.codes[low[inside]]
+        out[inside] = self.codes[low[inside]]
         return out
 
 
@@ -146,102 +185,161 @@ def _unpack_keys(data: bytes) -> np.ndarray:
 
 
 class Bucket:
-    """Tokens of a bucket's documents as places in its sorted distinct words and word pairs."""
-
-    def __init__(self, texts: list[str | None]):
+    """A bucket's documents as places of their tokens in the bucket's sorted distinct words."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, sizes: np.ndarray):
+        self.words, self.places, self.sizes = words, places, sizes  # places: a begin before each document's tokens; sizes without it
+        starts = np.zeros(len(places), bool)
+        starts[np.cumsum(np.concatenate([[0], sizes[:-1] + 1]))] = True
+        own = np.flatnonzero(~starts)
+        self.own, self.before = places[own].astype(np.int64), places[own - 1].astype(np.int64)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Bucket:
         ids: dict[bytes, int] = {BEGIN: 0, END: 1}
         flat: list[int] = []
-        self.sizes = np.zeros(len(texts), np.int64)
+        sizes = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             words = [w for w in (text or "").encode().translate(_TABLE).split(b" ") if w]
             flat.append(0)
             flat += [ids.setdefault(w, len(ids)) for w in words]
             flat.append(1)
-            self.sizes[k] = len(words) + 1
-        local = np.array(flat, np.int64)
+            sizes[k] = len(words) + 1
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in ids), np.uint64, len(ids))
-        self.words, place = np.unique(hashes, return_inverse=True)
-        starts = np.zeros(len(local), bool)
-        starts[np.cumsum(np.concatenate([[0], self.sizes[:-1] + 1]))] = True
-        own, before = np.flatnonzero(~starts), np.flatnonzero(~starts) - 1
-        self.own, self.before = place[local[own]], place[local[before]]
-        h = hashes
-        mixed = (h[local[own]] ^ (h[local[before]] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        successor = mixed >> np.uint64(32)
-        context = (h[local[before]] >> np.uint64(32)) ^ (successor % np.uint64(SLICES)) << np.uint64(28)
-        self.pairs, self.pair = np.unique(context << np.uint64(32) | successor, return_inverse=True)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-
-    def counts(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words (the begin token counts documents) and of the pairs."""
-        mine = learned[self.doc]
-        words = np.bincount(self.own[mine], minlength=len(self.words))
+        words, place = np.unique(hashes, return_inverse=True)
+        return cls(words, place[np.array(flat, np.int64)].astype(np.uint32), sizes)
+
+    def packed(self) -> bytes:
+        return pickle.dumps((_pack_keys(self.words), _planes(self.places), self.sizes))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Bucket:
+        words, places, sizes = pickle.loads(data)
+        return cls(_unpack_keys(words), _unplanes(places, np.uint32), sizes)
+
+    def word_counts(self, learned: np.ndarray) -> np.ndarray:
+        """Training counts of the words; the begin token counts documents."""
+        words = np.bincount(self.own[learned[self.doc]], minlength=len(self.words))
         words[np.searchsorted(self.words, BEGIN_HASH)] = learned.sum()
-        return words.astype(np.uint32), np.bincount(self.pair[mine], minlength=len(self.pairs)).astype(np.uint32)
+        return words.astype(np.uint32)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys of the bigrams, the first token of each, and the place of each token's own among them."""
+        h = self.words
+        mixed = (h[self.own] ^ (h[self.before] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        successor = mixed >> np.uint64(32)
+        context = (h[self.before] >> np.uint64(32)) ^ (successor % np.uint64(SLICES)) << np.uint64(28)
+        return np.unique(context << np.uint64(32) | successor, return_index=True, return_inverse=True)
 
 
 def _bounds(n: int) -> np.ndarray:
     return np.array([(k << 64) // n for k in range(n)], np.uint64)
 
 
+_ASK = "shard int, bucket int, keys binary, counts binary, prior binary, weight binary, bucketed binary, docs binary"
+_ANSWER = "bucket int, kind int, shard int, answer binary, n long, v long"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: float = MU, n_buckets: int | None = None, n_shards: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Documents whose crc32 of the id modulo 7 is 2 are held out of the training counts.
+    Documents whose crc32 of the id modulo 7 is 2 are held out of the training counts. Texts are shuffled and split into words once;
+    the bucket's packed words are written and meet the answers.
     """
     spark = docs.sparkSession
-    n_buckets, n_shards = n_buckets or 2 * shuffle_partitions(spark), n_shards or shuffle_partitions(spark)
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    least = min(shuffle_partitions(spark), (total >> 20) + 1)
+    n_buckets = n_buckets or max(-(-total // BUCKET_BYTES), least)
+    n_shards = n_shards or max(-(-total // SHARD_BYTES), least)
     held = F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    dealt = docs.select(ident.alias("doc_id"), text.alias("text"), held.alias("held_out"), F.pmod(F.xxhash64(ident, text), F.lit(n_buckets)).cast("int").alias("bucket"))
+    dealt = docs.select(ident.alias("doc_id"), text.alias("text"), held.alias("held_out"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_buckets)).cast("int").alias("bucket"))
     bounds = _bounds(n_shards)
 
-    def ask(table: pa.Table) -> pa.Table:
-        own = Bucket(table.column("text").to_pylist())
-        words, pairs = own.counts(~np.array(table.column("held_out").to_pylist(), bool))
-        at, to = [*np.searchsorted(own.words, bounds), len(own.words)], [*np.searchsorted(own.pairs, bounds), len(own.pairs)]
-        rows = [(s, _pack_keys(own.words[at[s] : at[s + 1]]), _planes(words[at[s] : at[s + 1]]), _pack_keys(own.pairs[to[s] : to[s + 1]]), _planes(pairs[to[s] : to[s + 1]])) for s in range(n_shards) if at[s] < at[s + 1] or to[s] < to[s + 1]]
-        columns = list(zip(*rows, strict=True))
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"shard": pa.array(columns[0], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), **{k: pa.array(c, pa.binary()) for k, c in zip(("words", "word_counts", "pairs", "pair_counts"), columns[1:], strict=True)}})
-
-    def answer(table: pa.Table) -> pa.Table:
-        asked = [(r["bucket"], _unpack_keys(r["words"]), _unplanes(r["word_counts"], np.uint32), _unpack_keys(r["pairs"]), _unplanes(r["pair_counts"], np.uint32)) for r in table.drop_columns(["shard"]).to_pylist()]
-
-        def add(k: int) -> tuple[np.ndarray, np.ndarray]:
-            known = [(r[k][r[k + 1] > 0], r[k + 1][r[k + 1] > 0]) for r in asked]
-            keys, at = np.unique(np.concatenate([a for a, _ in known]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in known]), len(keys)).astype(np.int64)
-
-        words, counts = add(1)
-        trie = Trie(*add(3))
+    def parts(keys: np.ndarray) -> list[tuple[int, slice]]:
+        at = [*np.searchsorted(keys, bounds), len(keys)]
+        return [(s, slice(at[s], at[s + 1])) for s in range(n_shards) if at[s] < at[s + 1]]
+
+    def prepare(table: pa.Table) -> pa.Table:
+        own, bucket = Bucket.of(table.column("text").to_pylist()), table.column("bucket")[0].as_py()
+        held = np.array(table.column("held_out").to_pylist(), bool)
+        counts = own.word_counts(~held)
+        rows = [(s, bucket, _pack_keys(own.words[k]), _planes(counts[k]), None, None, None, None) for s, k in parts(own.words)]
+        return _table(_ASK, [*rows, (-1, bucket, None, None, None, None, own.packed(), pickle.dumps((table.column("doc_id").to_pylist(), held)))])
+
+    def add(asked: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys with training counts, the counts, and the first asking row of each key."""
+        known = [(keys[counts > 0], counts[counts > 0]) for keys, counts in asked]
+        keys, first, at = np.unique(np.concatenate([a for a, _ in known]), return_index=True, return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([c for _, c in known]), len(keys)).astype(np.int64), first
+
+    def answer_words(table: pa.Table) -> pa.Table:
+        shard, asked = table.column("shard")[0].as_py(), [(r["bucket"], _unpack_keys(r["keys"]), _unplanes(r["counts"], np.uint32)) for r in table.to_pylist()]
+        words, counts, _ = add([r[1:] for r in asked])
         tokens = words != BEGIN_HASH
-        out = [(-1, None, None, int(counts[tokens].sum()), int(tokens.sum()))]
-        for bucket, own, _, pairs, _ in asked:
+        rows = [(-1, 0, shard, None, int(counts[tokens].sum()), int(tokens.sum()))]
+        for bucket, own, _ in asked:
             at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
             found = np.where(words[at] == own, counts[at], 0) if len(words) else np.zeros(len(own), np.int64)
-            out.append((bucket, _planes(found.astype(np.int64)), trie.find(pairs).tobytes(), 0, 0))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-        return pa.table([pa.array([table.column("shard")[0].as_py()] * len(out), pa.int32()), *columns], names=["shard", "bucket", "words", "pairs", "n", "v"])
-
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = materialize(asked.groupBy("shard").applyInArrow(answer, "shard int, bucket int, words binary, pairs binary, n long, v long"), "lm-answers")
-    totals = answers.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
-    n, v = totals[0] or 0, totals[1] or 0
+            rows.append((bucket, 0, shard, _planes(found.astype(np.int64)), 0, 0))
+        return _table(_ANSWER, rows)
+
+    asked = materialize(dealt.groupBy("bucket").applyInArrow(prepare, _ASK), "lm-buckets")
+    words = materialize(asked.where("shard >= 0").select("shard", "bucket", "keys", "counts").groupBy("shard").applyInArrow(answer_words, _ANSWER), "lm-words")
+    sums = words.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
+    n, v = sums[0] or 0, sums[1] or 0
+
+    def answered(found: pa.Table, kind: int) -> list[bytes]:
+        rows = sorted(((r["shard"], r["answer"]) for r in found.select(["kind", "shard", "answer"]).to_pylist() if r["kind"] == kind), key=lambda r: r[0])
+        return [a for _, a in rows]
+
+    def known(own: Bucket, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts and add-one probabilities of a bucket's words, and the share that their successors' own probabilities leave."""
+        counts = np.concatenate([_unplanes(x, np.int64) for x in answered(found, 0)])
+        return counts, (counts + 1) / (n + v + 1), 1 / (counts + mu)
+
+    def ask_pairs(table: pa.Table, found: pa.Table) -> pa.Table:
+        own, bucket = Bucket.unpacked(table.column("bucketed")[0].as_py()), table.column("bucket")[0].as_py()
+        _, held = pickle.loads(table.column("docs")[0].as_py())
+        _, p, share = known(own, found)
+        keys, first, pair = own.pairs()
+        counts = np.bincount(pair[(~held)[own.doc]], minlength=len(keys)).astype(np.uint32)
+        weight = share[own.before[first]]
+        prior = quantise(mu * p[own.own[first]] * weight)
+        weight = quantise(weight)
+        return _table(_ASK, [(s, bucket, _pack_keys(keys[k]), _planes(counts[k]), _planes(prior[k]), _planes(weight[k]), None, None) for s, k in parts(keys)])
+
+    def answer_pairs(table: pa.Table) -> pa.Table:
+        shard, asked = table.column("shard")[0].as_py(), [(r["bucket"], _unpack_keys(r["keys"]), _unplanes(r["counts"], np.uint32), r["prior"], r["weight"]) for r in table.to_pylist()]
+        keys, counts, first = add([r[1:3] for r in asked])
+        prior, weight = (np.concatenate([restored(_unplanes(r[k], np.uint16)[r[2] > 0]) for r in asked])[first] for k in (3, 4))
+        trie = Trie(keys, np.minimum(counts * weight + prior, 1.0))
+        return _table(_ANSWER, [(bucket, 1, shard, _planes(trie.find(own)), 0, 0) for bucket, own, *_ in asked])
 
     def meet(table: pa.Table, found: pa.Table) -> pa.Table:
-        own = Bucket(table.column("text").to_pylist())
-        found = found.sort_by("shard")
-        counts = np.concatenate([_unplanes(x, np.int64) for x in found.column("words").to_pylist()])
-        pairs = LEVELS[np.frombuffer(b"".join(found.column("pairs").to_pylist()), np.uint8)]
+        own = Bucket.unpacked(table.column("bucketed")[0].as_py())
+        ids, held = pickle.loads(table.column("docs")[0].as_py())
+        counts, p, share = known(own, found)
+        _, _, pair = own.pairs()
+        codes = np.concatenate([_unplanes(x, np.uint16) for x in answered(found, 1)])[pair]
+        c, unigram = counts[own.own], p[own.own]
+        scores = np.log10(np.where(codes > 0, restored(codes), mu * unigram * share[own.before]))
         starts = np.concatenate([[0], np.cumsum(own.sizes)[:-1]])
-        c = counts[own.own]
-        unigram = (c + 1) / (n + v + 1)
-        scores = np.log10((pairs[own.pair] + mu * unigram) / (counts[own.before] + mu))
         return pa.table({
-            "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": own.sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": np.full(len(own.sizes), n, np.int64),
+            "doc_id": pa.array(ids, pa.int64()), "held_out": held, "n_tokens": own.sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), starts), "train_tokens": np.full(len(own.sizes), n, np.int64),
             "base_score": np.add.reduceat(np.log10(unigram), starts), "score": np.add.reduceat(scores, starts),
         })
 
-    return dealt.groupBy("bucket").cogroup(answers.where("bucket >= 0").select("shard", "bucket", "words", "pairs").groupBy("bucket")).applyInArrow(meet, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    buckets = asked.where("shard = -1").select("bucket", "bucketed", "docs").groupBy("bucket")
+    of_words = words.where("bucket >= 0").select("bucket", "kind", "shard", "answer")
+    pairs = buckets.cogroup(of_words.groupBy("bucket")).applyInArrow(ask_pairs, _ASK).select("shard", "bucket", "keys", "counts", "prior", "weight")
+    answers = materialize(pairs.groupBy("shard").applyInArrow(answer_pairs, _ANSWER), "lm-pairs").select("bucket", "kind", "shard", "answer")
+    return buckets.cogroup(of_words.unionByName(answers).groupBy("bucket")).applyInArrow(meet, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
