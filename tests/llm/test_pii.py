@@ -1,7 +1,9 @@
 """Surrogates: format, coreference, distinctness and hard rows."""
 
+import hashlib
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from unitflow.llm import pii
@@ -36,6 +38,8 @@ def test_formats_and_coreference(spark):
     cards = re.search(r"card ([\d ]+), (\d+); ip ([\d.]+) v 1.2.3.4.5 ssn (\d{3}-\d{2}-\d{4})", got[2].text)
     assert cards[1].replace(" ", "") == cards[2] != "4111111111111111" and luhn(cards[2]) and cards[3] != "10.0.0.1" and cards[4] != "123-45-6789"
     assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d x", got[3].text) and got[3].text != TEXTS[3]
+    number = got[3].text[:-2].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
     assert re.fullmatch(r"Frau [A-Z]\w+ [а-я]{4}\.[а-я]{6}@[а-я]{5}\.[а-я]{2}", got[6].text)
 
 
@@ -48,9 +52,78 @@ def test_no_collisions(spark):
     many = spark.range(4000).select(F.concat(F.lit("Mr X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), "id")
     table = pii.surrogates(pii.entities(many)).collect()
     assert len({r.core for r in table}) == len(table) == 4000
-    if any(r.attempt for r in table):
-        texts = [r.text for r in pii.replace(many).collect()]
-        assert len(set(texts)) == 4000
+    assert any(r.attempt for r in table)
+    texts = [r.text for r in pii.replace(many.unionByName(many)).collect()]
+    assert len(set(texts)) == 4000 and len(texts) == 8000
+    cores = {r.norm: r.core for r in table}
+    assert {t[3:].lower() for t in texts} == set(cores.values())
+
+
+def test_full_spaces_do_not_stop_the_job(spark):
+    """After the last round the entities that still collide take one another's places; the others keep theirs."""
+    many = spark.range(20000).select(F.concat(F.lit("Mr X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), "id")
+    found = pii.entities(many)
+    table = pii.surrogates(found, max_rounds=0).collect()
+    turned = [r for r in table if r.attempt]
+    assert len(turned) > 1 and len({r.core for r in table}) == len(table) == 20000
+    assert all(r.core != r.norm for r in table) and {r.core for r in turned} == {r.norm for r in turned}
+    one = pii.surrogates(spark.createDataFrame([("surname", "a"), ("surname", "b")], "kind string, norm string"), max_rounds=0)
+    assert {r.norm for r in one.collect()} == {"a", "b"}
+    alone = pii._in_turn(spark.createDataFrame([("ip", "1.1.1.1", 0, "2.2.2.2", True), ("ip", "2.2.2.2", 0, "3.3.3.3", False)], "kind string, norm string, attempt int, core string, again boolean"), "k")
+    assert {r.norm: r.core for r in alone.collect()} == {"1.1.1.1": "2.2.2.2", "2.2.2.2": "3.3.3.3"}
+
+
+def test_names_after_a_phrase(spark):
+    df = spark.createDataFrame([("Hello, my name is Ann Lee. Ich heiße Ann, nicht Bob",), ("Mr Lee",)], "text string")
+    one, two = (r.text for r in pii.replace(df).collect())
+    given, surname, again = re.fullmatch(r"Hello, my name is (\w+) (\w+)\. Ich heiße (\w+), nicht Bob", one).groups()
+    assert given == again != "Ann" and two == f"Mr {surname}" != "Mr Lee" and given.lower().endswith(tuple(pii.ENDS["given"]))
+
+
+def brute_surrogate(hit, key=pii.KEY):
+    """The surrogate of a match whose entities are all of the first attempt, and is no name."""
+    kind = next((k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, hit, regex.V1)), "name")
+    norm = hit.lower() if kind in ("email", "ip") else "".join(regex.findall(r"[\p{L}\p{N}]", hit)).lower()
+    stream = hashlib.sha512(f"{key}|{kind}|{norm}|0".encode()).digest()
+    other = lambda c, r: next((a[r % len(a)] for p, a in pii.ALPHABETS.items() if regex.search(p, c, regex.V1)), c)
+    chars = "".join(other(c, stream[i % 64]) for i, c in enumerate(norm))
+    if kind == "ip":
+        return ".".join(str(1 + stream[k] % 254) for k in range(4))
+    if kind in ("phone", "card"):
+        chars = norm[0] + chars[1:]
+    if kind == "card":
+        chars = next(chars[:-1] + d for d in "0123456789" if luhn(chars[:-1] + d))
+    if kind == "iban":
+        chars = next(f"{norm[:2]}{k:02d}{chars[4:]}" for k in range(2, 99) if int("".join(str(int(c, 36)) for c in chars[4:] + norm[:2] + f"{k:02d}")) % 97 == 1)
+    out, at = [], 0
+    for c in hit:
+        if kind == "email" or regex.match(r"[\p{L}\p{N}]", c):
+            out.append(chars[at].upper() if c == c.upper() != c.lower() else chars[at])
+            at += 1
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def test_query_by_brute_force(spark):
+    """Every text of the table but those with names, whose surrogates are made of syllables; none of its entities is drawn again."""
+    from unitflow.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    extra = spark.createDataFrame([(-1, "DE89370400440532013000, GB82 WEST 1234 5698 7654 32", "x", "s", 0), (-2, "4111-1111-1111-1111 (555) 123-4567 10.1.2.3 a.b@c.de", "x", "s", 0), (-3, None, "x", "s", 0)], docs.schema)
+    table = pii.surrogates(pii.entities(docs.union(extra)))
+    assert table.where("attempt > 0").isEmpty()
+    got = {r.doc_id: r for r in pii.replace(docs.union(extra).select("doc_id", "text"), count_col="n_replaced").collect()}
+    assert {r.doc_id: r.n_replaced for r in queries.op8_pii(spark, "/root/testdata/sf0.01").collect()} == {i: r.n_replaced for i, r in got.items() if i >= 0}
+    any_, compared, replaced = regex.compile(pii.ANY, regex.V1), 0, 0
+    for r in docs.union(extra).collect():
+        hits = any_.findall(r.text or "")
+        assert got[r.doc_id].n_replaced == len(hits)
+        if r.text is None or any(regex.fullmatch(pii.PATTERNS["name"], h, regex.V1) for h in hits):
+            continue
+        assert got[r.doc_id].text == any_.sub(lambda m: brute_surrogate(m[0]), r.text)
+        compared, replaced = compared + 1, replaced + len(hits)
+    assert compared > 900 and replaced > 50
 
 
 def test_key_decides(spark):
