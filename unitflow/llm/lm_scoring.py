@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.shared import materialize, shuffle_partitions
+from unitflow.llm.shared import materialize, materialize_by, shuffle_partitions
 
 #: Weight of the unigrams; of 1 to 3000, the best by the log probability of held-out documents lies between 100 and 1000.
 MU = 200.0
 SLICES = 16
 #: Text of a bucket, and of all buckets for each shard; a shard receives some one and a half times as much.
-BUCKET_BYTES, SHARD_BYTES = 16 << 20, 16 << 20
+BUCKET_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 #: Lower-cases A-Z and turns blanks into spaces, on bytes.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 #: Tokens that no word equals, as they hold blanks.
@@ -252,7 +252,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Documents whose crc32 of the id modulo 7 is 2 are held out of the training counts. Texts are shuffled and split into words once;
-    the bucket's packed words are written and meet the answers.
+    the bucket's packed words are written by bucket, so that only answers are shuffled to meet them.
     """
     spark = docs.sparkSession
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
@@ -292,7 +292,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
             rows.append((bucket, 0, shard, _planes(found.astype(np.int64)), 0, 0))
         return _table(_ANSWER, rows)
 
-    asked = materialize(dealt.groupBy("bucket").applyInArrow(prepare, _ASK), "lm-buckets")
+    asked = materialize_by(dealt.groupBy("bucket").applyInArrow(prepare, _ASK), "lm-buckets", "bucket", n_buckets)
     words = materialize(asked.where("shard >= 0").select("shard", "bucket", "keys", "counts").groupBy("shard").applyInArrow(answer_words, _ANSWER), "lm-words")
     sums = words.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = sums[0] or 0, sums[1] or 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset and all of Spark is one process."""
     try:
         found = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # an older session refuses core settings
@@ -33,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "/tmp/checkpoints/unitflow"  # only without a cluster's setting, as in tests
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="unitflow-")  # one machine without a setting, as in tests
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -46,6 +49,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """Like materialize(), in n buckets of a column: what groups by it later reads the files without a shuffle. The catalog's entry, which
+    only tells Spark of the buckets, goes again at once; the files stay."""
+    spark, table = df.sparkSession, f"unitflow_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/unitflow/{table}").bucketBy(n, column).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolves the plan
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def chunked(lengths, limit: int):
     """Ranges (start, end) of consecutive rows whose lengths sum to limit at most; a longer row stands alone."""
     start = total = 0
