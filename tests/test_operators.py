@@ -51,10 +51,15 @@ def test_translate_loop(spark, tmp_path):
     assert got["u3"].target == "TEXT {name} 3" and got["u5"].error == "empty"
 
 
-def test_large_glossary_finds_the_same(spark, monkeypatch):
-    units = spark.createDataFrame([(1, "the quick brown fox"), (2, "a brown-fox trot"), (3, "QUICK brown fo"), (4, "")], "doc_id long, text string")
-    terms = spark.createDataFrame([("quick brown fox",), ("brown",), ("rown fo",), ("",), ("ick",), ("k b",)], "src string")
-    key = lambda df: sorted((r.doc_id, r.src) for r in df.collect())
-    small = key(glossary.occurrences(units, terms))
-    monkeypatch.setattr(glossary, "MAX_SENT", 0)
-    assert key(glossary.occurrences(units, terms)) == small and small
+def test_glossary_blocks_find_the_same(spark, monkeypatch):
+    units = spark.createDataFrame([(1, "the quick brown fox"), (2, "a brown-fox trot"), (3, "QUICK brown fo"), (4, ""), (5, None)], "doc_id long, text string")
+    rows = [("quick brown fox", True), ("brown", True), ("rown fo", True), ("", True), ("Ick", False), ("k b", True), (None, True)]
+    terms = spark.createDataFrame(rows, "src string, exact boolean")
+    texts = {r.doc_id: r.text or "" for r in units.collect()}
+    want = sorted((i, t) for i, x in texts.items() for t, e in rows if t and (t in x or not e and t.lower() in x.lower()))
+    for size in (8 << 20, 4):
+        monkeypatch.setattr(glossary, "BLOCK_BYTES", size)
+        assert sorted((r.doc_id, r.src) for r in glossary.occurrences(units, terms, case_sensitive=F.col("exact")).collect()) == want and want
+        known = terms.select("src", F.upper("src").alias("dst"))
+        got = glossary.applied(units.withColumn("done", F.when(F.col("doc_id") < 3, F.upper("text"))), known, "text", "done")
+        assert sorted((r.doc_id, r.src, r.applied) for r in got.collect()) == sorted((i, t, i < 3) for i, x in texts.items() for t, _ in rows if t and t in x)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -18,8 +19,10 @@ TAG = r"""</?[A-Za-z][A-Za-z0-9:_-]*(?:\s+[A-Za-z_:][A-Za-z0-9_:.-]*(?:\s*=\s*(?
 BRACKET = r"\[[A-Za-z_][A-Za-z0-9_]*(?:![a-z]+)?\]"
 CORE = (CONTROL, BRACE, PRINTF, MASK)
 MARKUP = (*CORE, TAG)
+# Formats whose text is markup.
+MARKUP_ENGINES = ("auto", "epub", "html", "xml", "md", "docx", "srt", "vtt")
 
-MASKED = "struct<masked:array<string>,literals:array<string>>"
+MASKED = "struct<masked:array<string>,literals:array<string>,visible:array<string>>"
 
 
 @lru_cache(8)
@@ -29,26 +32,28 @@ def _compiled(rules: tuple[str, ...]) -> list[re.Pattern]:
 
 def literal_spans(text: str, rules: tuple[str, ...] = CORE) -> list[tuple[int, int]]:
     """Spans of all rules' matches that don't overlap: the earliest, and of those that begin together the longest."""
-    found = sorted(((m.start(), -m.end()) for r in _compiled(rules) for m in r.finditer(text)))
-    out, last = [], 0
-    for start, end in found:
-        if start >= last and -end > start:
-            out.append((start, -end))
-            last = -end
-    return out
-
-
-def mask_lines(lines: list[str], rules: tuple[str, ...] = CORE) -> tuple[list[str], list[str]]:
-    """The lines with spans as [CTRL_n], numbered through the unit, and the literals by number."""
-    masked, literals = [], []
+    longest: dict[int, int] = {}
+    for rule in _compiled(rules):
+        for m in rule.finditer(text):
+            longest[m.start()] = max(m.end(), longest.get(m.start(), 0))
+    kept: list[tuple[int, int]] = []
+    for start in sorted(longest):
+        if longest[start] > start >= (kept[-1][1] if kept else 0):
+            kept.append((start, longest[start]))
+    return kept
+
+
+def mask_lines(lines: list[str], rules: tuple[str, ...] = CORE) -> tuple[list[str], list[str], list[str]]:
+    """The lines with spans as [CTRL_n], numbered through the unit; the literals by number; the lines with a space for each span."""
+    masked, literals, visible = [], [], []
     for line in lines:
-        out, at = [], 0
-        for start, end in literal_spans(line, rules):
-            out += [line[at:start], f"[CTRL_{len(literals)}]"]
-            literals.append(line[start:end])
-            at = end
-        masked.append("".join(out) + line[at:])
-    return masked, literals
+        spans = literal_spans(line, rules)
+        gaps = [line[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(line)], strict=True)]
+        tokens = [f"[CTRL_{len(literals) + k}]" for k in range(len(spans))]
+        literals += [line[a:b] for a, b in spans]
+        masked.append("".join(x for pair in zip(gaps, [*tokens, ""], strict=True) for x in pair))
+        visible.append(" ".join(gaps))
+    return masked, literals, visible
 
 
 def unmask_line(line: str, literals: list[str]) -> str:
@@ -56,27 +61,26 @@ def unmask_line(line: str, literals: list[str]) -> str:
     return re.sub(r"\[CTRL_(0|[1-9]\d*)\]", lambda m: literals[int(m[1])] if int(m[1]) < len(literals) else m[0], line)
 
 
+@lru_cache(4096)
+def _any_of(literals: frozenset[str]) -> re.Pattern:
+    return re.compile("|".join(sorted(map(re.escape, literals), key=len, reverse=True)))
+
+
 def lost_tokens(lines: list[str], literals: list[str]) -> int:
-    """How many occurrences of the literals a translation lacks; longer literals claim their place first."""
-    text, missing = "\n".join(lines), {}
-    for x in literals:
-        missing[x] = missing.get(x, 0) + 1
-    spans = sorted((m.start(), -len(x), x) for x in missing if x for m in re.finditer(re.escape(x), text))
-    last = 0
-    for start, size, x in spans:
-        if start >= last:
-            last = start - size
-            missing[x] = max(0, missing[x] - 1)
-    return sum(missing.values())
+    """How many occurrences of the literals a translation lacks. An alternation of them, longest first, says which of those that overlap
+    is there; what it finds is taken off what is wanted."""
+    wanted = Counter(literals)
+    present = Counter(_any_of(frozenset(wanted) - {""}).findall("\n".join(lines))) if any(literals) else Counter()
+    return (wanted - present).total()
 
 
 def masked(lines: Column, rules: tuple[str, ...] = CORE) -> Column:
-    """struct(masked, literals) of an array of lines; null for null. Vectorised: one Arrow batch at a time."""
+    """struct(masked, literals, visible) of an array of lines; null for null. Vectorised: one Arrow batch at a time."""
 
     @F.pandas_udf(MASKED)
     def run(s: pd.Series) -> pd.DataFrame:
-        pairs = [(None, None) if x is None else mask_lines(list(x), rules) for x in s]
-        return pd.DataFrame({"masked": [a for a, _ in pairs], "literals": [b for _, b in pairs]})
+        found = [(None, None, None) if x is None else mask_lines(list(x), rules) for x in s]
+        return pd.DataFrame({name: [f[k] for f in found] for k, name in enumerate(("masked", "literals", "visible"))})
 
     return run(lines)
 
@@ -95,3 +99,47 @@ def lost(lines: Column, literals: Column) -> Column:
         return pd.Series([lost_tokens([] if x is None else list(x), [] if k is None else list(k)) for x, k in zip(s, known, strict=True)], dtype="int64")
 
     return run(lines, literals)
+
+
+def rules_for(engine: str) -> tuple[str, ...]:
+    """The rules of a format: the core, brackets in Ren'Py scripts, tags where text is markup."""
+    return (*CORE, *([BRACKET] if engine == "renpy" else []), *([TAG] if engine in MARKUP_ENGINES else []))
+
+
+def reorderable(literal: Column) -> Column:
+    """Whether a literal may change places with others: named and numbered placeholders may, controls and tags may not."""
+    return ~literal.startswith("[CTRL_") & literal.rlike(f"^(?:{BRACE}|{BRACKET})$") | literal.rlike(r"^%[0-9]+\$")
+
+
+def _first_fault(found: Column, fault) -> Column:
+    """The fault of the first element that has one; fault gets the elements before, the element, and its place."""
+    return F.get(F.array_compact(F.transform(found, lambda x, k: fault(F.slice(found, F.lit(1), k), x, k))), F.lit(0))
+
+
+def literal_fault(actual: Column, expected: Column) -> Column:
+    """What is wrong with a translation's literals, given those of its source, or null: none may be new or more, those with a fixed place keep
+    their order, none may be missing."""
+    fixed = lambda xs: F.filter(xs, lambda x: ~reorderable(x))
+    times = lambda xs, y: F.size(F.filter(xs, lambda x: x == y))
+
+    def fault(before: Column, x: Column, k: Column) -> Column:
+        moved = ~reorderable(x) & ~F.get(fixed(expected), F.size(fixed(before))).eqNullSafe(x)
+        return F.when(times(before, x) >= times(expected, x), "unexpected literal").when(moved, "literals out of order")
+
+    return F.coalesce(_first_fault(actual, fault), F.when(F.size(actual) < F.size(expected), "missing literal"))
+
+
+def mask_fault(lines: Column, literals: Column) -> Column:
+    """What is wrong with the masks of an answer, given the literals by number, or null: each is there once, and those with a fixed place
+    keep their order."""
+    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(MASK), F.lit(0))))
+    number = lambda t: F.regexp_extract(t, r"^\[CTRL_(0|[1-9][0-9]{0,8})\]$", 1).try_cast("int")
+    own = lambda t: F.get(literals, number(t))
+    in_order = F.array_compact(F.transform(literals, lambda x, i: F.when(~reorderable(x), i)))
+
+    def fault(before: Column, t: Column, k: Column) -> Column:
+        n = F.size(F.filter(before, lambda b: ~reorderable(own(b))))
+        moved = ~reorderable(own(t)) & ~F.get(in_order, n).eqNullSafe(number(t))
+        return F.when(own(t).isNull(), "unknown mask").when(F.array_contains(before, t), "mask twice").when(moved, "masks out of order")
+
+    return F.coalesce(_first_fault(found, fault), F.when(F.size(found) < F.size(literals), "missing mask"))

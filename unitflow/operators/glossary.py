@@ -1,12 +1,22 @@
-"""Terms and their use in units: a query set of terms against all units."""
+"""Terms and their use in units: a query set of terms against all units.
+
+Terms go to the executors in blocks of bounded size. A block's terms form one automaton, with which a task reads each text once, whatever
+the number of terms; the terms a text holds are numbers, and only these meet the table of terms.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms are sent to every executor up to this many bytes of text; a larger glossary takes the word join.
-MAX_SENT = 8 << 20
+#: Bytes of the terms of a block.
+BLOCK_BYTES = 8 << 20
 
 
 def term_hits(term: Column, text: Column, case_sensitive: Column) -> Column:
@@ -14,22 +24,90 @@ def term_hits(term: Column, text: Column, case_sensitive: Column) -> Column:
     return (term != "") & (F.contains(text, term) | (~case_sensitive & F.contains(F.lower(text), F.lower(term))))
 
 
+_LAST: dict[str, list] = {}
+
+
+def _automata(name: str, sent) -> list:
+    """A block's automata, built once in a worker process. For each list of terms: one of the terms as they are, and one of those whose case doesn't
+    matter, in lower case; each word leads to the numbers of its terms."""
+    if name not in _LAST:
+        _LAST.clear()
+        built = []
+        for terms in sent.value:
+            words: tuple[dict, dict] = ({}, {})
+            for k, (term, sensitive) in enumerate(terms):
+                for own, word in ((words[0], term), (words[1], None if sensitive or not term else term.lower())):
+                    if word:
+                        own.setdefault(word, []).append(k)
+            pair = []
+            for own in words:
+                automaton = ahocorasick.Automaton()
+                for word, ks in own.items():
+                    automaton.add_word(word, ks)
+                automaton.make_automaton()
+                pair.append(automaton)
+            built.append(pair)
+        _LAST[name] = built
+    return _LAST[name]
+
+
+def _found(text: str | None, exact, lower) -> list[int]:
+    hits: set[int] = set()
+    for automaton, own in ((exact, text), (lower, text.lower() if text and len(lower) else text)):
+        if own and len(automaton):
+            for _, ks in automaton.iter(own):
+                hits.update(ks)
+    return sorted(hits)
+
+
+def _blocks(terms: DataFrame, columns: list[str], case_sensitive: Column | None) -> Iterator[tuple]:
+    """(name, broadcast of (term, case_sensitive) for each of the columns, the block's terms with their numbers as __k) of each block of the query set."""
+    spark = terms.sparkSession
+    flag = F.lit(True) if case_sensitive is None else F.coalesce(case_sensitive, F.lit(False))
+    own = terms.where(F.col(columns[0]) != "").withColumn("__exact", flag)
+    n = -(-(own.agg(F.sum(F.octet_length(F.concat_ws("", *columns)))).first()[0] or 0) // BLOCK_BYTES) or 1
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in terms.schema.fields)
+    for block in range(n):
+        part = own if n == 1 else own.where(F.pmod(F.xxhash64(columns[0]), F.lit(n)) == block)
+        rows = list(part.toLocalIterator())  # one block of the query set
+        numbered = spark.createDataFrame([(k, *(r[c] for c in terms.columns)) for k, r in enumerate(rows)], f"__k int, {fields}")
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([[(r[c], r["__exact"]) for r in rows] for c in columns]), numbered
+
+
+def _marked(units: DataFrame, name: str, sent, text_cols: list[str]) -> DataFrame:
+    """The units with the numbers of the terms in each text, in arrays __k0, __k1 ..., in the texts' place."""
+    keep = [c for c in units.columns if c not in text_cols]
+    types = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    places, texts = [units.columns.index(c) for c in keep], [units.columns.index(c) for c in text_cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(name, sent)
+        for batch in batches:
+            found = [pa.array([_found(t, *automata[k]) for t in batch.column(i).to_pylist()], pa.list_(pa.int32())) for k, i in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *found], names=[*keep, *(f"__k{k}" for k in range(len(texts)))])
+
+    return units.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"__k{k} array<int>" for k in range(len(texts)))]))
+
+
 def occurrences(units: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "src", case_sensitive: Column | None = None) -> DataFrame:
-    """Units joined with the terms they hold. Small term lists are broadcast after a check of their size; larger ones meet the units by
-    a word of theirs, so only texts that hold that word are compared.
-    """
-    exact = F.lit(True) if case_sensitive is None else case_sensitive
-    size = terms.agg(F.sum(F.octet_length(term_col))).first()[0] or 0
-    if size <= MAX_SENT:
-        return units.join(F.broadcast(terms), term_hits(F.col(term_col), F.col(text_col), exact))
-    inner = F.split(F.lower(F.col(term_col)), r"[^\p{L}\p{N}]+")
-    # A term's ends may cut words; its longest word inside does not, and a term without one is compared by parts of three.
-    key = F.array_sort(F.filter(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: w != ""), lambda a, b: F.char_length(b) - F.char_length(a))
-    keyed = terms.withColumn("__key", F.get(key, F.lit(0)))
-    words = units.withColumn("__key", F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"))))
-    long = words.join(keyed.where("__key is not null"), "__key").where(term_hits(F.col(term_col), F.col(text_col), exact)).drop("__key")
-    short = keyed.where("__key is null").drop("__key")
-    return long.unionByName(units.join(short, term_hits(F.col(term_col), F.col(text_col), exact)))
+    """A row for each unit and each term that its text holds: the columns of the unit but for the text, and those of the term. One narrow pass
+    over the texts for each block of terms; a block's terms, which are bounded, are sent to meet the numbers found."""
+    parts = []
+    for name, sent, own in _blocks(terms, [term_col], case_sensitive):
+        hits = _marked(units, name, sent, [text_col]).withColumn("__k", F.explode("__k0")).drop("__k0")
+        parts.append(hits.join(F.broadcast(own), "__k").drop("__k"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def applied(units: DataFrame, terms: DataFrame, source_col: str, done_col: str, term_col: str = "src", wanted_col: str = "dst") -> DataFrame:
+    """A row for each unit and each term in its source, with applied: whether the translation holds the term's. Both texts are read in one
+    pass, and neither leaves it."""
+    parts = []
+    for name, sent, own in _blocks(terms, [term_col, wanted_col], None):
+        hits = _marked(units, name, sent, [source_col, done_col]).withColumn("__k", F.explode("__k0"))
+        hits = hits.withColumn("applied", F.array_contains("__k1", F.col("__k"))).drop("__k0", "__k1")
+        parts.append(hits.join(F.broadcast(own), "__k").drop("__k"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def vote_winner(votes: DataFrame, key: str, value: str) -> DataFrame:

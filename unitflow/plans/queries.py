@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from unitflow.functions import ids, kana, masks, scripts
+from unitflow.functions import ids, kana, masks, quality, scripts
 from unitflow.operators import batching, glossary, layout, review, rules, store
 from unitflow.sinks import render
 from unitflow.sources import lines as line_sources
@@ -179,11 +179,11 @@ def machine_literal(spark, sf_dir):
 
 
 @query(UNITS_SQL + r"""
-, w AS (SELECT doc_id, pos, list_filter(regexp_extract_all('訳 ' || left(line, 40) || ' OK NASA extra', '[A-Za-z]{2,}'), lambda w: NOT regexp_full_match(w, '[A-Z]{2,4}') AND contains(lower(line), lower(w))) AS words FROM units)
+, w AS (SELECT doc_id, pos, list_filter(regexp_extract_all('訳 ' || line || ' OK NASA extra', '[A-Za-z]{2,}'), lambda w: NOT regexp_full_match(w, '[A-Z]{2,4}') AND contains(lower(line), lower(w))) AS words FROM units)
 SELECT doc_id, pos, array_to_string(list_slice(list_filter(words, lambda w, i: list_position(list_transform(words, lambda x: lower(x)), lower(w)) = i), 1, 3), ',') AS residue FROM w""")
 def latin_residue(spark, sf_dir):
     own = units(spark, sf_dir)
-    made = F.concat(F.lit("訳 "), F.left("line", F.lit(40)), F.lit(" OK NASA extra"))
+    made = F.concat(F.lit("訳 "), "line", F.lit(" OK NASA extra"))
     return own.select("doc_id", "pos", F.array_join(scripts.latin_residue(made, F.col("line")), ",").alias("residue"))
 
 
@@ -335,9 +335,9 @@ SELECT src, count(*) AS occurrences, count(*) FILTER (used) AS applied, count(*)
 def glossary_check(spark, sf_dir):
     """Whether translations use the terms of their sources; here every third document's translation lacks them."""
     done = F.when(F.col("doc_id") % 3 != 0, F.upper("text")).otherwise("")
-    hits = glossary.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text", done.alias("done")), terms(spark, sf_dir))
-    used = F.contains("done", F.upper("src"))
-    return hits.groupBy("src").agg(F.count("*").alias("occurrences"), F.count_if(used).alias("applied"), F.count_if(~used).alias("missed")).where("missed > 0")
+    known = terms(spark, sf_dir).withColumn("dst", F.upper("src"))
+    hits = glossary.applied(table(spark, sf_dir, "documents").select("doc_id", "text", done.alias("done")), known, "text", "done")
+    return hits.groupBy("src").agg(F.count("*").alias("occurrences"), F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("missed")).where("missed > 0")
 
 
 @query(OCCURS_SQL + """, h AS (SELECT doc_id, src, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, src) AS rank FROM o JOIN c USING (src)) SELECT doc_id, src, count, rank FROM h WHERE rank <= 3""")
@@ -346,43 +346,94 @@ def glossary_batch_select(spark, sf_dir):
     return glossary.select_for(table(spark, sf_dir, "documents").select("doc_id", "text"), counted, ["doc_id"], 3)
 
 
-@query("""
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'translation is empty' WHEN 1 THEN 'line count differs' WHEN 2 THEN 'a line is blank' WHEN 3 THEN 'more than one line' END AS error FROM documents""")
+@query(r"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS own FROM documents),
+ d AS (SELECT doc_id, own, CASE doc_id % 5 WHEN 0 THEN list_transform(own, lambda x: ' ') WHEN 1 THEN own[2:] WHEN 2 THEN list_concat(own[:len(own) - 1], [' ']) WHEN 3 THEN list_concat(own, ['more']) ELSE own END AS done FROM l)
+SELECT doc_id, CASE WHEN len(list_filter(done, lambda x: regexp_matches(x, '[^\s]'))) = 0 THEN 'translation is empty'
+ WHEN doc_id % 5 <> 3 AND len(own) <> len(done) THEN 'line count differs'
+ WHEN doc_id % 5 = 2 AND regexp_matches(own[-1], '[^\s]') THEN 'a line is blank'
+ WHEN doc_id % 5 = 3 AND len(done) <> 1 THEN 'more than one line' END AS error FROM d""")
 def structure_check(spark, sf_dir):
-    k = F.col("doc_id") % 5
-    original = F.array(F.lit("a"), F.lit("b"))
-    made = F.when(k == 0, F.array(F.lit(" "), F.lit("　"))).when(k == 1, F.array(F.lit("x"))).when(k == 2, F.array(F.lit("x"), F.lit("\t"))).when(k == 3, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"), F.lit("y")))
-    kind = F.when(k == 3, "short_text").otherwise("array")
-    return table(spark, sf_dir, "documents").select("doc_id", review.structure_error(kind, original, made).alias("error"))
-
-
-REVIEW_SQL = NUMBERED_SQL + """, shown AS (SELECT *, CASE WHEN passthrough THEN line ELSE target END AS shown FROM numbered WHERE found),
- flagged AS (SELECT *, trim(line) = trim(shown) AS identical FROM shown)
+    """Each text's lines against themselves with all of them blank, the first gone, the last blank or one more."""
+    k, own = F.col("doc_id") % 5, F.col("own")
+    made = F.when(k == 0, F.transform(own, lambda x: F.lit(" "))).when(k == 1, F.slice(own, F.lit(2), F.size(own))).when(k == 2, F.concat(F.slice(own, F.lit(1), F.size(own) - 1), F.array(F.lit(" ")))).when(k == 3, F.concat(own, F.array(F.lit("more")))).otherwise(own)
+    df = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("own"))
+    return df.select("doc_id", review.structure_error(F.when(k == 3, "short_text").otherwise("array"), own, made).alias("error"))
+
+
+# Translations of all kinds: lines with kana of each kind, copies, lost literals, Latin words kept, by position and document.
+SHOWN_SQL = NUMBERED_SQL + r"""
+, made AS (SELECT *, CASE WHEN passthrough THEN line WHEN doc_id % 11 = 0 THEN line WHEN pos % 6 = 0 THEN '你们好っ' WHEN pos % 6 = 1 THEN '你们好っす' WHEN pos % 6 = 2 THEN 'これは' || line WHEN pos % 6 = 3 THEN '译文 ' || line ELSE '译文' || repeat('%%', len(string_split(line, '%%')) - 1) END AS shown, len(string_split(line, '%%')) - 1 AS n_literals FROM numbered WHERE found),
+ flagged AS (SELECT *, array_to_string(string_split(shown, '%%'), ' ') AS seen, NOT passthrough AND doc_id % 11 <> 0 AS other FROM made),
+ flags AS (SELECT doc_id, pos, passthrough, NOT other AS identical, other AND pos % 6 = 0 AS kana_edge, other AND pos % 6 = 1 AS kana_mixed, other AND pos % 6 = 2 AS kana_untranslated, other AND pos % 6 IN (0, 1) AND n_literals > 0 AS control_loss,
+   NOT passthrough AND len(list_filter(regexp_extract_all(seen, '[A-Za-z]{2,}'), lambda w: NOT regexp_full_match(w, '[A-Z]{2,4}'))) > 0 AS residual_latin FROM flagged)
 """
 
 
 def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, done = numbered(units(spark, sf_dir))
-    df = store.matched(own, done).withColumn("source_text", F.col("line")).withColumn("target_text", F.col("target"))
-    return review.flags(df, F.lit("en"), F.lit("zh"))
+    df = store.matched(own, done)
+    k, percent = F.col("pos") % 6, F.repeat(F.lit("%%"), F.size(F.split("line", "%%")) - 1)
+    target = F.when((k == 0), "你们好っ").when(k == 1, "你们好っす").when(k == 2, F.concat(F.lit("これは"), "line")).when(k == 3, F.concat(F.lit("译文 "), "line")).otherwise(F.concat(F.lit("译文"), percent))
+    target = F.when(F.col("doc_id") % 11 == 0, F.col("line")).otherwise(target)
+    return df.select("doc_id", "pos", "passthrough", F.lit("short_text").alias("item_type"), F.array("line").alias("original_lines"), F.when(F.col("passthrough").isNotNull(), F.array(target)).alias("translation_lines"))
 
 
-@query(REVIEW_SQL + """
-, rows AS (SELECT 'identical' AS bucket, doc_id, pos FROM flagged WHERE identical UNION ALL SELECT 'passthrough', doc_id, pos FROM flagged WHERE passthrough UNION ALL SELECT 'pending', doc_id, pos FROM numbered WHERE NOT found),
- top AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, pos) AS k FROM rows)
+@query(SHOWN_SQL + """
+, rows AS (SELECT doc_id, pos, unnest(['identical', 'kana_edge', 'kana_mixed', 'kana_untranslated', 'control_loss', 'residual_latin', 'residual_source']) AS bucket, unnest([identical, kana_edge, kana_mixed, kana_untranslated, control_loss, residual_latin, kana_edge OR kana_mixed OR kana_untranslated]) AS hit FROM flags
+  UNION ALL SELECT doc_id, pos, 'passthrough', passthrough FROM flags UNION ALL SELECT doc_id, pos, 'pending', NOT found FROM numbered),
+ top AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id, pos) AS k FROM rows WHERE hit)
 SELECT bucket, count(*) AS n, max(CASE WHEN k <= 40 THEN doc_id END) AS last_doc, count(*) FILTER (k <= 40) AS n_samples FROM top GROUP BY bucket""")
 def review_buckets(spark, sf_dir):
-    named = {"identical": F.col("identical"), "passthrough": F.col("passthrough"), "pending": F.col("passthrough").isNull()}
-    found = review.buckets(reviewed(spark, sf_dir), named, "doc_id", "pos")
-    w = Window.partitionBy("bucket").orderBy("doc_id", "pos")
-    rows = reviewed(spark, sf_dir).select(F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in named.items())))).alias("bucket"), "doc_id", "pos")
-    last = rows.withColumn("k", F.row_number().over(w)).where("k <= 40").groupBy("bucket").agg(F.max("doc_id").alias("last_doc"))
-    return found.join(last, "bucket").select("bucket", "n", "last_doc", F.size("sample").cast("long").alias("n_samples"))
+    """All buckets of a review with the first forty units of each."""
+    df = review.inspected(reviewed(spark, sf_dir), F.lit("en"), F.lit("zh"))
+    named = {b: F.col(b) for b in review.BUCKETS} | {"passthrough": F.col("passthrough"), "pending": F.col("passthrough").isNull()}
+    found = review.buckets(df, named, "doc_id", "pos")
+    return found.select("bucket", "n", F.array_max(F.transform("sample", lambda x: x["doc_id"])).alias("last_doc"), F.size("sample").cast("long").alias("n_samples"))
 
 
-@query(REVIEW_SQL + "SELECT doc_id, pos FROM flagged WHERE passthrough OR identical")
+@query(SHOWN_SQL + "SELECT doc_id, pos FROM flags WHERE passthrough OR identical OR control_loss OR kana_edge OR kana_mixed OR kana_untranslated")
 def blocking_ids(spark, sf_dir):
-    return reviewed(spark, sf_dir).where("passthrough or identical").select("doc_id", "pos")
+    """Units that may not be written, by the whole check."""
+    return review.blocking(reviewed(spark, sf_dir), F.lit("en"), F.lit("zh")).select("doc_id", "pos")
+
+
+@query(SHOWN_SQL + """SELECT doc_id, pos, CASE WHEN control_loss THEN 'literals lost' WHEN identical AND NOT passthrough THEN 'same as the source' WHEN kana_edge OR kana_mixed OR kana_untranslated THEN 'kana in Chinese' END AS fault FROM flags WHERE NOT passthrough""")
+def translation_fault(spark, sf_dir):
+    """The first fault of every translation."""
+    df = review.with_masks(reviewed(spark, sf_dir).where("not passthrough").withColumn("lines", F.col("translation_lines")))
+    return df.select("doc_id", "pos", review.fault(F.lit("en"), F.lit("zh")).alias("fault"))
+
+
+@query(UNITS_SQL + r"""
+, a AS (SELECT doc_id, pos, line, len(string_split(line, '%%')) - 1 AS n FROM units),
+ m AS (SELECT *, array_to_string(list_transform(generate_series(0, n), lambda k: '[CTRL_' || CASE WHEN pos % 4 = 1 AND k > 0 THEN k - 1 WHEN pos % 4 = 2 THEN n - k ELSE k END || ']'), ' ') AS answer FROM a)
+SELECT doc_id, pos, CASE WHEN pos % 4 = 1 AND n > 0 THEN 'mask twice' WHEN pos % 4 = 2 AND n > 0 THEN 'masks out of order' WHEN pos % 4 = 3 THEN 'unknown mask' END AS fault,
+ CASE WHEN pos % 4 = 0 OR n = 0 AND pos % 4 <> 3 THEN '译 ' || '\C[1]' || repeat(' %%', n) END AS target FROM m""")
+def accepted_answers(spark, sf_dir):
+    """A model's answers for each line after a control: masks in order, one twice, reversed, or one that is unknown."""
+    own = units(spark, sf_dir).select("doc_id", "pos", F.array(F.concat(F.lit("\\C[1]"), "line")).alias("original_lines"), (F.size(F.split("line", "%%")) - 1).alias("n"), F.lit("short_text").alias("item_type"))
+    k = F.col("pos") % 4
+    number = lambda i: F.when((k == 1) & (i > 0), i - 1).when(k == 2, F.col("n") - i).otherwise(i)
+    answer = F.array_join(F.transform(F.sequence(F.lit(0), "n"), lambda i: F.concat(F.lit("[CTRL_"), number(i), F.lit("]"))), " ")
+    answer = F.concat(F.lit("译 "), answer, F.when(k == 3, " [CTRL_999]").otherwise(""))
+    out = review.accepted(own.withColumn("answer", F.array(answer)), F.lit("en"), F.lit("zh"))
+    return out.select("doc_id", "pos", "fault", F.when(F.col("fault").isNull(), F.col("lines")[0]).alias("target"))
+
+
+@query(UNITS_SQL + r"""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'short_text' ELSE 'long_text' END AS item_type, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE len(parts) + 1 END::BIGINT AS n_lines,
+ CASE WHEN doc_id % 2 = 0 THEN regexp_replace(array_to_string(parts, chr(10)), '\n+', ' ', 'g') || ' 你们好哦～' ELSE array_to_string(parts, chr(10)) || chr(10) || '你们好哦～' END AS text
+FROM (SELECT doc_id, string_split(regexp_replace(text, '[ \t]*\n[ \t]*', chr(10), 'g'), chr(10)) AS parts FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{024F}]'))""")
+def normalised_lines(spark, sf_dir):
+    """Each text in one string with carriage returns, a Chinese line with sounds, and blank lines at the end: as one line, or as lines."""
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x{024F}]"))
+    text = F.regexp_replace("text", r"[ \t]*\n[ \t]*", "\n")
+    short = F.col("doc_id") % 2 == 0
+    made = F.concat(F.replace(text, F.lit("\n"), F.lit("\r\n")), F.when(short, "\r").otherwise("\n"), F.lit("你们好っすっー"), F.when(short, "").otherwise("\n\r\n "))
+    df = docs.select("doc_id", F.when(short, "short_text").otherwise("long_text").alias("item_type"), F.array(made).alias("lines"))
+    df = df.withColumn("out", quality.normalised(F.col("lines"), F.col("item_type"), F.array(F.lit("x")), F.array(F.lit("x")), F.lit("zh")))
+    return df.select("doc_id", "item_type", F.size("out").cast("long").alias("n_lines"), F.array_join("out", "\n").alias("text"))
 
 
 @query(r"""
@@ -477,14 +528,20 @@ def html_leaf_blocks(spark, sf_dir):
     return markup.html_units(pages, F.lit("auto"), "html", "page_id").select("page_id", "index", "location", "context", "id", F.array_join("original_lines", "\n").alias("text"))
 
 
-@query(UNITS_SQL + r"SELECT doc_id, pos, '[CTRL_0]' || line || ' [CTRL_1]' AS masked, 2::BIGINT AS n_literals, 1::BIGINT AS lost, '\C[' || pos || ']' || line || ' {name}' AS back FROM units WHERE NOT regexp_matches(line, '[\\{}%<>\[\]]')")
+# Of the literals that the grammar knows, the texts hold doubled percent signs alone; the queries add others.
+PERCENT_SQL = "string_split(line, '%%') AS parts"
+
+
+@query(UNITS_SQL + f"""
+, p AS (SELECT doc_id, pos, line, {PERCENT_SQL} FROM units)
+SELECT doc_id, pos, '[CTRL_0]' || array_to_string(list_transform(generate_series(1, len(parts)), lambda k: CASE WHEN k = 1 THEN parts[1] ELSE '[CTRL_' || (k - 1) || ']' || parts[k] END), '') || ' [CTRL_' || len(parts) || ']' AS masked,
+ (len(parts) + 1)::BIGINT AS n_literals, 1::BIGINT AS lost, '\\C[' || pos || ']' || line || ' {{name}}' AS back, ' ' || array_to_string(parts, ' ') || '  ' AS visible FROM p""")
 def mask_and_lost_tokens(spark, sf_dir):
-    """A control and a placeholder around each line without such characters of its own: masked, restored, and one of them lost."""
-    own = units(spark, sf_dir).where(~F.col("line").rlike(r"[\\{}%<>\[\]]"))
-    own = own.withColumn("full", F.concat(F.lit("\\C["), "pos", F.lit("]"), "line", F.lit(" {name}"))).withColumn("m", masks.masked(F.array("full")))
+    """A control and a placeholder around each line, whatever literals it has: masked, restored, and the control lost."""
+    own = units(spark, sf_dir).withColumn("full", F.concat(F.lit("\\C["), "pos", F.lit("]"), "line", F.lit(" {name}"))).withColumn("m", masks.masked(F.array("full")))
     done = F.array(F.concat(F.lit("{name} "), F.upper("line")))
     own = own.select("doc_id", "pos", "m", masks.lost(done, F.col("m.literals")).alias("lost"), masks.unmasked(F.col("m.masked"), F.col("m.literals")).alias("back"))
-    return own.select("doc_id", "pos", F.col("m.masked")[0].alias("masked"), F.size("m.literals").cast("long").alias("n_literals"), "lost", F.col("back")[0].alias("back"))
+    return own.select("doc_id", "pos", F.col("m.masked")[0].alias("masked"), F.size("m.literals").cast("long").alias("n_literals"), "lost", F.col("back")[0].alias("back"), F.col("m.visible")[0].alias("visible"))
 
 
 @query(r"""
@@ -547,11 +604,12 @@ def layout_shapes(spark, sf_dir):
 
 
 @query("""
-SELECT lang, count(*) AS n_units, count(*) * 2 AS n_controls, count(*) FILTER (doc_id % 3 = 0) AS lossy_units, count(*) FILTER (doc_id % 3 = 0) AS lost FROM documents GROUP BY lang""")
+WITH d AS (SELECT lang, doc_id, len(string_split(text, '%%')) - 1 AS n FROM documents)
+SELECT lang, count(*) AS n_units, sum(n + 2)::BIGINT AS n_controls, count(*) FILTER (doc_id % 3 = 0) AS lossy_units, sum(CASE WHEN doc_id % 3 = 0 THEN n + 1 ELSE 0 END)::BIGINT AS lost FROM d GROUP BY lang""")
 def control_loss_rate(spark, sf_dir):
-    """Two controls before each text's language; every third translation keeps one."""
-    source = F.array(F.concat(F.lit("\\C[1]{name} "), "lang"))
-    done = F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("\\C[1] done")).otherwise(F.lit("{name} \\C[1] done")))
+    """Two controls before each text; every third translation keeps the first alone."""
+    source = F.array(F.concat(F.lit("\\C[1]{name} "), "text"))
+    done = F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("\\C[1] done")).otherwise(F.concat(F.lit("{name} \\C[1] "), F.upper("text"))))
     df = table(spark, sf_dir, "documents").select("doc_id", "lang", masks.masked(source).alias("m"), done.alias("done"))
     df = df.select("lang", F.size("m.literals").alias("n"), masks.lost("done", "m.literals").alias("lost"))
     return df.groupBy("lang").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_controls"), F.count_if(F.col("lost") > 0).alias("lossy_units"), F.sum("lost").alias("lost"))
