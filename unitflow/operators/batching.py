@@ -12,6 +12,23 @@ def neighbours(df: DataFrame, scene: list[str], order: list[str], *values: str)
     return df.select("*", *(f(v).over(w).alias(f"{name}_{v}") for v in values for name, f in (("prev", F.lag), ("next", F.lead))))
 
 
+def snapshots(df: DataFrame, scene: list[str], order: list[str]) -> DataFrame:
+    """Adds prev and next, what a unit's neighbours in its scene show of themselves: (role, original, translation), bounded in length; units that were passed
+    through are no neighbours. df: role, original_lines, translation_lines and passthrough (null where there is no translation)."""
+    w = Window.partitionBy(*scene).orderBy(*order)
+    cut = lambda c, n: F.left(F.array_join(c, "\n"), F.lit(n))
+    shown = F.struct(F.left("role", F.lit(40)).alias("role"), cut("original_lines", 120).alias("original"), F.when(F.col("passthrough").isNotNull(), cut("translation_lines", 80)).alias("translation"))
+    own = df.where(~F.coalesce("passthrough", F.lit(False)))
+    return own.select("*", F.lag(shown).over(w).alias("prev"), F.lead(shown).over(w).alias("next"))
+
+
+def context_text(neighbour: Column) -> Column:
+    """A neighbour in one line."""
+    role = F.when(neighbour["role"] != "", F.concat(neighbour["role"], F.lit(" "))).otherwise("")
+    own = F.concat(role, F.lit("「"), F.replace(neighbour["original"], F.lit("\n"), F.lit(" / ")), F.lit("」"))
+    return F.when(neighbour.isNotNull(), F.concat(own, F.when(neighbour["translation"].isNotNull(), F.concat(F.lit("→「"), neighbour["translation"], F.lit("」"))).otherwise("")))
+
+
 def greedy(rows: Column, size, budget: int, max_items: int) -> Column:
     """Numbers of batches for an ordered array: a new batch begins where the next item would exceed the budget (an item larger
     than it stands alone) or the number of items. Linear in the array: the fold keeps three numbers and appends one."""

@@ -505,13 +505,13 @@ def snapshot_diff(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT conv_id, turn, (k // greatest(1, n // 2))::BIGINT AS batch FROM r""")
+WITH r AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM r WHERE turn % 3 <> 1)
+SELECT conv_id, turn, (k // greatest(1, n // 2))::BIGINT AS batch FROM f""")
 def retry_split(spark, sf_dir):
-    """Rejected rows in batches half as wide as the batch they came from, at least one row each."""
-    w = Window.partitionBy("conv_id")
-    k, n = F.row_number().over(w.orderBy("turn")) - 1, F.count("*").over(w)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor(k / F.greatest(F.lit(1), F.floor(n / 2))).cast("long").alias("batch"))
+    """Conversations as batches: the turns that a model got wrong, in batches half as wide as the one they came from."""
+    df = table(spark, sf_dir, "conversations").withColumn("n", F.count("*").over(Window.partitionBy("conv_id"))).where("turn % 3 <> 1")
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return df.select("conv_id", "turn", F.floor(k / F.greatest(F.lit(1), F.floor(F.col("n") / 2))).cast("long").alias("batch"))
 
 
 @query(UNITS_SQL + f"SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY lpad(pos::VARCHAR, 20, '0')) AS rank FROM units")
@@ -630,10 +630,21 @@ def context_budget(spark, sf_dir):
     return df.select("conv_id", "turn", (before - remaining).alias("given"), remaining.alias("remaining"))
 
 
-@query("""
-SELECT event_id, CASE WHEN json_type(props) <> 'OBJECT' THEN 'other' WHEN 5 * len(list_filter(json_keys(props), lambda k: json_type(json_extract(props, '$."' || k || '"')) = 'VARCHAR')) >= 4 * len(json_keys(props)) THEN 'texts' ELSE 'values' END AS shape FROM events""")
+SHAPES_SQL = """CASE doc_id % 6 WHEN 0 THEN 'paratranz' WHEN 1 THEN 'vnt' WHEN 2 THEN 'mtool' WHEN 3 THEN CASE WHEN len(string_split(text, chr(10))) >= 4 THEN 'i18next' END WHEN 5 THEN 'mtool' END"""
+
+
+@query(f"SELECT doc_id, {SHAPES_SQL} AS shape FROM documents UNION ALL SELECT event_id, NULL FROM events")
 def json_shape_detect(spark, sf_dir):
-    """Whether four fifths of an object's leaves are strings."""
-    leaves = tables.exploded(table(spark, sf_dir, "events").select("event_id", "props"), "props", ("event_id",), "leaf long, path string, value string, kind string", tables.json_leaves)
-    n = leaves.groupBy("event_id").agg(F.count_if(F.col("kind") == "string").alias("strings"), F.count("*").alias("n"))
-    return n.select("event_id", F.when(5 * F.col("strings") >= 4 * F.col("n"), "texts").otherwise("values").alias("shape"))
+    """Each text in a JSON file of one of the exchange formats, or of none; and the events' properties, which are none."""
+    text, k = F.col("text"), F.col("doc_id") % 6
+    made = (
+        F.when(k == 0, F.to_json(F.array(F.struct(F.lit("a").alias("key"), text.alias("original")))))
+        .when(k == 1, F.to_json(F.array(F.struct(F.lit("A").alias("name"), text.alias("message")))))
+        .when(k == 2, F.to_json(F.create_map(text, text)))
+        .when(k == 3, F.to_json(F.struct(F.split(text, "\n").alias("lines"), F.lit(1).alias("n"))))
+        .when(k == 4, F.concat(F.lit("{"), F.to_json(F.create_map(F.lit("x"), text))))
+        .otherwise(F.to_json(F.create_map(F.lit("名前"), text)))
+    )
+    df = table(spark, sf_dir, "documents").select("doc_id", made.alias("json"))
+    df = df.unionByName(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("json")))
+    return df.select("doc_id", tables.json_shapes(F.col("json")).alias("shape"))

@@ -36,27 +36,32 @@ def _decoded(m: re.Match) -> str:
 class _Open:
     """An element that is not closed yet."""
 
-    __slots__ = ("name", "is_block", "has_block", "skipped", "start", "text")
+    __slots__ = ("name", "is_block", "has_block", "skipped", "start", "inner", "text")
 
-    def __init__(self, name: str, start: int):
-        self.name, self.start, self.text = name, start, []
+    def __init__(self, name: str, start: int, inner: int, blocks: frozenset[str]):
+        self.name, self.start, self.inner, self.text = name, start, inner, []
         low = name.lower()
-        self.is_block, self.skipped, self.has_block = low in BLOCKS, low in SKIPPED, False
+        self.is_block, self.skipped, self.has_block = low in blocks, low in SKIPPED, False
 
 
 def leaf_blocks(html: str) -> list[str]:
-    """Texts of the blocks that hold no other block, in the order in which they begin.
+    """Texts of the blocks that hold no other block, in the order in which they begin."""
+    return [text for _, _, text in leaf_spans(html)]
+
+
+def leaf_spans(html: str, blocks: frozenset[str] = BLOCKS) -> list[tuple[int, int, str]]:
+    """(start and end of what stands inside, text) of the blocks that hold no other block, in the order in which they begin.
 
     An end tag closes the nearest open element of its name with all that opened inside it; one without such an element is
     passed over. Elements never closed end with the page. Line breaks become line feeds.
     """
     stack: list[_Open] = []
-    found: list[tuple[int, str]] = []
+    found: list[tuple[int, int, int, str]] = []
 
-    def close() -> None:
+    def close(stop: int) -> None:
         e = stack.pop()
         if e.is_block and not e.has_block:
-            found.append((e.start, "".join(e.text)))
+            found.append((e.start, e.inner, stop, "".join(e.text)))
         if stack:
             above = stack[-1]
             above.has_block |= e.is_block or e.has_block
@@ -72,20 +77,37 @@ def leaf_blocks(html: str) -> list[str]:
         elif m["close"] is not None:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == m["close"]), None)
             while depth is not None and len(stack) > depth:
-                close()
+                close(m.start())
         elif m["open"] is not None:
             if m["rest"].endswith("/") or m["open"].lower() in VOID:
                 if m["open"].lower() == "br" and stack:
                     stack[-1].text.append("\n")
-                elif m["open"].lower() in BLOCKS:  # a block, but one without text
-                    pass
             else:
-                stack.append(_Open(m["open"], m.start()))
+                stack.append(_Open(m["open"], m.start(), m.end(), blocks))
     if at < len(html):
         raise ValueError(f"unclosed tag at character {at}")
     while stack:
-        close()
-    return [t for _, t in sorted(found)]
+        close(len(html))
+    return [(inner, stop, text) for _, inner, stop, text in sorted(found)]
+
+
+def escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def rewritten(html: str, new: dict[int, list[str]], blocks: frozenset[str] = BLOCKS) -> str:
+    """A page with the insides of innermost blocks replaced, by their number: lines with breaks between them. All else stays as it is."""
+    out, at = [], 0
+    for k, (start, stop, _) in enumerate(leaf_spans(html, blocks)):
+        if k in new:
+            out += [html[at:start], "<br/>".join(map(escaped, new[k]))]
+            at = stop
+    return "".join(out) + html[at:]
+
+
+def html_text(html: str, new: dict[str, list[str]]) -> str:
+    """rewritten() by location: #b00000."""
+    return rewritten(html, {int(k.rsplit("#b", 1)[1]): v for k, v in new.items()})
 
 
 def html_units(pages: DataFrame, source: Column, text_col: str = "html", *keep: str) -> DataFrame:

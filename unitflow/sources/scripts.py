@@ -10,7 +10,7 @@ from unitflow.sources.lines import lines
 
 # First words of lines that hold a quoted string but no dialogue.
 NO_DIALOGUE = ("voice", "play", "stop", "queue", "scene", "show", "hide", "jump", "call", "image", "with", "define", "default")
-QUOTED = r'"((?:[^"\\]|\\.)*)"'
+QUOTED = r'"((?:[^"\\]++|\\.)*+)"'
 
 
 def ass_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str) -> DataFrame:

@@ -6,8 +6,10 @@ Each parser is a plain function of one text; Spark runs it where the files' rows
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +44,10 @@ def exploded(df: DataFrame, text_col: str, keep: tuple[str, ...], schema: str, p
     return own.mapInArrow(run, whole)
 
 
-def csv_records(text: str, delimiter: str = ",") -> list[list[str]]:
-    """Fields of each record. A field that begins with a quote ends at its closing quote, doubled quotes inside are one; quotes elsewhere are
-    themselves. Records end at a line feed, with or without a carriage return before it."""
-    records, fields, at, n = [], [], 0, len(text)
+def csv_spans(text: str, delimiter: str = ",") -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end without its line end, fields) of each record. A field that begins with a quote ends at its closing quote, doubled quotes inside are
+    one; quotes elsewhere are themselves. Records end at a line feed, with or without a carriage return before it."""
+    fields, at, n, start = [], 0, len(text), 0
     while at < n:
         value = ""
         while at < n and text[at] == '"' and not value:  # quoted parts; an empty one may be followed by another
@@ -56,17 +58,22 @@ def csv_records(text: str, delimiter: str = ",") -> list[list[str]]:
             value, at = text[at + 1 : stop].replace('""', '"'), min(stop + 1, n)
         stop = min((p for p in (text.find(delimiter, at), text.find("\n", at)) if p >= 0), default=n)
         ends = stop < n and text[stop] == "\n"
-        value += text[at : stop - 1 if ends and stop > at and text[stop - 1] == "\r" else stop]
+        bare = stop - 1 if ends and stop > at and text[stop - 1] == "\r" else stop
+        value += text[at:bare]
         fields.append(value)
         at = stop + 1
         if ends or stop == n:
             if stop < n or value or len(fields) > 1:
-                records.append(fields)
-            fields = []
+                yield start, bare, fields
+            fields, start = [], at
         elif at == n:  # a delimiter at the very end
-            records.append([*fields, ""])
+            yield start, n, [*fields, ""]
             fields = []
-    return records
+
+
+def csv_records(text: str, delimiter: str = ",") -> list[list[str]]:
+    """Fields of each record."""
+    return [fields for _, _, fields in csv_spans(text, delimiter)]
 
 
 def csv_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str, delimiter: str = ",") -> DataFrame:
@@ -164,6 +171,45 @@ def json_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str
     return own.withColumn("id", ids.unit_id(F.lit("i18next"), F.col("location"), F.col("original_lines"))).drop("value", "kind")
 
 
+def json_shape(text: str | None) -> str | None:
+    """Which exchange format a JSON text is in, by its contents: paratranz, vnt, mtool, i18next or none of them."""
+    try:
+        root = json.loads(text or "", parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return None
+    if isinstance(root, list):
+        first = root[0] if root and isinstance(root[0], dict) else {}
+        return "paratranz" if "original" in first and "key" in first else "vnt" if "message" in first else None
+    if not isinstance(root, dict):
+        return None
+    if root and all(isinstance(v, str) for v in root.values()):
+        equal = sum(k == v for k, v in root.items())
+        if equal * 10 >= len(root) * 3 or any(_JAPANESE.search(k) for k in root):
+            return "mtool"
+    strings = others = 0
+    left = [root]
+    while left:
+        value = left.pop()
+        if isinstance(value, (dict, list)):
+            left += value.values() if isinstance(value, dict) else value
+        else:
+            strings, others = strings + isinstance(value, str), others + (not isinstance(value, str))
+    return "i18next" if strings and strings * 5 >= (strings + others) * 4 else None
+
+
+_JAPANESE = re.compile("[\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]")
+
+
+def json_shapes(text: Column) -> Column:
+    """json_shape() of a column, one Arrow batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(json_shape)
+
+    return run(text)
+
+
 def jsonl_units(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """A unit for each record of JSON lines; nothing is filtered. A line that is no record of id and text fails the read."""
 
