@@ -55,6 +55,22 @@ def test_token_counts_by_brute_force(spark):
         assert r.log_prob == pytest.approx(sum(s for s, _ in splits))
 
 
+def test_token_counts_of_hard_rows(spark):
+    """A word of many characters, rows that repeat, and extra columns with names of the result."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, byte_score = token_counts.zipf_pieces(path)
+    trie = token_counts.UnigramTrie(pieces, byte_score)
+    rng = random.Random(6)
+    for _ in range(200):
+        word = "\u2581" + "".join(rng.choices(["the", "ing", "a", "\u00e9", "\u6f22", "x", "q"], k=rng.randint(0, 12)))
+        assert trie.alone(word) == pytest.approx(trie.insert(word))
+        assert trie.alone(word) == pytest.approx(brute_split(word, pieces, byte_score)[::-1])
+    docs = spark.createDataFrame([(1, "ab" * 400_000, 5, "x"), (1, "ab ab", 5, "x"), (1, "ab ab", 5, "x"), (None, "", 5, "x")], "doc_id long, text string, n_tokens long, kept string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect()))
+    two = 2 * brute_split("\u2581ab", pieces, byte_score)[1]
+    assert got == [(0, 0, 0), (1, 1, got[1][2]), (1, 2, two), (1, 2, two)] and got[1][2] > 1000
+
+
 def brute_coverage(text, item):
     """Greedy string tiling by trying every pair of places."""
     a, b = decontamination.tokens_of(text), decontamination.tokens_of(item)

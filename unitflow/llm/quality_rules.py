@@ -28,6 +28,7 @@ CLASSES = ("lower", "space", "upper", "letter", "digit", "point", "rest")
 #: Words from which a text is judged by its characters, and by its common words: shorter histograms are too sparse.
 MIN_WORDS = 50
 MIN_WORDS_FOR_WORDS = 100
+#: Words from which a language's reference judges documents.
 MIN_REFERENCE_WORDS = 1000
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.30
@@ -87,17 +88,21 @@ def references(feats: DataFrame) -> DataFrame:
     return sums.select("language", _share(F.col("all_classes")).alias("class_reference"), _share(F.col("all_words")).alias("word_reference"), "reference_words")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, min_words_for_words: int = MIN_WORDS_FOR_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = MIN_WORDS, min_words_for_words: int = MIN_WORDS_FOR_WORDS, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_reference_words: int = MIN_REFERENCE_WORDS, reference: DataFrame | None = None) -> DataFrame:
     """One row per document: base counts, base_failed, class_distance, word_distance and kept.
 
+    The references are those of the documents of reference, or of all documents judged. A language whose reference has fewer words than
+    min_reference_words judges none: such a reference says little, and two or three texts would judge themselves.
+
     The features, which hold no text, are written once: the references and the verdicts both read them. The
     references are at most five rows, so they are broadcast.
     """
     feats = materialize(features(docs, id_col, text_col, lang_col), "quality")
-    df = feats.join(F.broadcast(references(feats)), "language", "left")
+    own = feats if reference is None else features(reference, id_col, text_col, lang_col)
+    df = feats.join(F.broadcast(references(own)), "language", "left")
     df = df.select("*", _share(F.col("class_counts")).alias("p"), _share(F.col("word_counts")).alias("q"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     df = df.select("*", failed.alias("base_failed"), _distance(F.col("p"), F.col("class_reference")).alias("class_distance"), _distance(F.col("q"), F.col("word_reference")).alias("word_distance"))
-    sparse = lambda n: (F.col("n_words") < n) | (F.col("reference_words") < MIN_REFERENCE_WORDS)
+    sparse = lambda n: (F.col("n_words") < n) | (F.coalesce("reference_words", F.lit(0)) < min_reference_words)
     close = (sparse(min_words) | (F.col("class_distance") <= max_class_distance)) & (sparse(min_words_for_words) | (F.col("word_distance") <= max_word_distance))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & close).alias("kept"))

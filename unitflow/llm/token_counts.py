@@ -6,6 +6,7 @@ pre-tokens share the prefix, and the node where a pre-token ends keeps its count
 split with fewer pieces counts. A piece's probability follows its rank in the vocabulary by Zipf's law; characters in no piece
 cost a piece for each of their bytes.
 
+A word longer than MAX_WORD is scored by the same recurrence without nodes, keeping only as many scores as the longest piece needs.
 A null or empty text has no tokens. Rows that repeat are counted each; ids may be null; an empty table gives an empty
 result. Narrow: no shuffle; memory is bounded by one chunk of text, the trie and the cache.
 """
@@ -13,6 +14,7 @@ result. Narrow: no shuffle; memory is bounded by one chunk of text, the trie and
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +28,8 @@ MARK = "▁"
 MAX_NODES = 600_000
 MAX_KEPT = 500_000
 CHUNK_CHARS = 1 << 20
+#: Characters of the longest word that gets nodes.
+MAX_WORD = 10_000
 
 
 class UnigramTrie:
@@ -44,6 +48,23 @@ class UnigramTrie:
         self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
 
+    def alone(self, word: str) -> tuple[int, float]:
+        """Like insert(), for a word of any length: without nodes, in memory that its length does not change."""
+        scores = deque([(0.0, 0)], self.longest)  # of the prefixes before this character, the last one last
+        for d, c in enumerate(word, 1):
+            n_bytes = len(c.encode())
+            top, least = scores[-1][0] + n_bytes * self.byte_score, scores[-1][1] + n_bytes
+            for n in self.endings.get(c, ()):
+                if n > d:
+                    break
+                own = self.pieces.get(word[d - n : d])
+                if own is not None:
+                    total, count = scores[-n][0] + own, scores[-n][1] + 1
+                    if total > top or total == top and count < least:
+                        top, least = total, count
+            scores.append((top, least))
+        return scores[-1][1], scores[-1][0]
+
     def insert(self, word: str) -> tuple[int, float]:
         """Pieces and log probability of the best split of a pre-token."""
         path, node = [0], 0
@@ -100,7 +121,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
                 for w in sorted(missing):
                     if len(trie.best) > MAX_NODES:
                         trie.clear()
-                    kept[w] = trie.insert(MARK + w.decode())
+                    own = MARK + w.decode()
+                    kept[w] = trie.insert(own) if len(own) <= MAX_WORD else trie.alone(own)
                 for words in listed:
                     found = [kept[w] for w in words]
                     rows.append((len(words), sum(n for n, _ in found), math.fsum(s for _, s in found)))
