@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +32,25 @@ def context_text(neighbour: Column) -> Column:
     return F.when(neighbour.isNotNull(), F.concat(own, F.when(neighbour["translation"].isNotNull(), F.concat(F.lit("→「"), neighbour["translation"], F.lit("」"))).otherwise("")))
 
 
-def greedy(rows: Column, size, budget: int, max_items: int) -> Column:
-    """Numbers of batches for an ordered array: a new batch begins where the next item would exceed the budget (an item larger
-    than it stands alone) or the number of items. Linear in the array: the fold keeps three numbers and appends one."""
-    state = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        new = (s["n"] > 0) & ((s["used"] + size(r) > budget) | (s["n"] >= max(1, max_items)))
-        batch = s["batch"] + new.cast("long")
-        used, n = F.when(new, 0).otherwise(s["used"]) + size(r), F.when(new, 0).otherwise(s["n"]) + 1
-        return F.struct(batch.alias("batch"), used.cast("long").alias("used"), n.cast("long").alias("n"), F.concat(s["out"], F.array(batch)).alias("out"))
-
-    return F.aggregate(rows, state, step)["out"]
-
-
 def pack(df: DataFrame, scene: list[str], order: str, size_col: str, budget: int, max_items: int, *keep: str) -> DataFrame:
-    """scene, order, keep and batch (from 0 within a scene): a scene is one bounded island, gathered and folded."""
-    rows = df.groupBy(*scene).agg(F.sort_array(F.collect_list(F.struct(order, F.col(size_col).alias("size"), *keep))).alias("rows"))
-    rows = rows.select(*scene, F.arrays_zip("rows", greedy(F.col("rows"), lambda r: r["size"], budget, max_items).alias("batch")).alias("z"))
-    return rows.select(*scene, F.explode("z").alias("z")).select(*scene, f"z.rows.{order}", *(f"z.rows.{k}" for k in keep), F.col("z.batch").alias("batch"))
+    """scene, order, keep and batch (from 0 within a scene): a new batch begins where the next item would exceed the budget (an item larger than it
+    stands alone) or the number of items. Scenes are sorted by Spark and stream past three numbers, so none is gathered, however long."""
+    own = df.select(*scene, order, *keep, F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("__size")).repartition(*scene).sortWithinPartitions(*scene, order)
+    names = [*scene, order, *keep]
+    types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    most = max(1, max_items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, used, n = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for key, size in zip(zip(*(batch.column(i).to_pylist() for i in range(len(scene))), strict=True), batch.column(len(names)).to_pylist(), strict=True):
+                if key != last:
+                    last, number, used, n = key, 0, 0, 0
+                elif used + size > budget or n >= most:
+                    number, used, n = number + 1, 0, 0
+                used, n = used + size, n + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.int64())], names=[*names, "batch"])
+
+    return own.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), "batch long"]))

@@ -21,11 +21,14 @@ def matches_field(pattern: Column, field: Column) -> Column:
 def apply_rules(units: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds the verdict that holds for each (field, domain): later layers, exact patterns, skips and later positions win.
 
-    Rules are written by hand, so they are few: they meet the distinct (field, domain) pairs, not the units.
+    Rules meet the distinct (field, domain) pairs, not the units, by equality: a pair offers its field and each of its suffixes after a star.
     """
     kinds = units.select("field", "domain").distinct()
+    places = F.when(F.col("field") != "", F.sequence(F.lit(1), F.char_length("field"))).otherwise(F.array().cast("array<int>"))
+    suffixes = F.transform(places, lambda i: F.concat(F.lit("*"), F.substring("field", i, F.char_length("field"))))
+    offered = kinds.select("field", "domain", F.explode(F.concat(F.array("field"), suffixes)).alias("pattern"))
     test = matches_field(F.col("pattern"), F.col("field")) & (F.col("rule_domain").isNull() | (F.col("rule_domain") == F.col("domain")))
-    hits = kinds.join(F.broadcast(rules), test)
+    hits = offered.join(rules, "pattern").where(test)
     best = F.max_by("verdict", F.struct("layer", (~F.col("pattern").startswith("*")).alias("exact"), (F.col("verdict") == "skip").alias("skip"), "position"))
     verdicts = hits.groupBy("field", "domain").agg(best.alias("verdict"))
     return units.join(verdicts, ["field", "domain"], "left")
