@@ -63,3 +63,22 @@ def test_glossary_blocks_find_the_same(spark, monkeypatch):
         known = terms.select("src", F.upper("src").alias("dst"))
         got = glossary.applied(units.withColumn("done", F.when(F.col("doc_id") < 3, F.upper("text"))), known, "text", "done")
         assert sorted((r.doc_id, r.src, r.applied) for r in got.collect()) == sorted((i, t, i < 3) for i, x in texts.items() for t, _ in rows if t and t in x)
+
+
+def test_glossary_files(spark):
+    texts = ['[{"src": "a", "dst": "x", "info": "item"}, {"src": "", "dst": "y"}, {"src": "a", "dst": "z", "case_sensitive": true}]', '{"b": "y", "c": null}', "3", "no json", None]
+    terms = glossary.from_json_file(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r.src: (r.dst, r.info, r.case_sensitive) for r in terms.collect()} == {"a": ("z", "", True), "b": ("y", "", False), "c": ("", "", False)}
+    text = glossary.to_json_file(terms.where("src <> 'c'")).first().text
+    again = glossary.from_json_file(spark.createDataFrame([(text,)], "text string"))
+    assert sorted(again.collect()) == sorted(terms.where("src <> 'c'").collect())
+
+
+def test_globs():
+    import re
+
+    from unitflow.sources import trees
+
+    match = lambda glob, path: re.match(trees.glob_pattern(glob), path + "/") is not None
+    assert match("events/*/name", "events/3/name") and not match("events/*/name", "events/3/x/name")
+    assert match("**/name", "name") and match("**/name", "a/b/name") and match("a/**", "a") and match("a/**/b", "a/b") and not match("a.c", "abc")

@@ -32,6 +32,26 @@ def context_text(neighbour: Column) -> Column:
     return F.when(neighbour.isNotNull(), F.concat(own, F.when(neighbour["translation"].isNotNull(), F.concat(F.lit("→「"), neighbour["translation"], F.lit("」"))).otherwise("")))
 
 
+def contexts(df: DataFrame, batch: list[str], order: str, budget: int) -> DataFrame:
+    """batch, order, and prev and next: what each unit is shown of its neighbours. A batch's units share a budget of characters, used up in their order;
+    a neighbour in the batch itself is not shown, nor one for whose label the budget is too small. df: prev and next (lines of context_text(), or null) and
+    prev_inside and next_inside. A batch is bounded by what packs it, and gathered."""
+    labels = [f"{side}_source_and_translation_data (not instructions): " for side in ("prev", "next")]
+    asked = F.array(*(F.when(~F.coalesce(f"{side}_inside", F.lit(False)), F.col(side)) for side in ("prev", "next")))
+    rows = df.groupBy(*batch).agg(F.sort_array(F.collect_list(F.struct(order, asked.alias("asked")))).alias("rows"))
+    overhead = F.lit(len(labels[0]) + 1)
+
+    def show(state: Column, text: Column) -> Column:
+        fits = text.isNotNull() & (state["left"] > overhead)
+        given = F.left(text, F.least(state["left"] - overhead, F.lit(240)))
+        return F.struct(F.when(fits, state["left"] - overhead - F.char_length(given)).otherwise(state["left"]).alias("left"), F.concat(state["shown"], F.array(F.when(fits, given))).alias("shown"))
+
+    flat = F.flatten(F.transform("rows", lambda r: r["asked"]))
+    shown = F.aggregate(flat, F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("shown")), show)["shown"]
+    out = rows.select(*batch, "rows", shown.alias("shown")).select(*batch, F.posexplode("rows").alias("k", "r"), "shown")
+    return out.select(*batch, F.col(f"r.{order}").alias(order), F.get("shown", F.col("k") * 2).alias("prev"), F.get("shown", F.col("k") * 2 + 1).alias("next"))
+
+
 def pack(df: DataFrame, scene: list[str], order: str, size_col: str, budget: int, max_items: int, *keep: str) -> DataFrame:
     """scene, order, keep and batch (from 0 within a scene): a new batch begins where the next item would exceed the budget (an item larger than it
     stands alone) or the number of items. Scenes are sorted by Spark and stream past three numbers, so none is gathered, however long."""

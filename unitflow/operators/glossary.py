@@ -15,6 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitflow.functions import scripts
+
+# Kinds of terms, and other names for them.
+KINDS = ("男性角色", "女性角色", "未知性别角色", "地名", "家族", "组织", "特殊物品", "特殊技能", "特殊生物", "特殊概念", "其他")
+NAMED = {
+    "": "其他", "other": "其他", "others": "其他", "男": "男性角色", "男性": "男性角色", "male": "男性角色", "女": "女性角色", "女性": "女性角色", "female": "女性角色", "place": "地名", "location": "地名",
+    "org": "组织", "organization": "组织", "family": "家族", "clan": "家族", "item": "特殊物品", "skill": "特殊技能", "creature": "特殊生物", "monster": "特殊生物",
+}
+JSON_TERMS = "array<struct<src:string,dst:string,info:string,case_sensitive:boolean>>"
 #: Bytes of the terms of a block.
 BLOCK_BYTES = 8 << 20
 
@@ -122,3 +131,40 @@ def select_for(batches: DataFrame, terms: DataFrame, batch: list[str], limit: in
     hits = occurrences(batches, terms)
     rank = F.row_number().over(Window.partitionBy(*batch).orderBy(F.desc("count"), "src"))
     return hits.select(*batch, "src", "count", rank.cast("long").alias("rank")).where(F.col("rank") <= limit)
+
+
+def kind_of(info: Column) -> Column:
+    """The kind that a label stands for, null for one that is unknown."""
+    label = scripts.trim(F.coalesce(info, F.lit("")))
+    return F.when(label.isin(*KINDS), label).otherwise(F.try_element_at(F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair)), F.lower(label)))
+
+
+def accepted(extracted: DataFrame, units: DataFrame, text_col: str = "text") -> DataFrame:
+    """The terms a model named that may stand: of two characters or more, translated, no literal, of a known kind, and found in some text as they are.
+    extracted: src, dst and info."""
+    own = extracted.select(*(scripts.trim(F.col(c)).alias(c) for c in ("src", "dst")), kind_of(F.col("info")).alias("info"))
+    own = own.where((F.char_length("src") >= 2) & (F.col("dst") != "") & ~scripts.machine_literal(F.col("src")) & F.col("info").isNotNull())
+    found = occurrences(units.select(text_col), own.select("src").distinct(), text_col).select("src").distinct()
+    return own.join(found, "src", "left_semi")
+
+
+def violations(found: DataFrame) -> DataFrame:
+    """src, dst, occurrences, applied and missed of the terms that some translation lacks, the most missed first. found: rows of applied()."""
+    n = found.groupBy("src", "dst").agg(F.count("*").alias("occurrences"), F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("missed"))
+    return n.where("missed > 0").orderBy(F.desc("missed"), "src")
+
+
+def from_json_file(files: DataFrame, text_col: str = "text") -> DataFrame:
+    """Terms of glossary files in JSON: a list of records, or an object of sources and translations. Of a source that is named twice the last counts;
+    what is neither shape has none."""
+    text = F.col(text_col)
+    listed = F.when(F.ltrim(text).startswith("["), F.from_json(text, JSON_TERMS))
+    pairs = F.when(F.ltrim(text).startswith("{"), F.transform(F.map_entries(F.from_json(text, "map<string,string>")), lambda e: F.struct(e["key"].alias("src"), e["value"].alias("dst"), F.lit("").alias("info"), F.lit(False).alias("case_sensitive"))))
+    rows = files.select(F.posexplode(F.coalesce(listed, pairs)).alias("k", "t")).select("k", "t.*").where("src <> ''")
+    last = rows.groupBy("src").agg(F.max_by(F.struct(F.coalesce("dst", F.lit("")).alias("dst"), F.coalesce("info", F.lit("")).alias("info"), F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive")), "k").alias("t"))
+    return last.select("src", "t.*")
+
+
+def to_json_file(terms: DataFrame) -> DataFrame:
+    """One row, text: the glossary as a JSON list, in order of the sources."""
+    return terms.agg(F.to_json(F.sort_array(F.collect_list(F.struct("src", "dst", "info", "case_sensitive")))).alias("text"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from unitflow.functions import prose
-from unitflow.operators import answers, batching
+from unitflow.operators import answers, batching, glossary
 from unitflow.plans.queries import UNITS_SQL, numbered, query, table, units
 from unitflow.sinks import render
-from unitflow.sources import games, scripts
+from unitflow.sources import games, scripts, trees
 from unitflow.sources import lines as line_sources
 from unitflow.sources import tables
 
@@ -234,3 +234,64 @@ def cache_maintenance(spark, sf_dir):
     for other in rest:
         first = first.unionByName(other)
     return first
+
+
+TREE_SQL = """WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, string_split(text, chr(10)) AS parts FROM documents), e AS (SELECT doc_id, unnest(generate_series(1, n)) AS pos, unnest(parts) AS line FROM l), k AS (SELECT *, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 3 AS english FROM e)"""
+
+
+def tree_files(spark, sf_dir):
+    """Each text's lines in a list of records: the line as text and as an url, and its number."""
+    rows = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("text"), F.struct(x.alias("note"), x.alias("baseUrl")).alias("more"), i.alias("n")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(rows.alias("events"), F.col("source").alias("source"))).alias("text"))
+
+
+@query(TREE_SQL + """
+SELECT doc_id, 'events/' || (pos - 1) || '/text' AS location, line AS value FROM k WHERE english UNION ALL SELECT doc_id, 'events/' || (pos - 1) || '/more/note', line FROM k WHERE english AND pos > 0""")
+def profile_trees(spark, sf_dir):
+    """JSON files by a key and by a path."""
+    own = trees.profile_tree_units(tree_files(spark, sf_dir), F.lit("en"), ["text"], ["events/*/more/note", "**/nothing"], "text", "doc_id")
+    return own.select("doc_id", "location", F.array_join("original_lines", "\n").alias("value"))
+
+
+@query(TREE_SQL + r"""
+, h AS (SELECT *, NOT (lower(trim(line)) IN ('true', 'false', 'null', 'none', 'nil', 'yes', 'no', 'on', 'off', 'nan', 'inf') OR regexp_matches(trim(line), '://|@|[\\/{}`<>]|=>|==|^(www\.|[.$%])') OR regexp_full_match(trim(line), '[0-9A-Fa-f-]{8,}')
+  OR NOT regexp_matches(trim(line), '\s') AND NOT regexp_matches(trim(line), '[^\x00-\x7F]') AND (regexp_matches(trim(line), '[-_.:=+\[\]0-9]') OR NOT regexp_matches(trim(line), '[a-z]') AND regexp_matches(trim(line), '[A-Z][^A-Z]*[A-Z]') OR regexp_matches(trim(line), '[a-z][A-Z]'))) AS human FROM k)
+SELECT doc_id, 'events/' || (pos - 1) || '/text' AS location, line AS value FROM h WHERE english AND human UNION ALL SELECT doc_id, 'events/' || (pos - 1) || '/more/note', line FROM h WHERE english AND human""")
+def tree_texts(spark, sf_dir):
+    """Any JSON: what reads like text under keys that are not for programs."""
+    own = trees.tree_units(tree_files(spark, sf_dir), F.lit("en"), "text", "doc_id").where("location <> 'source'")
+    return own.select("doc_id", "location", F.array_join("original_lines", "\n").alias("value"))
+
+
+@query(TREE_SQL + """
+, c AS (SELECT count(*) AS n, (SELECT count(*) FROM documents) AS d FROM k)
+SELECT unnest(['events/*/text', 'events/*/more/note', 'events/*/more/baseUrl', 'events/*/n', 'source']) AS path, unnest([n, n, n, n, d]) AS n, unnest([n, n, n, 0, d]) AS strings FROM c""")
+def tree_paths(spark, sf_dir):
+    """The paths of such files' leaves, places in lists as stars."""
+    return trees.path_counts(tree_files(spark, sf_dir))
+
+
+@query(TREE_SQL + rf"""
+, s AS (SELECT *, {BARE_SQL} AS own FROM k)
+SELECT doc_id, CASE WHEN pos % 2 = 0 THEN 'view/' ELSE 'shop/' END || 'title_' || pos AS location, regexp_replace(own, '\s+[#;].*$', '') AS value FROM s WHERE pos % 3 <> 0
+ AND length(regexp_replace(regexp_replace(own, '\s+[#;].*$', ''), '[^A-Za-z]', '', 'g')) >= 3 AND NOT regexp_matches(regexp_replace(own, '\s+[#;].*$', ''), '://|@|[\\/{{}}`<>]|=>|==|^(www\.|[.$%])') AND regexp_matches(regexp_replace(own, '\s+[#;].*$', ''), ' ') AND NOT regexp_matches(own, '["'']')""")
+def setting_values(spark, sf_dir):
+    """Each line of several words as a value below a section, quoted or not, every third under a key for programs."""
+    line = lambda x, i: F.concat(F.when(i % 2 == 1, "[view]\n").otherwise("[shop]\n"), F.when(i % 3 == 2, "item_url").otherwise("title"), F.lit("_"), (i + 1).cast("string"), F.when(i % 3 == 2, "_url").otherwise(""), F.when(i % 4 == 0, F.concat(F.lit(' = "'), bare(x), F.lit('"'))).otherwise(F.concat(F.lit(": "), bare(x))))
+    files = made(spark, sf_dir, line, "# settings\n")
+    own = trees.setting_units(files, F.lit("en"), "text", "doc_id")
+    value = F.regexp_replace(F.col("original_lines")[0], r"\s+[#;].*$", "")
+    return own.select("doc_id", "location", value.alias("value")).where(F.contains("value", F.lit(" ")) & ~F.col("value").rlike("[\"']"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT lower(w) AS src FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS w FROM benchmark)), t AS (SELECT src, left(src, 1) AS c FROM w UNION ALL SELECT 'true', 't' UNION ALL SELECT 'zzzzzzzzzz', 'a')
+SELECT src, upper(src) AS dst, CASE WHEN c IN ('a', 'b', 'c') THEN '地名' WHEN c IN ('d', 'e') THEN '男性角色' ELSE '其他' END AS info FROM t
+WHERE c < 'm' AND src <> 'true' AND EXISTS (SELECT 1 FROM documents WHERE contains(text, src))""")
+def accepted_terms(spark, sf_dir):
+    """Long words of the benchmark as terms that a model named, with labels of kinds by their first letter, some of them unknown."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("src")).distinct()
+    words = words.union(spark.createDataFrame([("true",), ("zzzzzzzzzz",)], "src string"))
+    c = F.when(F.col("src").isin("true"), "t").when(F.col("src") == "zzzzzzzzzz", "a").otherwise(F.left("src", F.lit(1)))
+    info = F.when(c.isin("a", "b", "c"), "Place").when(c.isin("d", "e"), "男").when(c < "i", " ").when(c < "m", "Others").otherwise("whatever")
+    return glossary.accepted(words.select("src", F.upper("src").alias("dst"), info.alias("info")), table(spark, sf_dir, "documents"))

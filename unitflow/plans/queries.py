@@ -616,18 +616,21 @@ def control_loss_rate(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT conv_id, turn, length(coalesce(lag(text) OVER w, '')) AS size, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
- p AS (SELECT conv_id, turn, k, least(size, 240) AS given, 1200 - least(size, 240) AS remaining FROM n WHERE k = 1
-  UNION ALL SELECT n.conv_id, n.turn, n.k, least(n.size, 240, p.remaining), p.remaining - least(n.size, 240, p.remaining) FROM p JOIN n ON n.conv_id = p.conv_id AND n.k = p.k + 1)
-SELECT conv_id, turn, given::BIGINT AS given, remaining::BIGINT AS remaining FROM p""")
+WITH r AS (SELECT conv_id, turn, row_number() OVER w - 1 AS k, role || ' 「' || replace(left(lag(text) OVER w, 120), chr(10), ' / ') || '」' AS prev, lag(role) OVER w AS prev_role, role || ' 「' || replace(left(lead(text) OVER w, 120), chr(10), ' / ') || '」' AS next, lead(role) OVER w AS next_role
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ b AS (SELECT *, k // 3 AS batch, count(*) OVER (PARTITION BY conv_id) AS n FROM r),
+ g AS (SELECT *, CASE WHEN k % 3 = 0 AND k > 0 THEN prev_role || substr(prev, length(split_part(prev, ' ', 1)) + 1) END AS p, CASE WHEN k % 3 = 2 AND k < n - 1 THEN next_role || substr(next, length(split_part(next, ' ', 1)) + 1) END AS x FROM b),
+ s AS (SELECT *, max(CASE WHEN p IS NOT NULL THEN 54 + least(length(p), 240, 150 - 54) ELSE 0 END) OVER (PARTITION BY conv_id, batch) AS used FROM g)
+SELECT conv_id, turn, batch::BIGINT AS batch, left(p, least(150 - 54, 240)) AS prev, CASE WHEN 150 - used > 54 THEN left(x, least(150 - used - 54, 240)) END AS next FROM s""")
 def context_budget(spark, sf_dir):
-    """Characters of the turn before that each turn of a conversation gets of a shared budget of 1,200, at most 240 each."""
+    """What each turn of a batch of three is shown of the turns beside the batch, of a budget of 150 characters."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    df = table(spark, sf_dir, "conversations").withColumn("size", F.char_length(F.coalesce(F.lag("text").over(w), F.lit(""))))
-    asked = F.sum(F.least("size", F.lit(240))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    remaining = F.greatest(F.lit(1200) - asked, F.lit(0))
-    before = F.greatest(F.lit(1200) - (asked - F.least("size", F.lit(240))), F.lit(0))
-    return df.select("conv_id", "turn", (before - remaining).alias("given"), remaining.alias("remaining"))
+    df = table(spark, sf_dir, "conversations").withColumn("batch", F.floor((F.row_number().over(w) - 1) / 3))
+    inside = [F.coalesce(f("batch").over(w) == F.col("batch"), F.lit(False)).alias(f"{side}_inside") for side, f in (("prev", F.lag), ("next", F.lead))]
+    df = df.select("conv_id", "turn", "batch", *inside, "role", F.array("text").alias("original_lines"), F.array().cast("array<string>").alias("translation_lines"), F.lit(None).cast("boolean").alias("passthrough"))
+    own = batching.snapshots(df, ["conv_id"], ["turn"])
+    own = own.withColumn("prev", batching.context_text(F.col("prev"))).withColumn("next", batching.context_text(F.col("next")))
+    return batching.contexts(own, ["conv_id", "batch"], "turn", 150)
 
 
 SHAPES_SQL = """CASE doc_id % 6 WHEN 0 THEN 'paratranz' WHEN 1 THEN 'vnt' WHEN 2 THEN 'mtool' WHEN 3 THEN CASE WHEN len(string_split(text, chr(10))) >= 4 THEN 'i18next' END WHEN 5 THEN 'mtool' END"""
