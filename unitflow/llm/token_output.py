@@ -29,12 +29,15 @@ from unitflow.llm.shared import chunked, keyed, materialize, shuffle_partitions
 
 MAGIC = b"DACF1\0\0\0"
 RANK_BITS = 512
-MAX_KEPT = 1_200_000
+MAX_KEPT = 1_500_000
 CHUNK_CHARS = 1 << 20
 #: Text that one task encodes, and packed ids after which it begins another file.
 TASK_BYTES, FILE_BYTES = 32 << 20, 8 << 20
 _SPACED = bytes(32 if c == 10 else c for c in range(256))
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256))
+_POINTS = b".,;:!?#*$%&|<>()"
+#: A pre-tokenizer that parts letters, digits and all else, and no run of these.
+_PARTS_ENDS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -115,6 +118,15 @@ def _parts(text: bytes, lowers: bool) -> list[bytes]:
     return text.translate(_LOWERED if lowers and b"<|" not in text else _SPACED).split(b" ")
 
 
+def _ended(part: bytes) -> tuple[bytes, bytes]:
+    """A part and the points at its end, if it is long enough and the pre-tokenizer parts the two: after a letter or a digit, which no mark that
+    follows could change."""
+    word = part.rstrip(_POINTS)
+    if len(word) == len(part) or not word or b"<|" in part or not (word[-1:].isalnum() or word.decode()[-1].lower()[-1].isalpha()):
+        return part, b""
+    return word, part[len(word) :]
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -132,7 +144,8 @@ class Encoder:
     """Packed ids of texts, the end id last.
 
     The vocabulary's pre-tokenizer never crosses a space or a line feed, and normalising is local to what lies between them: a worker
-    encodes each such part once while its cache holds it.
+    encodes each such part once while its cache holds it. Where the pre-tokenizer also parts letters from points, a word and the points at its end are
+    encoded apart, so that a word is encoded once for all its endings.
     """
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -144,6 +157,7 @@ class Encoder:
         self.width = 4 if own.get_vocab_size() > 1 << 16 else 2
         self.kind = "I" if self.width == 4 else "H"
         self.lowers = '"Lowercase"' in json.dumps(json.loads(own.to_str())["normalizer"])
+        self.ends = _PARTS_ENDS in json.loads(own.to_str())["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
         self.last = array(self.kind, [end_id]).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -153,9 +167,13 @@ class Encoder:
             missing = set().union(*listed)
             if len(kept) + len(missing) > MAX_KEPT:
                 kept.clear()
-            new = list(missing.difference(kept))
-            for w, e in zip(new, own.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            new = missing.difference(kept)
+            ended = {w: pair for w in new if (pair := _ended(w))[1]} if self.ends else {}
+            whole = list((new.difference(ended) | {x for pair in ended.values() for x in pair}).difference(kept))
+            for w, e in zip(whole, own.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False), strict=True):
                 kept[w] = array(self.kind, e.ids).tobytes()
+            for w, (word, points) in ended.items():
+                kept[w] = kept[word] + kept[points]
             for parts in listed:
                 yield b"".join(map(kept.__getitem__, parts)) + self.last
 
