@@ -66,3 +66,6 @@ def test_streamed_cache(spark, tmp_path):
     spark.createDataFrame([("b", 3, "new"), ("c", 1, "c")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     cache.upserts(spark, stream(), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert {(r.unit_id, r.target) for r in cache.latest(spark, f"{tmp_path}/out").collect()} == {("a", "y"), ("b", "new"), ("c", "c")}
+    cache.compact(spark, f"{tmp_path}/out", f"{tmp_path}/small")
+    assert sorted(cache.latest(spark, f"{tmp_path}/small").collect()) == sorted(cache.latest(spark, f"{tmp_path}/out").collect())
+    assert cache.latest(spark, f"{tmp_path}/none") is None
