@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from unitflow.functions.scripts import let
+
 # The grammar of what is kept.
 CONTROL = r"\\{2}|\\[A-Za-z]+\[[^\]\r\n]*\]|\\[!.>|{\}\\\$\^]|\\[A-Za-z]"
 BRACE = r"\{\{\s*[A-Za-z_][A-Za-z0-9_.]*\s*\}\}|\{[A-Za-z_][A-Za-z0-9_]*\}|\{\d+(?:,-?\d+)?(?::[^{}\r\n]+)?\}"
@@ -111,35 +113,43 @@ def reorderable(literal: Column) -> Column:
     return ~literal.startswith("[CTRL_") & literal.rlike(f"^(?:{BRACE}|{BRACKET})$") | literal.rlike(r"^%[0-9]+\$")
 
 
-def _first_fault(found: Column, fault) -> Column:
-    """The fault of the first element that has one; fault gets the elements before, the element, and its place."""
-    return F.get(F.array_compact(F.transform(found, lambda x, k: fault(F.slice(found, F.lit(1), k), x, k))), F.lit(0))
+def _first(faults: Column) -> Column:
+    return F.get(F.array_compact(faults), F.lit(0))
+
+
+def _before(flags: Column, k: Column) -> Column:
+    """How many of the flags before place k are set."""
+    return F.size(F.filter(F.slice(flags, F.lit(1), k), lambda f: f))
 
 
 def literal_fault(actual: Column, expected: Column) -> Column:
     """What is wrong with a translation's literals, given those of its source, or null: none may be new or more, those with a fixed place keep
     their order, none may be missing."""
-    fixed = lambda xs: F.filter(xs, lambda x: ~reorderable(x))
     times = lambda xs, y: F.size(F.filter(xs, lambda x: x == y))
 
-    def fault(before: Column, x: Column, k: Column) -> Column:
-        moved = ~reorderable(x) & ~F.get(fixed(expected), F.size(fixed(before))).eqNullSafe(x)
-        return F.when(times(before, x) >= times(expected, x), "unexpected literal").when(moved, "literals out of order")
+    def faults(wanted: Column, fixed: Column) -> Column:
+        moved = lambda x, k: F.get(fixed, k) & ~F.get(wanted, _before(fixed, k)).eqNullSafe(x)
+        return F.transform(actual, lambda x, k: F.when(times(F.slice(actual, F.lit(1), k), x) >= times(expected, x), "unexpected literal").when(moved(x, k), "literals out of order"))
 
-    return F.coalesce(_first_fault(actual, fault), F.when(F.size(actual) < F.size(expected), "missing literal"))
+    found = let(F.filter(expected, lambda x: ~reorderable(x)), lambda wanted: let(F.transform(actual, lambda x: ~reorderable(x)), lambda fixed: faults(wanted, fixed)))
+    return F.coalesce(_first(found), F.when(F.size(actual) < F.size(expected), "missing literal"))
 
 
 def mask_fault(lines: Column, literals: Column) -> Column:
     """What is wrong with the masks of an answer, given the literals by number, or null: each is there once, and those with a fixed place
     keep their order."""
-    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(MASK), F.lit(0))))
+    tokens = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(MASK), F.lit(0))))
     number = lambda t: F.regexp_extract(t, r"^\[CTRL_(0|[1-9][0-9]{0,8})\]$", 1).try_cast("int")
-    own = lambda t: F.get(literals, number(t))
     in_order = F.array_compact(F.transform(literals, lambda x, i: F.when(~reorderable(x), i)))
 
-    def fault(before: Column, t: Column, k: Column) -> Column:
-        n = F.size(F.filter(before, lambda b: ~reorderable(own(b))))
-        moved = ~reorderable(own(t)) & ~F.get(in_order, n).eqNullSafe(number(t))
-        return F.when(own(t).isNull(), "unknown mask").when(F.array_contains(before, t), "mask twice").when(moved, "masks out of order")
+    def faults(found: Column, numbers: Column, fixed: Column, wanted: Column) -> Column:
+        unknown = lambda k: F.get(literals, F.get(numbers, k)).isNull()
+        moved = lambda k: F.get(fixed, k) & ~F.get(wanted, _before(fixed, k)).eqNullSafe(F.get(numbers, k))
+        return F.transform(found, lambda t, k: F.when(unknown(k), "unknown mask").when(F.array_contains(F.slice(found, F.lit(1), k), t), "mask twice").when(moved(k), "masks out of order"))
+
+    def fault(found: Column) -> Column:
+        placed = lambda ns: F.transform(ns, lambda n: F.coalesce(~reorderable(F.get(literals, n)), F.lit(False)))
+        every = let(F.transform(found, number), lambda ns: let(placed(ns), lambda fixed: let(in_order, lambda wanted: faults(found, ns, fixed, wanted))))
+        return F.coalesce(_first(every), F.when(F.size(found) < F.size(literals), "missing mask"))
 
-    return F.coalesce(_first_fault(found, fault), F.when(F.size(found) < F.size(literals), "missing mask"))
+    return let(tokens, fault)

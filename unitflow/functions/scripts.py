@@ -91,11 +91,22 @@ def machine_literal(text: Column) -> Column:
     return (s == "") | s.isin("true", "false", "null", "undefined") | number | asset | code
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once: inside a lambda an expression is evaluated anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def latin_residue(translation: Column, source: Column) -> Column:
     """Up to three distinct ASCII words that a translation keeps from its source; short all-capital words may stay."""
-    words = F.filter(F.regexp_extract_all(translation, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: ~w.rlike("^[A-Z]{2,4}$") & F.contains(F.lower(source), F.lower(w)))
-    first = F.filter(words, lambda w, i: F.array_position(F.transform(words, lambda x: F.lower(x)), F.lower(w)) == i + 1)
-    return F.slice(first, 1, 3)
+    words = F.filter(F.regexp_extract_all(translation, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: ~w.rlike("^[A-Z]{2,4}$"))
+
+    def first(ws: Column, lows: Column, own: Column) -> Column:
+        kept = lambda xs: F.filter(xs, lambda x: F.contains(own, x))
+        few = lambda xs: F.when(F.size(kept(F.slice(xs, F.lit(1), F.lit(16)))) >= 3, kept(F.slice(xs, F.lit(1), F.lit(16)))).otherwise(kept(xs))
+        found = F.slice(let(F.array_distinct(lows), few), 1, 3)
+        return F.transform(found, lambda x: F.get(ws, F.array_position(lows, x).cast("int") - 1))
+
+    return let(words, lambda ws: let(F.transform(ws, lambda w: F.lower(w)), lambda lows: let(F.lower(source), lambda own: first(ws, lows, own))))
 
 
 def line_shape(line: Column) -> Column:
