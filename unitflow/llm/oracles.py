@@ -61,4 +61,29 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN joined USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op10_secret_scan": SECRET_SCAN}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents WHERE text IS NOT NULL),
+ q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all({_LOWER}, '{_TERM}')) AS ts FROM benchmark WHERE text IS NOT NULL),
+ s AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM d WHERE len(ts) > 0),
+ tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY rid, term),
+ w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n),
+ m AS (SELECT rid, doc_id, 10 + (90 * len(ts) * n) // l AS m FROM d, s WHERE len(ts) > 0),
+ scores AS (SELECT qid, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM (SELECT qid, item_id, unnest(ts) AS term FROM q) JOIN w USING (term) JOIN tf USING (term) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW o AS (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER o <= 10
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ t AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+ c AS (SELECT *, len(ts) AS n, least(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS a, greatest(h1 % (len(ts) + 1), h2 % (len(ts) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM t),
+ p AS (SELECT *, array_to_string(ts[1:a], '') AS prefix, array_to_string(ts[a + 1:b], '') AS middle, array_to_string(ts[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN coalesce(length(prefix), 0) END AS prefix_chars, CASE WHEN form <> 'plain' THEN coalesce(length(middle), 0) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": QUALITY_RULES, "op10_secret_scan": SECRET_SCAN, "op11_lexical_search": LEXICAL_SEARCH, "op12_fill_in_middle": FILL_IN_MIDDLE}

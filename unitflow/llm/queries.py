@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitflow.llm import bpe, decontamination, lm_scoring, near_dedup, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
+from unitflow.llm import bpe, decontamination, fill_in_middle, lexical_search, lm_scoring, near_dedup, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
 from unitflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from unitflow.llm.shared import read
 
@@ -61,6 +61,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(secret_scan.digest(F.col("base")), 256).alias("base_sha256"), secret_scan.digest(F.col("spans")).alias("spans"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(read(spark, sf_dir, "documents"))
+    text = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,4 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
