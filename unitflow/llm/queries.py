@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitflow.llm import bpe, decontamination, fill_in_middle, lexical_search, lm_scoring, near_dedup, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
+from unitflow.llm import bpe, decontamination, fill_in_middle, lexical_search, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, token_counts, token_output
 from unitflow.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from unitflow.llm.shared import read
 
@@ -71,6 +71,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -84,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_lexical_search": op11_lexical_search,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitflow.functions.written import shared_dir, written
+
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -25,28 +26,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset and all of Spark is one process."""
-    try:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # an older session refuses core settings
-        found = None
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="unitflow-")  # one machine without a setting, as in tests
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df below the shared folder and reads it back: cuts the lineage at files that outlive an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/unitflow/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialize = written
 
 
 def materialize_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
