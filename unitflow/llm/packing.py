@@ -18,6 +18,7 @@ table gives no pieces. Other columns, whatever their names, are left out.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -44,7 +45,7 @@ GROUPS = 64
 GAPS = (0, 1, 2, 4, 8, 16, 32)
 #: A worker's cache of encoded parts: entries, and characters of a part that is kept.
 MAX_KEPT, LONGEST = 1_200_000, 64
-CHUNK_CHARS, LINE_BYTES = 1 << 20, 1 << 14
+CHUNK_CHARS, LINE_BYTES = 4 << 20, 1 << 14
 #: Stands before a part that no space precedes: a lone surrogate, which no valid text contains.
 BARE = "\ud800"
 _WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
@@ -62,6 +63,23 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(2)
+def _ranked(path: str):
+    """The same merges by rank, several times as fast, for lines of Latin words; None where the order of merges isn't that of the ids."""
+    import tiktoken
+
+    model = json.loads(_tokenizer(path).to_str())["model"]
+    listed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in listed]
+    byte = {chr(b): b for b in listed} | {chr(256 + k): b for k, b in enumerate(others)}  # how a byte-level vocabulary writes bytes
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    joined = [model["vocab"][a + b] for a, b in pairs]
+    ranks = {bytes(map(byte.__getitem__, t)): i for t, i in model["vocab"].items() if all(c in byte for c in t) and t != SPECIAL}
+    if model["type"] != "BPE" or model.get("ignore_merges") or joined != sorted(joined) or len(ranks) != len(pairs) + 256:
+        return None
+    return tiktoken.Encoding("merges", pat_str=r" ?\p{L}+| ?\p{N}+", mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(2)
 def _bytes_of(path: str) -> np.ndarray:
     """The number of bytes that each id stands for: a byte-level vocabulary writes each byte as a character, special tokens as they are."""
@@ -94,11 +112,14 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array(self.kind, e.ids).tobytes() for e in _tokenizer(self.vocabulary).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> Iterator[bytes]:
+    def _spaced(self, words: list[str], latin: bool) -> Iterator[bytes]:
         """The ids of each word with a space before it: words are encoded in lines, and ids are dealt out by the bytes they stand for."""
         sizes = [len(w.encode()) + 1 for w in words]
         at = list(chunked(sizes, LINE_BYTES))
-        for (low, high), line in zip(at, self._library(["".join([" " + w for w in words[low:high]]) for low, high in at]), strict=True):
+        ranked = _ranked(self.vocabulary) if latin else None
+        lines = ["".join([" " + w for w in words[low:high]]) for low, high in at]
+        encoded = [array(self.kind, ranked.encode_ordinary(x)).tobytes() for x in lines] if ranked else self._library(lines)
+        for (low, high), line in zip(at, encoded, strict=True):
             ends = np.cumsum(_bytes_of(self.vocabulary)[np.frombuffer(line, f"<u{self.width}")])
             stops = (np.searchsorted(ends, np.cumsum(sizes[low:high])) + 1) * self.width
             yield from map(line.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))
@@ -138,7 +159,10 @@ class Encoder:
             for k in keys:
                 (bare if k[0] == BARE else plain).add(k)
         spaced, alone = list(plain.difference(kept)), list(bare.difference(kept))
-        kept.update(zip(spaced, self._spaced(spaced), strict=True))
+        latin = [w for w in spaced if (w.isascii() or max(w) < "\u0250") and w.isalnum()]
+        other = list(set(spaced).difference(latin))
+        kept.update(zip(latin, self._spaced(latin, True), strict=True))
+        kept.update(zip(other, self._spaced(other, False), strict=True))
         kept.update(zip(alone, self._library([k[1:] for k in alone]), strict=True))
         passing.extend(k for own in (spaced, alone) for k in own if len(k) > LONGEST)
         for part, word, points in ended:
@@ -409,7 +433,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
         nth = r - (keys[at] & ((1 << 48) - 1))
         return pd.DataFrame({"sequence_id": sequence[at] + nth // many[at], "offset": offset[at] + nth % many[at] * n})
 
-    ranked = own.join(before, ["length", "part"])
+    ranked = own.join(before.hint("merge"), ["length", "part"])  # as large as there are tasks: not for every executor
     ranked = ranked.withColumn("at", placed("length", F.col("before") + F.col("place")))
     return ranked.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", "at.sequence_id", "at.offset")
 
