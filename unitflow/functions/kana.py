@@ -12,7 +12,7 @@ CHINESE_CHARACTERS = "这這吗嗎么麼你妳们們唔呜嗚咯哟喲哦呀啊
 CHINESE_WORDS = "小心|舒服|羞耻|羞恥|不要|不行|务必|務必|字形|今天|现在|現在|谢谢|謝謝"
 PARTICLES = ("の", "は", "を", "が", "に", "で", "と", "も", "へ")
 QUOTES = "「[^「」\\r\\n]*」|『[^『』\\r\\n]*』|“[^“”\\r\\n]*”|‘[^‘’\\r\\n]*’|\"[^\"\\r\\n]*\"|'[^'\\r\\n]*'|`[^`\\r\\n]*`"
-MECHANICAL = "^(?:っすよ|っす|[っッー])+$"
+MECHANICAL = "^(?:っすよ|っす|[っッー])++$"
 HANGUL_OR_ASCII = r"[A-Za-z\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}]"
 KINDS = ("edge", "mixed", "untranslated")
 

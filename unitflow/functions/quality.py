@@ -36,7 +36,7 @@ def sanitised(lines: Column, item_type: Column) -> Column:
 
 def restored(lines: Column, original: Column, masked: Column) -> Column:
     """Blank lines take the source's line where that holds literals alone, if there are as many lines. masked: the source's lines with masks."""
-    alone = lambda m: m.rlike(r"(?U)^(?:\s*\[CTRL_[0-9]+\])+\s*$")
+    alone = lambda m: m.rlike(r"(?U)^(?:\s*+\[CTRL_[0-9]+\])++\s*$")
     zipped = F.arrays_zip(lines.alias("line"), original.alias("own"), masked.alias("mask"))
     put = F.transform(zipped, lambda z: F.when((scripts.trim(z["line"]) == "") & alone(z["mask"]), z["own"]).otherwise(z["line"]))
     return F.when(F.size(lines) == F.size(original), put).otherwise(lines)

@@ -24,7 +24,7 @@ DEVANAGARI_TAGS = ("hi", "mr", "ne")
 LATIN_TAGS = ("de", "fr", "es", "it", "pt", "nl", "pl", "cs", "sk", "ro", "hu", "tr", "vi", "id", "ms", "sv", "no", "da", "fi")
 ALIASES = {"jp": "ja", "jpn": "ja", "zho": "zh", "chi": "zh", "cn": "zh", "eng": "en", "kor": "ko"}
 # Extensions of files a program loads.
-ASSET_EXTENSIONS = "png jpg jpeg gif webp bmp svg ogg mp3 m4a wav mp4 webm json js css ttf otf woff woff2 rpgmvp rpgmvo rpgmvm".split()
+ASSET_EXTENSIONS = "png jpg jpeg ogg m4a wav json js css webm".split()
 
 
 def trim(text: Column) -> Column:
@@ -86,9 +86,9 @@ def machine_literal(text: Column) -> Column:
     """Blank texts, literals, numbers, file names of assets and code: never prose."""
     s = trim(text)
     number = s.rlike(r"(?i)^[+-]?(?:inf(?:inity)?|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$")
-    asset = F.lower(F.substring_index(s, ".", -1)).isin(*ASSET_EXTENSIONS) & s.contains(".")
-    code = s.startswith("$game") | s.startswith("function") | s.contains("return ")
-    return (s == "") | s.isin("true", "false", "null", "undefined") | number | asset | code
+    asset = F.lower(F.substring_index(s, ".", -1)).isin(*ASSET_EXTENSIONS)
+    code = s.contains("$game") | s.startswith("function") | s.contains("return ")
+    return (s == "") | F.lower(s).isin("true", "false", "null", "undefined") | number | asset | code
 
 
 def let(value: Column, body) -> Column:
@@ -116,15 +116,16 @@ def line_shape(line: Column) -> Column:
     return F.replace(F.replace(F.regexp_replace(s, "[0-9]+", "\x02"), F.lit("\x01"), F.lit("<w>")), F.lit("\x02"), F.lit("<n>"))
 
 
-def display_width(text: Column) -> Column:
-    """Cells of a text: one for ASCII, two for anything else."""
+def display_width(text: Column, control: str = "") -> Column:
+    """Cells of a text: one for ASCII, two for anything else, none for what matches control."""
+    text = F.regexp_replace(text, control, "") if control else text
     return (2 * F.char_length(text) - F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))).cast("long")
 
 
 def natural_key(location: Column) -> Column:
     """A string whose order is that of the location with its digit runs taken as numbers."""
     padded = F.regexp_replace(location, r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
+    return F.regexp_replace(padded, r"(?<!\d)0*(\d{20})(?!\d)", "$1")
 
 
 def field_of(location: Column) -> Column:

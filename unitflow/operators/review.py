@@ -32,7 +32,7 @@ def with_masks(df: DataFrame, rules: tuple[str, ...] = masks.CORE) -> DataFrame:
 def label_fault(original: Column, lines: Column, label: str, control: str) -> Column:
     """What is wrong with the speaker of a text whose first line is a label alone, after controls and blanks: the translation begins with one
     too, and has text after it if the source has."""
-    lead = rf"(?sU)^((?:(?:{control})|\s)*)({label})(.*)$"
+    lead = rf"(?sU)^((?:(?:{control})|\s)*+)({label})(.*)$"
     mark = lambda x: F.regexp_extract(x, lead, 2)
     ends = lambda m: (F.left(m, F.lit(1)), F.right(m, F.lit(1)), F.substring(m, F.lit(2), F.char_length(m) - 2))
 

@@ -72,7 +72,8 @@ def ass_render(spark, sf_dir):
 
 def renpy_files(spark, sf_dir):
     quoted = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return made(spark, sf_dir, lambda x, i: F.concat(F.when(i % 4 == 3, "    voice ").otherwise("    e "), F.lit('"'), quoted(bare(x)), F.lit('"')), "translate fr start:\n", "\nlabel end:\n")
+    words = F.array(*(F.lit(f"    {w} ") for w in scripts.NO_DIALOGUE))
+    return made(spark, sf_dir, lambda x, i: F.concat(F.when(i % 4 == 3, F.get(words, F.floor(i / 4).cast("int") % 13)).otherwise("    e "), F.lit('"'), quoted(bare(x)), F.lit('"')), "translate fr start:\n", "\nlabel end:\n")
 
 
 @query(LINES_SQL + rf"SELECT doc_id, pos + 1 AS pos, 'dialogue' AS domain, {BARE_SQL} AS line FROM e WHERE english AND pos % 4 <> 0")
@@ -84,7 +85,7 @@ def renpy_dialogue(spark, sf_dir):
 
 @query(LINES_SQL + rf"""
 , q AS (SELECT *, CASE WHEN english AND pos % 4 <> 0 THEN '<' || {BARE_SQL} || '>' ELSE {BARE_SQL} END AS shown FROM e)
-SELECT doc_id, 'translate fr start:' || chr(10) || string_agg(CASE WHEN pos % 4 = 0 THEN '    voice ' ELSE '    e ' END || '"' || replace(replace(shown, '\', '\\'), '"', '\"') || '"', chr(10) ORDER BY pos) || chr(10) || 'label end:' || chr(10) AS text FROM q GROUP BY doc_id""")
+SELECT doc_id, 'translate fr start:' || chr(10) || string_agg(CASE WHEN pos % 4 = 0 THEN '    ' || ['voice', 'play', 'queue', 'show', 'scene', 'image', 'jump', 'call', 'pause', 'stop', 'window', 'hide', 'with'][((pos - 1) // 4) % 13 + 1] || ' ' ELSE '    e ' END || '"' || replace(replace(shown, '\', '\\'), '"', '\"') || '"', chr(10) ORDER BY pos) || chr(10) || 'label end:' || chr(10) AS text FROM q GROUP BY doc_id""")
 def renpy_render(spark, sf_dir):
     files = renpy_files(spark, sf_dir)
     return render.renpy(files, marked(scripts.renpy_units(files, F.lit("en"), "text", "doc_id")), ["doc_id"])
@@ -272,16 +273,17 @@ def tree_paths(spark, sf_dir):
 
 
 @query(TREE_SQL + rf"""
-, s AS (SELECT *, {BARE_SQL} AS own FROM k)
-SELECT doc_id, CASE WHEN pos % 2 = 0 THEN 'view/' ELSE 'shop/' END || 'title_' || pos AS location, regexp_replace(own, '\s+[#;].*$', '') AS value FROM s WHERE pos % 3 <> 0
- AND length(regexp_replace(regexp_replace(own, '\s+[#;].*$', ''), '[^A-Za-z]', '', 'g')) >= 3 AND NOT regexp_matches(regexp_replace(own, '\s+[#;].*$', ''), '://|@|[\\/{{}}`<>]|=>|==|^(www\.|[.$%])') AND regexp_matches(regexp_replace(own, '\s+[#;].*$', ''), ' ') AND NOT regexp_matches(own, '["'']')""")
+, s AS (SELECT *, {BARE_SQL} AS own FROM k),
+ v AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 1 THEN own WHEN regexp_matches(own, '^["'']') THEN NULL WHEN pos % 4 = 2 THEN regexp_replace(own, '\s*[#;].*$', '') ELSE regexp_replace(own, '(^|\s+)#.*$', '') END AS value FROM s WHERE pos % 3 <> 0)
+SELECT doc_id, CASE WHEN pos % 2 = 0 THEN 'view/' ELSE 'shop/' END || 'title_' || pos AS location, value FROM v WHERE length(regexp_replace(value, '[^A-Za-z]', '', 'g')) >= 3 AND regexp_matches(value, '[A-Za-z]') AND NOT (lower(value) IN ('true', 'false', 'null', 'none', 'nil', 'yes', 'no', 'on', 'off', 'nan', 'inf') OR regexp_matches(value, '://|@|[\\/{{}}`<>]|=>|==|^(www\.|[.$%])') OR regexp_full_match(value, '[0-9A-Fa-f-]{{8,}}')
+  OR NOT regexp_matches(value, '\s') AND NOT regexp_matches(value, '[^\x00-\x7F]') AND (regexp_matches(value, '[-_.:=+\[\]0-9]') OR NOT regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z][^A-Z]*[A-Z]') OR regexp_matches(value, '[a-z][A-Z]')))""")
 def setting_values(spark, sf_dir):
-    """Each line of several words as a value below a section, quoted or not, every third under a key for programs."""
-    line = lambda x, i: F.concat(F.when(i % 2 == 1, "[view]\n").otherwise("[shop]\n"), F.when(i % 3 == 2, "item_url").otherwise("title"), F.lit("_"), (i + 1).cast("string"), F.when(i % 3 == 2, "_url").otherwise(""), F.when(i % 4 == 0, F.concat(F.lit(' = "'), bare(x), F.lit('"'))).otherwise(F.concat(F.lit(": "), bare(x))))
-    files = made(spark, sf_dir, line, "# settings\n")
-    own = trees.setting_units(files, F.lit("en"), "text", "doc_id")
-    value = F.regexp_replace(F.col("original_lines")[0], r"\s+[#;].*$", "")
-    return own.select("doc_id", "location", value.alias("value")).where(F.contains("value", F.lit(" ")) & ~F.col("value").rlike("[\"']"))
+    """Each line as a value below a section, quoted or not, with and without a comment, every third under a key for programs."""
+    quoted = lambda x: F.replace(F.replace(bare(x), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    value = lambda x, i: F.when(i % 4 == 0, F.concat(F.lit(' = "'), quoted(x), F.lit('" # "note"'))).when(i % 4 == 1, F.concat(F.lit(" = "), bare(x))).otherwise(F.concat(F.lit(": "), bare(x)))
+    line = lambda x, i: F.concat(F.when(i % 2 == 1, "[view]\n").otherwise("[shop]\n"), F.when(i % 3 == 2, "item_url").otherwise("title"), F.lit("_"), (i + 1).cast("string"), F.when(i % 3 == 2, "_url").otherwise(""), value(x, i))
+    own = trees.setting_units(made(spark, sf_dir, line, "# settings\n"), F.lit("en"), "text", "doc_id")
+    return own.select("doc_id", "location", F.col("original_lines")[0].alias("value"))
 
 
 @query("""

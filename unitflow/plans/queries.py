@@ -165,14 +165,14 @@ TOKENS_SQL = r"SELECT DISTINCT unnest(string_split(regexp_replace(text, '\s', '
 
 
 @query(rf"""
-WITH t AS ({TOKENS_SQL} UNION SELECT event_type FROM events UNION SELECT value::DECIMAL(18,2)::VARCHAR FROM events UNION SELECT unnest(['', 'true', 'null', '1e5', '.5', '5.', '+3', 'NaN', 'inf', '1d', '0x1p3', 'a.png', 'A.JSON', '$gameMap', 'function(x)', 'return 1', 'png', '-']))
+WITH t AS ({TOKENS_SQL} UNION SELECT event_type FROM events UNION SELECT value::DECIMAL(18,2)::VARCHAR FROM events UNION SELECT unnest(['', 'true', 'null', '1e5', '.5', '5.', '+3', 'NaN', 'inf', '1d', '0x1p3', 'a.png', 'A.JSON', '$gameMap', 'function(x)', 'return 1', 'png', '-', 'TRUE', 'Undefined', 'x$gameVariables', 'b.gif']))
 SELECT token, token = '' OR token IN ('true', 'false', 'null', 'undefined') OR regexp_full_match(token, '(?i)[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)')
- OR (contains(token, '.') AND list_contains(['png','jpg','jpeg','gif','webp','bmp','svg','ogg','mp3','m4a','wav','mp4','webm','json','js','css','ttf','otf','woff','woff2','rpgmvp','rpgmvo','rpgmvm'], lower(string_split(token, '.')[-1])))
- OR starts_with(token, '$game') OR starts_with(token, 'function') OR contains(token, 'return ') AS machine FROM t""")
+ OR list_contains(['png','jpg','jpeg','ogg','m4a','wav','json','js','css','webm'], lower(string_split(token, '.')[-1]))
+ OR contains(token, '$game') OR starts_with(token, 'function') OR contains(token, 'return ') AS machine FROM t""")
 def machine_literal(spark, sf_dir):
     tokens = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[\t\n\f\r ]")).alias("token"))
     events = table(spark, sf_dir, "events")
-    made = ["", "true", "null", "1e5", ".5", "5.", "+3", "NaN", "inf", "1d", "0x1p3", "a.png", "A.JSON", "$gameMap", "function(x)", "return 1", "png", "-"]
+    made = ["", "true", "null", "1e5", ".5", "5.", "+3", "NaN", "inf", "1d", "0x1p3", "a.png", "A.JSON", "$gameMap", "function(x)", "return 1", "png", "-", "TRUE", "Undefined", "x$gameVariables", "b.gif"]
     values = events.select(F.col("value").cast("decimal(18,2)").cast("string").alias("token"))
     all_tokens = tokens.union(events.select("event_type")).union(values).union(spark.createDataFrame([(x,) for x in made], "token string")).distinct()
     return all_tokens.select("token", scripts.machine_literal(F.col("token")).alias("machine"))

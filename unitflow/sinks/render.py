@@ -58,7 +58,7 @@ def _lines_of(files: DataFrame, translated: DataFrame, key: list[str], text_col:
 
 def lrc(files: DataFrame, translated: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """Lyrics: the time tags stay, lines are joined by spaces. translated: key, pos and translation_lines."""
-    tags = F.regexp_extract("line", r"^(?:\[[0-9][^\]]*\])+", 0)
+    tags = F.regexp_extract("line", r"^(?:\[[0-9][^\]]*+\])++", 0)
     edits = _lines_of(files, translated, key, text_col).select(*key, "pos", F.concat(tags, F.array_join("translation_lines", " ")).alias("line"))
     return replaced(files, edits, key, text_col, "\n")
 
@@ -92,8 +92,8 @@ def cues(files: DataFrame, translated: DataFrame, key: list[str], text_col: str
     own = translated.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "translation_lines"))).alias("new"))
     text = F.col(text_col)
     sep = F.when(F.contains(text, F.lit("\r\n")), "\r\n").otherwise("\n")
-    plain = F.regexp_replace(text, r"(?U)\A(?:\s*\n)+|\s+\z", "")
-    blocks = F.transform(F.split(F.regexp_replace(plain, "\r\n", "\n"), r"(?U)\n(?:[\s&&[^\n]]*\n)+"), lambda b: F.split(b, "\n"))
+    plain = F.regexp_replace(text, r"(?U)\A\s*\n|\s+\z", "")
+    blocks = F.transform(F.split(F.regexp_replace(plain, "\r\n", "\n"), r"(?U)\n(?:[\s&&[^\n]]*+\n)++"), lambda b: F.split(b, "\n"))
 
     def put(block: Column, i: Column) -> Column:
         timing = F.array_position(F.transform(block, lambda x: F.contains(x, F.lit("-->"))), True).cast("int")

@@ -39,7 +39,7 @@ def md_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str)
     fence = F.col("line").rlike(r"^\s*(?:```|~~~)").cast("int")
     before = F.sum(fence).over(Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     own = own.select("*", fence.alias("fence"), before.alias("fences")).where("fence = 0 and fences % 2 = 0")
-    marks = F.regexp_extract("line", r"^(?: {0,3}(?:#{1,6} +|> ?|[-*+] +|[0-9]+[.)] +))*", 0)
+    marks = F.regexp_extract("line", r"^(?: {0,3}(?:#{1,6} +|> ?|[-*+] +|[0-9]+[.)] +))*+", 0)
     own = own.withColumn("prefix", F.octet_length(marks).cast("long")).withColumn("line", F.substring(F.col("line"), F.char_length(marks) + 1, F.char_length("line")))
     own = own.where(scripts.needs_translation(F.col("line"), source))
     context = F.format_string("s%06d", F.floor((F.col("pos") - 1) / 50))
@@ -66,7 +66,7 @@ def cue_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str)
 def lrc_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str) -> DataFrame:
     """Lyrics: what follows the time tags of a line; lines whose first tag is no time are metadata."""
     own = lines(df, text_col, *keep)
-    tags = F.regexp_extract("line", r"^(?:\[[0-9][^\]]*\])+", 0)
+    tags = F.regexp_extract("line", r"^(?:\[[0-9][^\]]*+\])++", 0)
     own = own.withColumn("tags", tags).where("tags <> ''").withColumn("line", F.substring(F.col("line"), F.char_length("tags") + 1, F.char_length("line")))
     own = own.where(scripts.needs_translation(F.col("line"), source))
     return _unit(own, "lrc", "lyrics", F.format_string("L%06d", "pos"), F.lit("lrc"), "short_text", F.array("line"), keep)

@@ -9,7 +9,7 @@ from unitflow.functions import ids, scripts
 from unitflow.sources.lines import lines
 
 # First words of lines that hold a quoted string but no dialogue.
-NO_DIALOGUE = ("voice", "play", "stop", "queue", "scene", "show", "hide", "jump", "call", "image", "with", "define", "default")
+NO_DIALOGUE = ("voice", "play", "queue", "show", "scene", "image", "jump", "call", "pause", "stop", "window", "hide", "with")
 QUOTED = r'"((?:[^"\\]++|\\.)*+)"'
 
 

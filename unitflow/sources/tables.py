@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 import pyarrow as pa
@@ -139,9 +140,9 @@ def _refuse(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
-def json_leaves(text: str) -> Iterator[tuple[int, str, str | None, str]]:
+def json_leaves(text: str, slashes: bool = True) -> Iterator[tuple[int, str, str | None, str]]:
     """(number, path, string or null, kind) of each leaf in order; numbers count string leaves. Constants that JSON lacks are refused, and nesting
-    deeper than MAX_DEPTH."""
+    deeper than MAX_DEPTH. Without slashes, what stands under a key that holds one is passed over: its path would not be its own."""
     try:
         root = json.loads(text, parse_constant=_refuse)
     except RecursionError as e:
@@ -152,7 +153,7 @@ def json_leaves(text: str) -> Iterator[tuple[int, str, str | None, str]]:
         if depth > MAX_DEPTH:
             raise ValueError("too deep")
         if isinstance(value, dict):
-            stack += [(f"{path}/{k}" if path else k, v, depth + 1) for k, v in reversed(value.items())]
+            stack += [(f"{path}/{k}" if path else k, v, depth + 1) for k, v in reversed(value.items()) if slashes or "/" not in k]
         elif isinstance(value, list):
             stack += [(f"{path}/{k}" if path else str(k), v, depth + 1) for k, v in reversed(list(enumerate(value)))]
         elif isinstance(value, str):
@@ -164,8 +165,8 @@ def json_leaves(text: str) -> Iterator[tuple[int, str, str | None, str]]:
 
 
 def json_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str) -> DataFrame:
-    """A unit for each string leaf in the source language, at its path; scenes of fifty string leaves."""
-    own = exploded(df, text_col, keep, "leaf long, location string, value string, kind string", json_leaves)
+    """A unit for each string leaf in the source language, at its path; scenes of fifty string leaves. Keys with a slash are passed over."""
+    own = exploded(df, text_col, keep, "leaf long, location string, value string, kind string", partial(json_leaves, slashes=False))
     own = own.where((F.col("kind") == "string") & scripts.needs_translation(F.col("value"), source)).withColumn("context", F.format_string("s%04d", F.floor(F.col("leaf") / 50)))
     own = own.withColumn("original_lines", F.split("value", "\n"))
     return own.withColumn("id", ids.unit_id(F.lit("i18next"), F.col("location"), F.col("original_lines"))).drop("value", "kind")
@@ -210,16 +211,24 @@ def json_shapes(text: Column) -> Column:
     return run(text)
 
 
+#: Fixed value: the role of a record without one.
+NARRATOR = "旁白"
+
+
 def jsonl_units(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
-    """A unit for each record of JSON lines; nothing is filtered. A line that is no record of id and text fails the read."""
+    """A unit for each record of JSON lines; of records of the same id and text the first. A line that is no record of id and text fails the read."""
 
     def records(text: str) -> Iterator[tuple]:
+        seen = set()
         for k, line in enumerate(text.split("\n"), 1):
             if line.strip():
                 r = json.loads(line, parse_constant=_refuse)
                 if not isinstance(r, dict) or not isinstance(r.get("text"), str) or not isinstance(r.get("id"), str):
                     raise TypeError(f"line {k} has no id and text")
-                yield k, r["id"] or f"line:{k}", r["text"], r.get("context") or "", r.get("role") or "", r.get("item_type") or "long_text"
+                location = r["id"] or f"line:{k}"
+                if (location, r["text"]) not in seen:
+                    seen.add((location, r["text"]))
+                    yield k, location, r["text"], r.get("context") or "", r.get("role") or NARRATOR, r.get("item_type") or "long_text"
 
     own = exploded(df, text_col, keep, "line long, location string, value string, context string, role string, item_type string", records)
     own = own.withColumn("original_lines", F.split("value", "\n"))

@@ -55,12 +55,18 @@ def path_counts(df: DataFrame, text_col: str = "text", limit: int = 20) -> DataF
 
 def setting_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str) -> DataFrame:
     """Values of settings (key = value or key: value, below [section] lines) that read like text, where neither the key nor the section is for programs.
-    Comments and quotation marks around a value are left out."""
+    Comments after a value are left out: after = from any # or ;, after : from a # that follows a blank. A value in double quotation marks is a JSON
+    string, one in single marks is as it stands, comment signs included; a value that only begins with a mark is none."""
     own = lines(df, text_col, *keep).withColumn("line", scripts.trim(F.col("line")))
     section = F.coalesce(F.last(F.when(F.col("line").rlike(r"^\[[^\]]*\]$"), F.regexp_extract("line", r"^\[([^\]]*)\]$", 1)), ignorenulls=True).over(Window.partitionBy(*keep).orderBy("pos")), F.lit(""))
-    pair = r"^([A-Za-z_][\w.-]*)\s*[=:]\s*(.*)$"
+    pair = r"^([A-Za-z_][\w.-]*)\s*([=:])\s*(.*)$"
     own = own.withColumn("section", section).where(~F.col("line").rlike(r"^[#;\[]") & F.col("line").rlike(pair))
-    value = F.regexp_replace(F.regexp_extract("line", pair, 2), r"\s+[#;].*$", "")
-    own = own.select(*keep, "pos", F.concat_ws("/", F.when(F.col("section") != "", F.col("section")), F.regexp_extract("line", pair, 1)).alias("path"), F.regexp_replace(value, r"""^(["'])(.*)\1$""", "$2").alias("value"))
+    own = own.withColumn("raw", F.regexp_extract("line", pair, 3))
+    after = r"\s*(?:[#;].*)?$"  # a comment, if anything, follows what is quoted
+    double, single = rf'^"((?:[^"\\]++|\\.)*+)"{after}', rf"^'([^']*+)'{after}"
+    literal = F.get(F.from_json(F.concat(F.lit('["'), F.regexp_extract("raw", double, 1), F.lit('"]')), "array<string>"), F.lit(0))
+    bare = F.when(F.regexp_extract("line", pair, 2) == "=", F.regexp_replace("raw", r"\s*[#;].*$", "")).otherwise(F.regexp_replace("raw", r"(?:^|\s+)#.*$", ""))
+    value = F.when(F.col("raw").rlike(double), literal).when(F.col("raw").rlike(single), F.regexp_extract("raw", single, 1)).when(~F.col("raw").rlike("^[\"']"), bare)
+    own = own.select(*keep, "pos", F.concat_ws("/", F.when(F.col("section") != "", F.col("section")), F.regexp_extract("line", pair, 1)).alias("path"), value.alias("value")).where(value.isNotNull())
     own = own.where(~F.exists(F.split("path", "[/.]"), prose.machine_key) & prose.human_text(F.col("value")) & scripts.needs_translation(F.col("value"), source))
     return _units(own, "auto", keep, F.lit("settings"))
