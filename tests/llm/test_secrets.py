@@ -38,3 +38,9 @@ def test_long_candidate_and_many_spans(spark):
     assert time.time() - start < 60
     assert [(s["start"], s["end"], s["kind"]) for s in got[1]] == [(4, 4 + len(blob), "entropy")]
     assert [(s["start"], s["end"]) for s in got[2]] == [m.span() for m in re.finditer(r"token=\d+", many)]
+
+
+@pytest.mark.parametrize("run", ["Ab/", "Ab-", "A", "a", "a-", "token=", "password = ", "AKIA", "0123456789abcdef", "x1Y2z3A4b5C6d7E8f9G0h1 ", "\"", ": "])
+def test_no_text_ends_the_jvm(spark, run):
+    text = run * ((1 << 17) // len(run))
+    assert len(secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()) == 1

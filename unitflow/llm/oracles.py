@@ -50,7 +50,7 @@ SECRET_SCAN = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
  base AS ({_spans('assign', _ASSIGN, 1, 6, 0)} UNION ALL {_spans('access', 'AKIA[A-Z0-9]+', 0, 20, 1)} UNION ALL {_spans('hex', '[0-9a-f]+', 0, 24, 2)}),
  cand AS (SELECT row_number() OVER () AS cid, c.* FROM ({_spans('entropy', '[A-Za-z0-9+/_=-]+', 0, secrets.WINDOW, 3)}) c
-  WHERE NOT regexp_matches(hit, '{secrets.ALLOWED}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)),
+  WHERE NOT regexp_matches(hit, '{secrets.ALLOWED.replace('++', '+').replace('*+', '*')}') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start <= c.start AND b.stop >= c.stop)),
  chars AS (SELECT cid, hit, i, substr(hit, i + j, 1) AS ch FROM (SELECT cid, hit, unnest(generate_series(1, length(hit) - {secrets.WINDOW - 1})) AS i FROM cand), (SELECT unnest(generate_series(0, {secrets.WINDOW - 1})) AS j)),
  counts AS (SELECT cid, hit, i, ch, count(*) AS n FROM chars GROUP BY ALL),
  bits AS (SELECT cid, hit, i, log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} AS h FROM counts GROUP BY ALL),

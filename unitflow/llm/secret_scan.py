@@ -27,8 +27,9 @@ KINDS = {
 #: What a text must hold for a kind's pattern to be worth matching.
 HINTS = {"assign": r"(?i)passw|secret|token|api_?key", "access": r"AKIA", "hex": r"[0-9a-f]{24}"}
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Candidates that are no secrets: words and compounds without digits of one case or capitalised, numbers, UUIDs.
-ALLOWED = r"^(?:[a-z_=/+-]+|[A-Z_=/+-]+|[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+)*[-_/=+]*|[0-9_=/+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
+#: Candidates that are no secrets: words and compounds without digits of one case or capitalised, numbers, UUIDs. Java's expressions recurse for each turn of a
+#: group, unless it is possessive; so no pattern here or in pii has a group that is repeated without bound in any other way.
+ALLOWED = r"^(?:[a-z_=/+-]+|[A-Z_=/+-]+|[A-Z]?[a-z]++(?:[-_/=+][A-Z]?[a-z]++)*+[-_/=+]*|[0-9_=/+-]+|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$"
 WINDOW = 20
 #: Elements that a running sum folds at once.
 BLOCK = 256
