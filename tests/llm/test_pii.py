@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -59,18 +60,32 @@ def test_no_collisions(spark):
     assert {t[3:].lower() for t in texts} == set(cores.values())
 
 
-def test_full_spaces_do_not_stop_the_job(spark):
-    """After the last round the entities that still collide take one another's places; the others keep theirs."""
+def test_longer_surrogates(spark):
+    """After the last round surrogates of those that still collide get longer; none is an entity."""
     many = spark.range(20000).select(F.concat(F.lit("Mr X"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), "id")
-    found = pii.entities(many)
-    table = pii.surrogates(found, max_rounds=0).collect()
-    turned = [r for r in table if r.attempt]
-    assert len(turned) > 1 and len({r.core for r in table}) == len(table) == 20000
-    assert all(r.core != r.norm for r in table) and {r.core for r in turned} == {r.norm for r in turned}
-    one = pii.surrogates(spark.createDataFrame([("surname", "a"), ("surname", "b")], "kind string, norm string"), max_rounds=0)
-    assert {r.norm for r in one.collect()} == {"a", "b"}
-    alone = pii._in_turn(spark.createDataFrame([("ip", "1.1.1.1", 0, "2.2.2.2", True), ("ip", "2.2.2.2", 0, "3.3.3.3", False)], "kind string, norm string, attempt int, core string, again boolean"), "k")
-    assert {r.norm: r.core for r in alone.collect()} == {"1.1.1.1": "2.2.2.2", "2.2.2.2": "3.3.3.3"}
+    table = pii.surrogates(pii.entities(many), max_rounds=0).collect()
+    assert len({r.core for r in table}) == len(table) == 20000 and any(r.attempt for r in table)
+    assert not {r.core for r in table} & {r.norm for r in table}
+    # All 900 numbers of a made space but for one digit: cores of that length are all taken.
+    full = spark.createDataFrame([("phone", f"9{k:03d}") for k in range(1000)], "kind string, norm string")
+    table = pii.surrogates(full, max_rounds=1).collect()
+    assert len({r.core for r in table}) == 1000 and all(r.core.isdigit() and len(r.core) > 4 and r.core[0] == "9" for r in table)
+
+
+def test_longer_surrogates_in_their_format(spark):
+    hits = [("(555) 123-4567", "55512345678"), ("A.b@C.de", "qqx.y@z.uv"), ("1.2.3.4", "5.6.7.8.9"), ("123-45-6789", "9876543210"), ("Mr Lee", "braxton")]
+    rows = [(h, c, "email" if "@" in h else "ip" if h.count(".") == 3 else "ssn" if h[3] == "-" else "surname" if h[0] == "M" else "phone") for h, c in hits]
+    df = spark.createDataFrame(rows, "hit string, core string, kind string")
+    cores = F.array(F.struct(F.col("kind"), F.col("core")))
+    got = [r[0] for r in df.select(pii._written(F.col("hit"), cores)).collect()]
+    assert got == ["(555) 123-45678", "qqX.y@Z.uv", "5.6.7.8.9", "987-65-43210", "Mr Braxton"]
+
+
+@pytest.mark.parametrize("run", ["a@b.", "b.", "a@", "Ab/", "1234 ", "Mr X ", "DE89 3704 ", "+1 (555) ", "555-123-", "9", "a", "é."])
+def test_no_text_ends_the_jvm(spark, run):
+    text = "a@b." * (run == "b.") + run * ((1 << 15) // len(run))
+    df = spark.createDataFrame([(text,), (text + " x@y.com",)], "text string")
+    assert all(r.n >= 0 and r.text for r in pii.replace(df, count_col="n").collect())
 
 
 def test_names_after_a_phrase(spark):

@@ -5,16 +5,16 @@ someone gives their name, are found by one pattern. An entity's normal form (low
 script and case in the same places, a card or an IBAN with valid check digits, an address with valid octets, a given name of the
 title's gender (or of none, after a phrase). The same entity gets the same surrogate wherever and however it is written. All distinct entities are
 checked together: where two would share a surrogate, or a surrogate is itself an entity, all but the first draw
-again until none collide. Where a space is so full that some still collide after MAX_ROUNDS rounds, these take one another's places: each
-gets the normal form of the next of its kind, in an order that the key decides. DataFrame functions only.
+again until none collide. Where a space is so full that some still collide after MAX_ROUNDS rounds, their surrogates get a character
+longer with each further round, so none is ever another entity. DataFrame functions only.
 
-A null text stays null. Texts of any length are replaced whole. Rows that repeat are replaced each; ids may be null; an empty table gives an empty result; an
+A null text stays null. Texts of any length are replaced whole; the domain of an address ends after 65 labels at most. Rows that repeat are replaced each; ids may be null; an empty table gives an empty result; an
 extra column whose name an operator uses is left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.llm.shared import free_name, materialize
@@ -27,7 +27,7 @@ CUE = rf"(?:(?:{MALE}|{FEMALE})\.?|{INTRODUCED}) "
 _FREE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: The kinds of entities in the order in which a place is tried.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,64}\.\p{L}{2,}",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{L}\p{N}])",
     "iban": _FREE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _FREE + r"(?:[0-9]{4}[ -]?){3}[0-9]{1,7}" + _END,
@@ -94,24 +94,32 @@ def _other(c: Column, r: Column) -> Column:
     return out.otherwise(c)
 
 
-def _core(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form."""
+def _core(kind: Column, norm: Column, attempt: Column, key: str, longer: Column | None = None) -> Column:
+    """The surrogate of a normal form, by so many characters longer: before an address, after anything else."""
     drawn = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 512)
-    return _let(drawn, lambda stream: _let(F.array_join(F.transform(F.split(norm, ""), lambda c, i: _other(c, _byte(stream, i))), ""), lambda chars: _of_kind(kind, norm, attempt, stream, chars)))
+    if longer is None:
+        own, more = norm, F.lit("")
+    else:
+        own = F.when(kind == "email", F.concat(F.repeat(F.lit("a"), longer), norm)).otherwise(F.concat(norm, F.repeat(F.right(norm, F.lit(1)), longer)))
+        more = F.repeat(F.lit("0"), longer)
+    return _let(drawn, lambda stream: _let(F.array_join(F.transform(F.split(own, ""), lambda c, i: _other(c, _byte(stream, i))), ""), lambda chars: _of_kind(kind, own, attempt, stream, chars, more)))
 
 
-def _of_kind(kind: Column, norm: Column, attempt: Column, stream: Column, chars: Column) -> Column:
-    """chars, the normal form with other characters, or what a kind asks for instead."""
+def _of_kind(kind: Column, norm: Column, attempt: Column, stream: Column, chars: Column, longer: Column) -> Column:
+    """chars, the normal form with other characters, or what a kind asks for instead; longer: a character for each one that names and
+    addresses of machines get besides."""
+    added = lambda one: F.array_join(F.transform(F.split(longer, ""), lambda c, i: F.when(c != "", one(i + 16)).otherwise("")), "")
     tail = lambda n: F.substring(chars, F.lit(n), F.char_length(norm))
     phone = F.concat(F.substring(norm, F.lit(1), F.lit(1)), tail(2))
     country = F.substring(norm, F.lit(1), F.lit(2))
     iban = _let(tail(5), lambda body: F.concat(country, F.lpad((98 - _mod97(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0"), body))
-    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (1 + F.pmod(_byte(stream, k), F.lit(254))).cast("string")), ".")
+    octet = lambda k: (1 + F.pmod(_byte(stream, k), F.lit(254))).cast("string")
+    octets = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), octet), "."), added(lambda k: F.concat(F.lit("."), octet(k))))
     r = lambda k: _byte(stream, F.lit(k))
     more = F.when(attempt > 0, F.concat(_pick(ONSETS, r(8)), _pick(VOWELS, r(9)))).otherwise(F.lit(""))  # more names once these run out
     syllables = F.concat(_pick(ONSETS, r(0)), _pick(VOWELS, r(1)), _pick(ONSETS, r(2)), _pick(VOWELS, r(3)), more, _pick(ONSETS, r(4)))
     ends = F.coalesce(*(F.when(kind == k, _pick(v, r(5))) for k, v in ENDS.items()))
-    named = F.when(kind.isin(*ENDS) & norm.rlike(r"^\p{IsLatin}+$"), F.concat(syllables, ends))
+    named = F.when(kind.isin(*ENDS) & norm.rlike(r"^\p{IsLatin}+$"), F.concat(syllables, added(lambda k: F.concat(_pick(VOWELS, _byte(stream, k)), _pick(ONSETS, _byte(stream, k + 32)))), ends))
     card = _let(F.left(phone, F.char_length(norm) - 1), lambda body: F.concat(body, _check_digit(body)))
     return F.when(kind == "ip", octets).when(kind == "iban", iban).when(kind == "card", card).when(kind == "phone", phone).otherwise(F.coalesce(named, chars))
 
@@ -171,12 +179,14 @@ def _written(hit: Column, cores: Column) -> Column:
     """A match with the surrogates of its entities in its own format."""
     kind, core, names = cores[0]["kind"], cores[0]["core"], _names(hit)
     cased = lambda c, s: F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(s)).otherwise(s)
+    base = F.char_length(F.when(kind == "email", F.lower(hit)).otherwise(F.lower(F.regexp_replace(hit, r"[^\p{L}\p{N}]", ""))))
+    before = F.when(kind == "email", F.greatest(F.char_length(core) - base, F.lit(0))).otherwise(0)
     rank = lambda i: F.char_length(F.regexp_replace(F.substring(hit, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-    place = lambda i: F.when(kind == "email", i + 1).otherwise(rank(i))
+    place = lambda i: F.when(kind == "email", i + 1 + before).otherwise(rank(i))
     put = F.transform(F.split(hit, ""), lambda c, i: F.when((kind == "email") | c.rlike(r"[\p{L}\p{N}]"), cased(c, F.substring(core, place(i), F.lit(1)))).otherwise(c))
     named = F.concat_ws(" ", _shaped(names[0], core), F.when(F.size(names) > 1, _shaped(F.get(names, F.lit(1)), F.get(cores, F.lit(1))["core"])))
     named = F.concat(F.regexp_extract(hit, f"^{CUE}", 0), named)
-    return F.when(kind == "ip", core).when(kind.isin(*ENDS), named).otherwise(F.array_join(put, ""))
+    return F.when(kind == "ip", core).when(kind.isin(*ENDS), named).otherwise(F.concat(F.left(core, before), F.array_join(put, ""), F.when(kind == "email", "").otherwise(F.substring(core, base + 1, F.char_length(core)))))
 
 
 def _hits(text: Column) -> Column:
@@ -190,14 +200,16 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def surrogates(found: DataFrame, key: str = KEY, max_rounds: int | None = None) -> DataFrame:
-    """kind, norm, attempt and core of each distinct entity; no two of a kind share a core, and no core is an entity of its kind but those
-    that changed places after the last round.
+    """kind, norm, attempt and core of each distinct entity; no two of a kind share a core, and no core is an entity of its kind.
 
-    Rounds end when nothing collides; each writes the table of distinct entities to the shared folder.
+    Rounds end when nothing collides; each writes the table of distinct entities to the shared folder. After max_rounds each makes the room for
+    those that still collide many times as large.
     """
+    limit = MAX_ROUNDS if max_rounds is None else max_rounds
     table = materialize(found.withColumn("attempt", F.lit(0)).withColumn("core", _core(F.col("kind"), F.col("norm"), F.lit(0), key)), "surrogates")
     real = table.select("kind", F.col("norm").alias("core")).distinct()
-    for n in range((MAX_ROUNDS if max_rounds is None else max_rounds) + 1):
+    n = 0
+    while True:
         first = table.groupBy("kind", "core").agg(F.min(F.struct("attempt", "norm"))["norm"].alias("owner"), F.count("*").alias("n"))
         taken = first.join(real.withColumn("real", F.lit(True)), ["kind", "core"], "left").where((F.col("n") > 1) | F.col("real"))
         taken = materialize(taken.select("kind", "core", "owner", F.coalesce("real", F.lit(False)).alias("real")), "collisions")
@@ -205,22 +217,11 @@ def surrogates(found: DataFrame, key: str = KEY, max_rounds: int | None = None)
             return table
         again = F.coalesce(F.col("owner").isNotNull() & (F.col("real") | (F.col("owner") != F.col("norm"))), F.lit(False))
         df = table.join(taken, ["kind", "core"], "left").select("kind", "norm", "attempt", "core", again.alias("again"))
-        if n == (MAX_ROUNDS if max_rounds is None else max_rounds):
-            return materialize(_in_turn(df, key), "surrogates")
         attempt = F.col("attempt") + F.col("again").cast("int")
         df = df.select("kind", "norm", attempt.alias("attempt"))
-        table = materialize(df.withColumn("core", _core(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "surrogates")
-
-
-def _in_turn(df: DataFrame, key: str) -> DataFrame:
-    """Gives each entity that is to draw again the normal form of the next such one of its kind; one alone takes another entity's. All
-    other cores are no entities, so none is given twice."""
-    left, order = df.where("again"), F.sha2(F.concat_ws("|", F.lit(key), "norm"), 256)
-    ring = Window.partitionBy("kind").orderBy(order, "norm")
-    ends = df.groupBy("kind").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    turned = left.select("*", F.coalesce(F.lead("norm").over(ring), F.first("norm").over(ring)).alias("next")).join(ends, "kind")
-    other = F.when(F.col("next") != F.col("norm"), F.col("next")).when(F.col("low") != F.col("norm"), F.col("low")).otherwise(F.when(F.col("high") != F.col("norm"), F.col("high")).otherwise(F.col("core")))
-    return turned.select("kind", "norm", (F.col("attempt") + 1).alias("attempt"), other.alias("core")).unionByName(df.where("not again").select("kind", "norm", "attempt", "core"))
+        n += 1
+        longer = F.greatest(F.col("attempt") - limit, F.lit(0)) if n > limit else None
+        table = materialize(df.withColumn("core", _core(F.col("kind"), F.col("norm"), F.col("attempt"), key, longer)), "surrogates")
 
 
 def _bit(entity: Column) -> Column:
