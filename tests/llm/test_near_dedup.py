@@ -105,3 +105,48 @@ def test_runs():
     for size in (1, 2, 3, 10):
         got = [t.column("v").to_pylist() for t in near_dedup._runs(iter(table.to_batches(max_chunksize=size)), 1)]
         assert got == [["a", "b"], ["c", "d", "e"], ["f"]]
+
+
+def block_of(rows, band):
+    """A block of (total, drawn samples) rows in a band."""
+    import pyarrow as pa
+
+    drawn = np.array([d for _, d in rows])
+    marks = near_dedup.sketches(drawn, near_dedup.band_keys(drawn))
+    n = len(rows)
+    table = pa.table({"total": [t for t, _ in rows], "sketch": marks, "label": [bytes([k]) for k in range(n)], "own": [0] * n, "band": [band] * n, "one": [0] * n, "two": [0] * n})
+    return near_dedup.Block(table, 0.8)
+
+
+def test_a_pair_meets_in_the_first_band_it_truly_shares():
+    """Samples whose lowest bytes alone are equal make no band: a pair is a partner in exactly one of the bands it shares."""
+    rng = np.random.default_rng(3)
+    met = {}
+    for k in range(2000):
+        one = rng.integers(0, 1 << 40, 64)
+        two = np.where(rng.random(64) < 0.85, one, one + (rng.integers(1, 1 << 20, 64) << 8))  # what differs has the same lowest byte
+        shared = np.flatnonzero((near_dedup.band_keys(one[None]) == near_dedup.band_keys(two[None]))[0]).tolist()
+        found = [b for b in shared if len(block_of([(100.0, one), (101.0, two)], b).partners(0))]
+        assert found == shared[:1]
+        met[len(shared)] = met.get(len(shared), 0) + 1
+    assert sum(met.values()) - met.get(0, 0) > 1900
+
+
+def test_no_pair_of_the_threshold_is_lost():
+    """Pairs of sets of weighted Jaccard similarity 0.8, in every band they share: lost only by fewer than LEAST_AGREEING equal samples."""
+    rng = np.random.default_rng(5)
+    n, lost, unbanded = 3000, 0, 0
+    for _ in range(n // 100):
+        sets = []
+        for _ in range(100):
+            words = rng.integers(0, 1 << 63, 90, dtype=np.uint64)
+            sets += [np.sort(words[:81]), np.sort(words[9:])]  # 72 of 90
+        drawn = near_dedup.samples(np.concatenate(sets), np.ones(sum(map(len, sets))), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]))
+        keys = near_dedup.band_keys(drawn)
+        for k in range(0, 200, 2):
+            shared = np.flatnonzero(keys[k] == keys[k + 1])
+            if not len(shared):
+                unbanded += 1
+            elif sum(len(block_of([(81.0, drawn[k]), (81.0, drawn[k + 1])], b).partners(0)) for b in shared) != 1:
+                lost += 1
+    assert lost == 0 and unbanded <= 5

@@ -154,9 +154,9 @@ def band_keys(drawn: np.ndarray) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def sketches(drawn: np.ndarray) -> list[bytes]:
-    """A byte of each sample: unequal bytes are unequal samples."""
-    return [row.tobytes() for row in drawn.astype(np.uint8)]
+def sketches(drawn: np.ndarray, keys: np.ndarray) -> list[bytes]:
+    """A byte of each sample (unequal bytes are unequal samples), then the keys of all bands."""
+    return [row.tobytes() for row in np.concatenate([drawn.astype(np.uint8), keys.astype("<i8").view(np.uint8)], axis=1)]
 
 
 def _grouped(weights: dict[bytes, float], batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, float]]]:
@@ -243,7 +243,8 @@ def _signatures(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> Da
                     continue
                 sizes = [len(sets[i][0]) for i in rows]
                 drawn = samples(np.concatenate([sets[i][0] for i in rows]), np.concatenate([sets[i][1] for i in rows]), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
-                for i, own, mark in zip(rows, band_keys(drawn).tolist(), sketches(drawn), strict=True):
+                names = band_keys(drawn)
+                for i, own, mark in zip(rows, names.tolist(), sketches(drawn, names), strict=True):
                     keys[low + i], marks[low + i], total[low + i] = own, mark, sets[i][1].sum()
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(total), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "node", "total", "bands", "sketch"])
 
@@ -310,7 +311,8 @@ class Block:
         total = table.column("total").to_numpy()
         self.order = np.argsort(total, kind="stable")
         self.total = total[self.order]
-        self.marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(total), -1)[self.order]
+        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(total), -1)[self.order]
+        self.marks, self.keys = marks[:, : BANDS * ROWS], np.ascontiguousarray(marks[:, BANDS * ROWS :]).view("<i8")
         names = table.column("label").to_pylist()
         codes = {x: k for k, x in enumerate(dict.fromkeys(names))}
         self.label = np.array([codes[x] for x in names])[self.order]
@@ -326,10 +328,8 @@ class Block:
         if self.crosses:
             may &= self.own[rest] != self.own[i]
         at = np.flatnonzero(may)
-        same = self.marks[rest][at] == self.marks[i]
-        near = same.sum(1) >= LEAST_AGREEING
-        first = same[near].reshape(int(near.sum()), BANDS, ROWS).all(2).argmax(1)
-        return at[near][first == self.band] + i + 1
+        at = at[(self.marks[rest][at] == self.marks[i]).sum(1) >= LEAST_AGREEING] + i + 1
+        return at[(self.keys[at] == self.keys[i]).argmax(1) == self.band]
 
 
 _BLOCK = "band int, key long, one int, two int, own int, node binary, label binary, total double, sketch binary"
