@@ -44,8 +44,8 @@ GROUPS = 64
 #: Gaps above which a sequence may be opened again.
 GAPS = (0, 1, 2, 4, 8, 16, 32)
 #: A worker's cache of encoded parts: entries, and characters of a part that is kept.
-MAX_KEPT, LONGEST = 1_200_000, 64
-CHUNK_CHARS, LINE_BYTES = 4 << 20, 1 << 14
+MAX_KEPT, LONGEST = 1_000_000, 64
+CHUNK_CHARS, LINE_BYTES = 2 << 20, 1 << 14
 #: Stands before a part that no space precedes: a lone surrogate, which no valid text contains.
 BARE = "\ud800"
 _WHITE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000"
