@@ -41,11 +41,16 @@ def test_trie_finds_its_keys():
     assert not lm_scoring.Trie(keys[:0], p[:0]).find(keys).any()
 
 
-def test_score_by_brute_force(spark):
+@pytest.mark.parametrize("n_buckets, n_shards", [(5, 3), (100_001, 5000)])
+def test_score_by_brute_force(spark, monkeypatch, n_buckets, n_shards):
     import zlib
 
+    from unitflow.llm import shared
+
+    monkeypatch.setattr(shared, "MAX_BUCKETS", 6)
+
     docs = [(i, t) for i, t in enumerate(texts(120))] + [(500, None)]
-    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), n_buckets=5, n_shards=3).collect()}
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), n_buckets=n_buckets, n_shards=n_shards).collect()}
     one, two, before = Counter(), Counter(), Counter()
     for i, t in docs:
         if zlib.crc32(str(i).encode()) % 7 != 2:

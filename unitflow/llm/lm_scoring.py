@@ -265,8 +265,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mu: f
     bounds = _bounds(n_shards)
 
     def parts(keys: np.ndarray) -> list[tuple[int, slice]]:
-        at = [*np.searchsorted(keys, bounds), len(keys)]
-        return [(s, slice(at[s], at[s + 1])) for s in range(n_shards) if at[s] < at[s + 1]]
+        """The shards that have any of the sorted keys, and where: never more of them than keys."""
+        of = np.searchsorted(bounds, keys, "right") - 1
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        return [(int(of[a]), slice(int(a), int(b))) for a, b in zip(first, [*first[1:], len(keys)], strict=True)]
 
     def prepare(table: pa.Table) -> pa.Table:
         own, bucket = Bucket.of(table.column("text").to_pylist()), table.column("bucket")[0].as_py()

@@ -13,6 +13,10 @@ from unitflow.functions.written import shared_dir, written
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Buckets of a written table; Spark takes at most 100,000.
+MAX_BUCKETS = 20_000
+
+
 def words_of(text: str) -> list[bytes]:
     """The words of a text in UTF-8: bytes split at just these blanks, where str.split() also splits at others."""
     return text.encode().split()
@@ -30,10 +34,10 @@ materialize = written
 
 
 def materialize_by(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
-    """Like materialize(), in n buckets of a column: what groups by it later reads the files without a shuffle. The catalog's entry, which
-    only tells Spark of the buckets, goes again at once; the files stay."""
+    """Like materialize(), in n buckets of a column, or MAX_BUCKETS, each of which then holds several: what groups by it later reads the
+    files without a shuffle. The catalog's entry, which only tells Spark of the buckets, goes again at once; the files stay."""
     spark, table = df.sparkSession, f"unitflow_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/unitflow/{table}").bucketBy(n, column).saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/unitflow/{table}").bucketBy(min(n, MAX_BUCKETS), column).saveAsTable(table)
     out = spark.table(table)
     out.schema  # resolves the plan
     spark.sql(f"DROP TABLE {table}")
