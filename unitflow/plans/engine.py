@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from unitflow.operators import fitting
-from unitflow.plans.formats import LINES_SQL, TREE_SQL, bare, made
+from unitflow.operators import fitting, prefixes
+from unitflow.plans.formats import BARE_SQL, LINES_SQL, TREE_SQL, bare, game_files, made
 from unitflow.plans.queries import query, table
-from unitflow.sources import spans
+from unitflow.sinks import games as game_sink
+from unitflow.sources import games, spans
 
 GAME_LABEL, GAME_CONTROL = r"^[【〖〔《〈［\[]([^】〗〕》〉］\]\r\n]+)[】〗〕》〉］\]]", r"\\{2}|\\[A-Za-z]+\[[^\]\r\n]*\]|\\[A-Za-z]"
 
@@ -72,3 +73,54 @@ def span_refusals(spark, sf_dir):
     quarter = F.col("file") % 4
     edits = edits.withColumn("start", F.col("start") + F.when(quarter == 1, 1).otherwise(0)).withColumn("hash", F.when(quarter == 2, "x").otherwise(F.col("hash"))).withColumn("style", F.when(quarter == 3, "xml").otherwise(F.col("style")))
     return spans.resolved(edits, files).groupBy(F.coalesce("reason", F.lit("met")).alias("reason")).agg(F.count("*").alias("anchors"), F.count_distinct("file").alias("files"))
+
+
+GAME_SQL = LINES_SQL + rf"""
+, c AS (SELECT *, (pos - 1) // 4 AS block, (pos - 1) % 4 AS k FROM e),
+ said AS (SELECT doc_id, block, count(*) AS n, string_agg({BARE_SQL}, '' ORDER BY pos) AS joined, bool_or(english) AS english, string_agg({BARE_SQL}, chr(10) ORDER BY pos) AS text FROM c WHERE k < 2 GROUP BY ALL),
+ done AS (SELECT doc_id, block, english, CASE WHEN english AND n = 2 THEN '<one>' || chr(10) || joined || '<two>' WHEN english THEN '<one>' || joined || '<two>' ELSE text END AS text FROM said)"""
+
+
+@query(GAME_SQL + rf"""
+SELECT doc_id, 'dialogue' AS domain, 'Map001.json/7/0/' || (block * 6) AS location, 'Bob' AS role, text FROM done WHERE english
+UNION ALL SELECT doc_id, 'namebox', 'Map001.json/7/0/' || (block * 6) || '/namebox', 'namebox', 'Bob' FROM done
+UNION ALL SELECT doc_id, 'choices', 'Map001.json/7/0/' || (block * 6 + 3), '旁白', 'Choose: ' || {BARE_SQL} || chr(10) || 'Choose: No' FROM c WHERE k = 2 AND english
+UNION ALL SELECT doc_id, 'scroll', 'Map001.json/7/0/' || (block * 6 + 4), '旁白', {BARE_SQL} || chr(10) || '...' FROM c WHERE k = 3 AND english""")
+def game_write(spark, sf_dir):
+    """Game files with translations in their slots, read again: messages of three lines for two slots, choices, names; scrolling texts without a translation."""
+    files = game_files(spark, sf_dir)
+    own = games.game_units(files, F.lit("en"), "name", "text", "doc_id")
+    many = F.array(F.lit("<one>"), F.array_join("original_lines", ""), F.lit("<two>"))
+    lines = F.when(F.col("domain") == "dialogue", many).when(F.col("domain") == "namebox", F.array(F.lit("Bob"))).when(F.col("domain") == "choices", F.transform("original_lines", lambda x: F.concat(F.lit("Choose: "), x)))
+    done = own.select("doc_id", "location", "domain", lines.alias("lines")).where("lines is not null")
+    out = game_sink.game_files(files, done, game_sink.anchors(files, "doc_id"), keep=("doc_id",)).where("reason is null")
+    again = games.game_units(out, F.lit("en"), "name", "text", "doc_id")
+    return again.select("doc_id", "domain", "location", "role", F.array_join("original_lines", "\n").alias("text"))
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE 'the structure has changed' END AS reason FROM documents""")
+def game_anchors(spark, sf_dir):
+    """Files that changed since they were read: in texts alone (written), or by a command put in, of another code, of other parameters, or a condition (refused)."""
+    files = game_files(spark, sf_dir)
+    stored = game_sink.anchors(files, "doc_id")
+    first = '{"code":101,"parameters":["",0,0,2,"Ann"]}'
+    swap = lambda a, b: F.replace(F.col("text"), F.lit(a), F.lit(b))
+    kind = F.col("doc_id") % 6
+    live = F.when(kind == 0, F.col("text")).when(kind == 1, swap('"Ann"', '"Eve"')).when(kind == 2, swap(first, first + ',{"code":401,"parameters":["new"]}')).when(kind == 3, swap('"code":401', '"code":405'))
+    live = live.when(kind == 4, swap('["",0,0,2,', '["",0,0,3,')).otherwise(swap('{"list":[', '{"conditions":{"switch1Valid":true},"list":['))
+    own = games.game_units(files, F.lit("en"), "name", "text", "doc_id").where("domain = 'namebox'").select("doc_id", "location", "domain", F.array(F.lit("Bob")).alias("lines"))
+    return game_sink.game_files(files.withColumn("text", live), own, stored, keep=("doc_id",)).select("doc_id", "reason")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT source || '#' || lang AS file FROM documents WHERE doc_id % 3 <> 0 UNION SELECT DISTINCT source FROM documents UNION SELECT 'nowhere#x'),
+ u AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'lost/' ELSE '' END || source || '#' || lang || CASE WHEN doc_id % 2 = 0 THEN '#' ELSE '' END || 'L1' AS location FROM documents)
+SELECT doc_id, location, (SELECT arg_max(file, length(file)) FROM f WHERE starts_with(location, file || '#')) AS file FROM u""")
+def file_of_location(spark, sf_dir):
+    """Locations with their files: the longest name before a sign; some names hold a sign themselves, some locations have no file."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat_ws("#", "source", "lang")
+    files = docs.where("doc_id % 3 <> 0").select(name.alias("file")).union(docs.select("source")).union(spark.createDataFrame([("nowhere#x",)], "file string"))
+    location = F.concat(F.when(F.col("doc_id") % 5 == 0, "lost/").otherwise(""), name, F.when(F.col("doc_id") % 2 == 0, "#").otherwise(""), F.lit("L1"))
+    return prefixes.file_of(docs.select("doc_id", location.alias("location")), files)

@@ -142,15 +142,7 @@ def profile_lines(spark, sf_dir):
     return own.select("doc_id", "pos", "role", F.col("original_lines")[0].alias("line"))
 
 
-@query(LINES_SQL + rf"""
-, c AS (SELECT *, (pos - 1) // 4 AS block, (pos - 1) % 4 AS k FROM e),
- said AS (SELECT doc_id, block, string_agg({BARE_SQL}, chr(10) ORDER BY pos) AS text, bool_or(english) AS english FROM c WHERE k < 2 GROUP BY ALL),
- first_of AS (SELECT *, block * 6 AS idx FROM said)
-SELECT doc_id, 'dialogue' AS domain, 'Map001.json/7/0/' || idx AS location, 'Ann' AS role, text FROM first_of WHERE english
-UNION ALL SELECT doc_id, 'namebox', 'Map001.json/7/0/' || idx || '/namebox', 'namebox', 'Ann' FROM first_of
-UNION ALL SELECT doc_id, 'choices', 'Map001.json/7/0/' || (block * 6 + 3), '旁白', {BARE_SQL} || chr(10) || 'No' FROM c WHERE k = 2 AND english
-UNION ALL SELECT doc_id, 'scroll', 'Map001.json/7/0/' || (block * 6 + 4), '旁白', {BARE_SQL} || chr(10) || '...' FROM c WHERE k = 3 AND english""")
-def game_events(spark, sf_dir):
+def game_files(spark, sf_dir):
     """Each four lines of a text as an event: a message of two, a choice, and a scrolling text."""
     parts = F.split("text", "\n")
     command = lambda code, *params: F.struct(F.lit(code).alias("code"), F.array(*params).alias("parameters"))
@@ -166,7 +158,19 @@ def game_events(spark, sf_dir):
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 4).cast("int")), block)
     text = F.concat(F.lit('{"events":[null,{"id":7,"pages":[{"list":['), F.array_join(blocks, ","), F.lit("]}]}]}"))
-    files = table(spark, sf_dir, "documents").select("doc_id", F.lit("Map001.json").alias("name"), text.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit("Map001.json").alias("name"), text.alias("text"))
+
+
+@query(LINES_SQL + rf"""
+, c AS (SELECT *, (pos - 1) // 4 AS block, (pos - 1) % 4 AS k FROM e),
+ said AS (SELECT doc_id, block, string_agg({BARE_SQL}, chr(10) ORDER BY pos) AS text, bool_or(english) AS english FROM c WHERE k < 2 GROUP BY ALL),
+ first_of AS (SELECT *, block * 6 AS idx FROM said)
+SELECT doc_id, 'dialogue' AS domain, 'Map001.json/7/0/' || idx AS location, 'Ann' AS role, text FROM first_of WHERE english
+UNION ALL SELECT doc_id, 'namebox', 'Map001.json/7/0/' || idx || '/namebox', 'namebox', 'Ann' FROM first_of
+UNION ALL SELECT doc_id, 'choices', 'Map001.json/7/0/' || (block * 6 + 3), '旁白', {BARE_SQL} || chr(10) || 'No' FROM c WHERE k = 2 AND english
+UNION ALL SELECT doc_id, 'scroll', 'Map001.json/7/0/' || (block * 6 + 4), '旁白', {BARE_SQL} || chr(10) || '...' FROM c WHERE k = 3 AND english""")
+def game_events(spark, sf_dir):
+    files = game_files(spark, sf_dir)
     own = games.game_units(files, F.lit("en"), "name", "text", "doc_id")
     return own.select("doc_id", "domain", "location", "role", F.array_join("original_lines", "\n").alias("text"))
 
