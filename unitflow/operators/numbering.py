@@ -23,13 +23,14 @@ def sums_before(sums: DataFrame, key: str, value: str, top: int, by: tuple[str,
     if top < fan:
         order = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return sums.withColumn(name, F.coalesce(F.sum(value).over(order), F.lit(0)).cast("long"))
-    group = F.floor(F.col(key) / fan).cast("long").alias("__group")
-    groups = sums.groupBy(*by, group).agg(F.sum(value).alias("__sum"))
-    groups = sums_before(groups, "__group", "__sum", top // fan, by, "__upto", fan).drop("__sum")
-    inside = Window.partitionBy(*by, "__group").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    own = sums.withColumn("__group", group).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    out = own.join(groups, [*by, "__group"])
-    return out.select(*sums.columns, (F.col("__upto") + F.col("__inside")).cast("long").alias(name))
+    group, upto, inner = f"{key}__group", f"{key}__upto", f"{key}__inside"  # each level has names of its own
+    grouped = sums.withColumn(group, F.floor(F.col(key) / fan).cast("long"))
+    groups = grouped.groupBy(*by, group).agg(F.sum(value).alias("__sum"))
+    groups = sums_before(groups, group, "__sum", top // fan, by, upto, fan).drop("__sum")
+    inside = Window.partitionBy(*by, group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    own = grouped.withColumn(inner, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    out = own.join(groups, [*by, group])
+    return out.select(*sums.columns, (F.col(upto) + F.col(inner)).cast("long").alias(name))
 
 
 def numbered(df: DataFrame, *order: str, name: str = "number", fan: int = FAN) -> DataFrame:

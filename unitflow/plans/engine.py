@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from unitflow.operators import fitting, prefixes
+from unitflow.functions.written import shared_dir
+from unitflow.operators import fitting, numbering, prefixes, store, workspace
 from unitflow.plans.formats import BARE_SQL, LINES_SQL, TREE_SQL, bare, game_files, made
-from unitflow.plans.queries import query, table
+from unitflow.plans.queries import NUMBERED_SQL, UNITS_SQL, numbered, query, table, units
 from unitflow.sinks import games as game_sink
 from unitflow.sources import games, spans
 
@@ -124,3 +127,47 @@ def file_of_location(spark, sf_dir):
     files = docs.where("doc_id % 3 <> 0").select(name.alias("file")).union(docs.select("source")).union(spark.createDataFrame([("nowhere#x",)], "file string"))
     location = F.concat(F.when(F.col("doc_id") % 5 == 0, "lost/").otherwise(""), name, F.when(F.col("doc_id") % 2 == 0, "#").otherwise(""), F.lit("L1"))
     return prefixes.file_of(docs.select("doc_id", location.alias("location")), files)
+
+
+@query(UNITS_SQL + """
+SELECT doc_id, pos, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id, pos) AS nth FROM units""")
+def running_numbers(spark, sf_dir):
+    """A number for each unit through all formats, in order, from ranges that are counted and summed by levels."""
+    own = units(spark, sf_dir).select("lang", "doc_id", "pos")
+    return numbering.numbered(own, "lang", "doc_id", "pos", name="nth", fan=4).select("doc_id", "pos", (F.col("nth") + 1).alias("nth"))
+
+
+@query(NUMBERED_SQL + """
+, s AS (SELECT 1 AS step, count(*) AS units, 0 AS translations FROM numbered UNION ALL SELECT 2, count(*), count(*) FILTER (found) FROM numbered UNION ALL SELECT 3, count(*) FILTER (lang <> 'fr'), count(*) FILTER (found AND lang <> 'fr') FROM numbered)
+SELECT step, units::BIGINT AS units, translations::BIGINT AS translations, CASE WHEN step < 3 THEN 'first' ELSE 'second' END AS snapshot FROM s""")
+def workspace_versions(spark, sf_dir):
+    """A workspace's versions: units, their translations, and units read again without the French ones. Between them a record with an unknown id is refused, with
+    all that came with it, and a dry run is made; neither is a version."""
+    ws = workspace.Workspace(spark, f"{shared_dir(spark)}/unitflow/workspace-{uuid.uuid4().hex}")
+    own, done = numbered(units(spark, sf_dir))
+    own = own.withColumn("location", F.col("id")).withColumn("item_type", F.lit("short_text")).withColumn("original_lines", F.array("line"))
+    workspace.replace_units(ws, own, "first")
+    workspace.save_translations(ws, done)
+    records = own.select(F.when(F.col("pos") == 1, "nowhere").otherwise(F.col("id")).alias("id"), F.col("line").alias("text"), F.array("line").alias("lines"))
+    try:
+        workspace.import_records(ws, records)
+    except workspace.Refused:
+        pass
+    workspace.replace_units(ws, own.limit(0), "none", dry_run=True)
+    workspace.replace_units(ws, own.where("lang <> 'fr'"), "second")
+    rows = []
+    for v in ws.versions():
+        translations = ws.table("translations", v)
+        rows.append((v, ws.table("units", v).count(), 0 if translations is None else translations.count(), ws.manifest(v)["facts"]["snapshot"]))
+    return spark.createDataFrame(rows, "step int, units long, translations long, snapshot string")
+
+
+@query(NUMBERED_SQL + """
+, p AS (SELECT doc_id, pos, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id, pos) AS nth FROM numbered WHERE NOT found OR passthrough)
+SELECT doc_id, pos, nth FROM p WHERE nth <= 500""")
+def first_pending(spark, sf_dir):
+    """The first units that are pending or were passed through, in order of units."""
+    own, done = numbered(units(spark, sf_dir))
+    open_ = store.matched(own, done.select("unit_id", "source_hash", "passthrough").withColumn("found", F.lit(True))).where("found is null or passthrough")
+    ranked = numbering.numbered(open_.select("lang", "doc_id", "pos"), "lang", "doc_id", "pos", name="nth")
+    return ranked.where("nth < 500").select("doc_id", "pos", (F.col("nth") + 1).alias("nth"))
