@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitflow.llm.shared import chunked, keyed, materialize, shuffle_partitions
+from unitflow.operators.numbering import sums_before
 
 MAGIC = b"DACF1\0\0\0"
 RANK_BITS = 512
@@ -38,6 +39,10 @@ _LOWERED = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in rang
 _POINTS = b".,;:!?#*$%&|<>()"
 #: A pre-tokenizer that parts letters, digits and all else, and no run of these.
 _PARTS_ENDS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Files whose offsets are sent to the executors: 16 bytes each.
+SENT_FILES = 1 << 18
+#: Bytes of a part that is kept.
+LONGEST = 256
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -176,6 +181,10 @@ class Encoder:
                 kept[w] = kept[word] + kept[points]
             for parts in listed:
                 yield b"".join(map(kept.__getitem__, parts)) + self.last
+            for w in [w for w in new if len(w) > LONGEST]:
+                kept.pop(w, None)
+            for w in [w for w in whole if len(w) > LONGEST]:
+                kept.pop(w, None)
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +238,17 @@ def output(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id"
 def read_back(files: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids (binary, little-endian uint32).
 
-    The offsets of files are a running sum over one short row for each file: 16 bytes, sent to the executors, for megabytes of tokens.
+    The offsets of files are running sums by levels, of the files of a task and of the tasks: one short row for each file, for megabytes of
+    tokens. They are sent to the executors if they are few, and joined by a shuffle if not.
     """
-    sums = files.select("file", (F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("offset"))
+    task = F.shiftright("file", 32).cast("int").alias("task")
+    own = files.select("file", "n_tokens", task)
+    tasks = own.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    n_files, top = own.agg(F.count("*"), F.max("task")).first()
+    tasks = sums_before(tasks, "task", "n", top or 0).drop("n")
+    inside = Window.partitionBy("task").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(tasks, "task").select("file", (F.col("before") + F.col("inside")).alias("offset"))
+    sums = F.broadcast(sums) if n_files <= SENT_FILES else sums
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,4 +260,4 @@ def read_back(files: DataFrame) -> DataFrame:
                     named = own.doc_ids[low:high]
                     yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64(), mask=named == NO_ID), pa.array(starts[low:high] + offset, pa.int64()), pa.array(np.diff(starts[low : high + 1]), pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return files.join(F.broadcast(sums), "file").select("data", "offset").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(sums, "file").select("data", "offset").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
