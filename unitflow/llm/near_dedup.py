@@ -37,7 +37,6 @@ COPIES = 1000
 CHUNK_CHARS, CHUNK_DOCS = 1 << 20, 500
 CELLS = 1 << 15
 CELL_BITS = 20
-MAX_KEPT = 500_000
 #: Of 64 samples of two texts of similarity 0.8, fewer than this many agree once in 2,000,000 times.
 LEAST_AGREEING = 34
 #: Texts, and words of texts, of a band that meet in one task: a larger band is dealt into blocks, and each two of these meet.
@@ -70,10 +69,9 @@ PLACES = _mixed(SHINGLE, 7)
 
 
 class Shingler:
-    """Weighted shingles of texts; keeps the hashes of words it has met, up to a bound."""
+    """Weighted shingles of texts. Words are hashed anew each time, which takes half as long as looking them up among many."""
 
     def __init__(self, frequent: tuple[np.ndarray, np.ndarray] | None = None):
-        self.kept: dict[bytes, int] = {}
         self.keys, self.idf = frequent if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0))
 
     def hashes(self, text: str | None) -> np.ndarray:
@@ -81,16 +79,7 @@ class Shingler:
         words = words_of(text.lower()) if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        kept = self.kept
-        if len(kept) > MAX_KEPT:
-            kept.clear()
-        try:
-            own = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in words:
-                if w not in kept:
-                    kept[w] = xxhash.xxh64_intdigest(w)
-            own = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+        own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         n = max(len(own) - SHINGLE + 1, 1)
         h = np.zeros(n, np.uint64)
         for j in range(min(SHINGLE, len(own))):
