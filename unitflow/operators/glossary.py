@@ -6,6 +6,7 @@ the number of terms; the terms a text holds are numbers, and only these meet the
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitflow.functions import scripts
+from unitflow.functions.written import written
 
 # Kinds of terms, and other names for them.
 KINDS = ("男性角色", "女性角色", "未知性别角色", "地名", "家族", "组织", "特殊物品", "特殊技能", "特殊生物", "特殊概念", "其他")
@@ -101,21 +103,34 @@ def _marked(units: DataFrame, name: str, sent, text_cols: list[str]) -> DataFram
 def occurrences(units: DataFrame, terms: DataFrame, text_col: str = "text", term_col: str = "src", case_sensitive: Column | None = None) -> DataFrame:
     """A row for each unit and each term that its text holds: the columns of the unit but for the text, and those of the term. One narrow pass
     over the texts for each block of terms; a block's terms, which are bounded, are sent to meet the numbers found."""
-    parts = []
-    for name, sent, own in _blocks(terms, [term_col], case_sensitive):
+    def meet(name, sent, own) -> DataFrame:
         hits = _marked(units, name, sent, [text_col]).withColumn("__k", F.explode("__k0")).drop("__k0")
-        parts.append(hits.join(F.broadcast(own), "__k").drop("__k"))
-    return reduce(DataFrame.unionByName, parts)
+        return hits.join(F.broadcast(own), "__k").drop("__k")
+
+    return _each(_blocks(terms, [term_col], case_sensitive), meet)
 
 
 def applied(units: DataFrame, terms: DataFrame, source_col: str, done_col: str, term_col: str = "src", wanted_col: str = "dst") -> DataFrame:
     """A row for each unit and each term in its source, with applied: whether the translation holds the term's. Both texts are read in one
     pass, and neither leaves it."""
-    parts = []
-    for name, sent, own in _blocks(terms, [term_col, wanted_col], None):
+
+    def meet(name, sent, own) -> DataFrame:
         hits = _marked(units, name, sent, [source_col, done_col]).withColumn("__k", F.explode("__k0"))
         hits = hits.withColumn("applied", F.array_contains("__k1", F.col("__k"))).drop("__k0", "__k1")
-        parts.append(hits.join(F.broadcast(own), "__k").drop("__k"))
+        return hits.join(F.broadcast(own), "__k").drop("__k")
+
+    return _each(_blocks(terms, [term_col, wanted_col], None), meet)
+
+
+def _each(blocks: Iterator[tuple], meet) -> DataFrame:
+    """What all blocks of terms find. Of more blocks than one, each one's hits are written before the next is fetched, and its terms are given up."""
+    first, *more = itertools.islice(blocks, 2)
+    if not more:
+        return meet(*first)
+    parts = []
+    for name, sent, own in itertools.chain([first], more, blocks):
+        parts.append(written(meet(name, sent, own), "terms-found"))
+        sent.destroy()
     return reduce(DataFrame.unionByName, parts)
 
 

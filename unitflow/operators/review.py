@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitflow.functions import kana, masks, quality, scripts
+from unitflow.functions.written import written
 
 SAMPLES = 40
 
@@ -109,9 +110,10 @@ def accepted(df: DataFrame, source: Column, target: Column, rules: tuple[str, ..
 
 
 def buckets(df: DataFrame, named: dict[str, Column], order: str, *sample: str) -> DataFrame:
-    """bucket, n and the first SAMPLES of each in order: a group limit keeps no more than these of a task's rows, so no list of all hits is gathered."""
+    """bucket, n and the first SAMPLES of each in order: a group limit keeps no more than these of a task's rows, so no list of all hits is gathered. Hits are
+    written once, as they are read for the counts and for the samples."""
     hits = F.array(*(F.when(test, F.lit(name)) for name, test in named.items()))
-    rows = df.select(F.explode(F.array_compact(hits)).alias("bucket"), order, *sample)
+    rows = written(df.select(F.explode(F.array_compact(hits)).alias("bucket"), order, *sample), "review-hits")
     w = Window.partitionBy("bucket")
     top = rows.withColumn("rank", F.row_number().over(w.orderBy(order, *sample))).where(F.col("rank") <= SAMPLES)
     samples = top.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("rank", order, *sample))).alias("sample"))

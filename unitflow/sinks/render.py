@@ -8,7 +8,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,15 +153,22 @@ def csv_cells(text: str, new: dict[str, list[str]], delimiter: str = ",") -> str
 
 
 def set_path(root, path: str, value):
-    """Sets a value of a JSON tree at a path of keys and places; a path that leads nowhere is refused."""
+    """Puts a value in the place of the string at a path of keys and places of a JSON tree; a path that leads to none is refused."""
     *above, last = path.split("/")
-    for name in above:
-        root = root[int(name)] if isinstance(root, list) else root[name]
-    root[int(last) if isinstance(root, list) else last] = value
+    try:
+        for name in above:
+            root = root[int(name)] if isinstance(root, list) else root[name]
+        last = int(last) if isinstance(root, list) else last
+        found = root[last]
+    except (KeyError, IndexError, ValueError, TypeError) as e:
+        raise ValueError(f"no such path: {path}") from e
+    if not isinstance(found, str):
+        raise ValueError(f"no text at {path}")
+    root[last] = value
 
 
 def json_text(kind: str, text: str, new: dict[str, list[str]]) -> str:
-    """A JSON file of one of the shapes with its translations, indented by two."""
+    """A JSON file of one of the shapes with its translations, indented by two. A translation of a path that is not there fails the write."""
     root = json.loads(text)
     values = {k: "\n".join(v) for k, v in new.items()}
     if kind == "mtool":
@@ -174,8 +180,7 @@ def json_text(kind: str, text: str, new: dict[str, list[str]]) -> str:
                 record[field] = value
     else:
         for path, value in values.items():
-            with suppress(KeyError, IndexError, ValueError, TypeError):
-                set_path(root, path, value)
+            set_path(root, path, value)
     return json.dumps(root, indent=2, ensure_ascii=False) + "\n"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitflow.functions import ids, scripts
+from unitflow.functions.written import written
 from unitflow.sources.tables import exploded
 
 # Codes of commands, files and fields of the database, the role of a text without a speaker.
@@ -73,6 +74,7 @@ def game_units(files: DataFrame, source: Column, name_col: str = "name", text_co
     """keep, id, domain, location, context, item_type, role and original_lines of the units of a game's data files. A file that is no JSON has none."""
     named = files.select(*keep, F.concat(F.col(name_col), F.lit("\0"), F.col(text_col)).alias("__named"))
     rows = exploded(named, "__named", keep, "kind string, prefix string, idx long, code long, text string, role string, choices string", lambda x: rows_of(x) if x else iter(()))
+    rows = written(rows, "game-rows")  # files are parsed once for all kinds
     commands = rows.where("kind = 'command'")
     in_list = Window.partitionBy(*keep, "prefix").orderBy("idx")
     opener = F.last(F.when(F.col("code") != TEXT, F.struct("idx", "code", "role")), ignorenulls=True).over(in_list)
