@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from unitflow.functions.written import shared_dir
-from unitflow.operators import fitting, numbering, prefixes, store, workspace
+from unitflow.operators import fitting, numbering, prefixes, profiles, store, workspace
 from unitflow.plans.formats import BARE_SQL, LINES_SQL, TREE_SQL, bare, game_files, made
 from unitflow.plans.queries import NUMBERED_SQL, UNITS_SQL, numbered, query, table, units
 from unitflow.sinks import games as game_sink
-from unitflow.sources import games, spans
+from unitflow.sinks import render
+from unitflow.sources import games, nested, spans
+from unitflow.sources import lines as line_sources
 
 GAME_LABEL, GAME_CONTROL = r"^[【〖〔《〈［\[]([^】〗〕》〉］\]\r\n]+)[】〗〕》〉］\]]", r"\\{2}|\\[A-Za-z]+\[[^\]\r\n]*\]|\\[A-Za-z]"
 
@@ -171,3 +173,46 @@ def first_pending(spark, sf_dir):
     open_ = store.matched(own, done.select("unit_id", "source_hash", "passthrough").withColumn("found", F.lit(True))).where("found is null or passthrough")
     ranked = numbering.numbered(open_.select("lang", "doc_id", "pos"), "lang", "doc_id", "pos", name="nth")
     return ranked.where("nth < 500").select("doc_id", "pos", (F.col("nth") + 1).alias("nth"))
+
+
+def nested_files(spark, sf_dir):
+    """A text's lines as parameters of a game's plugin: JSON in strings of JSON, three levels deep."""
+    esc = lambda x: F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    inner = lambda x, i: F.concat(F.lit('"{\\"text\\": \\"'), esc(esc(bare(x))), F.lit('\\", \\"icon_url\\": \\"some words here\\"}"'))
+    parts = F.array_join(F.transform(F.split("text", "\n"), inner), ",")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.concat(F.lit('{"id":"plugin","parameters":"'), esc(F.concat(F.lit("["), parts, F.lit("]"))), F.lit('"}')).alias("text"))
+
+
+@query(SPAN_SQL + r"""
+, f AS (SELECT doc_id, string_agg('"' || replace(replace('{"text": "' || CASE WHEN people THEN replace(replace('«' || own || '" »', '\', '\\'), '"', '\"') ELSE esc END || '", "icon_url": "some words here"}', '\', '\\'), '"', '\"') || '"', ',' ORDER BY pos) AS list FROM h GROUP BY doc_id)
+SELECT doc_id AS file, '{"id":"plugin","parameters":"' || replace(replace('[' || list || ']', '\', '\\'), '"', '\"') || '"}' AS text, NULL::VARCHAR AS reason FROM f""")
+def nested_texts(spark, sf_dir):
+    """Texts three levels deep in strings of JSON, translated and put back at their depth; strings beside them as they were."""
+    files = nested_files(spark, sf_dir)
+    own = nested.nested_units(files, F.lit("en"), "text", "file")
+    return nested.written_back(files, own.select("file", "location", F.concat(F.lit("«"), F.array_join("original_lines", "\n"), F.lit('" »')).alias("translation")), "file")
+
+
+def line_profile(name, signature, prefix_kept=True):
+    """A profile of plain lines; one that drops the indentation of its lines loses bytes."""
+
+    def reader(files, source):
+        return line_sources.txt_units(files, source, "text", "path").select("path", "pos", "location", "original_lines")
+
+    def writer(files, done):
+        own = files if prefix_kept else files.withColumn("text", F.regexp_replace("text", r"(?m)^ +", ""))
+        rows = done.select("path", "pos", F.lit("").alias("prefix"), F.col("translation_lines")[0].alias("target"))
+        return render.lines(own, rows, ["path"])
+
+    return profiles.Profile(name, "txt", signature, reader, writer, 3)
+
+
+@query(r"""
+SELECT unnest(['sound', 'lossy', 'other', 'silent']) AS profile, unnest([TRUE, TRUE, FALSE, FALSE]) AS detected, unnest([0, (SELECT count(*) FROM documents), NULL, NULL]) AS faulty_files""")
+def profile_trials(spark, sf_dir):
+    """Profiles over all texts as files: those whose signatures are shown are detected; one whose writer takes blanks away is refused for every file."""
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "doc_id", F.concat(F.lit("  Some line here, at the start\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    listed = [line_profile("sound", ("[A-Z]", "at the start")), line_profile("lossy", (), False), line_profile("other", ("no such words anywhere",)), profiles.Profile("silent", "bin", (), lambda f, s: f)]
+    found = profiles.detected(files, listed, F.lit("en"))
+    rows = [(p.name, p.name in found, profiles.validated(files, p, F.lit("en")).select("path").distinct().count() if p.name in found else None) for p in listed]
+    return spark.createDataFrame(rows, "profile string, detected boolean, faulty_files long")

@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.sources import lines, markup, scripts, tables
+from unitflow.sources.encodings import legacy
 
-# Encodings to try after UTF-8 and UTF-16 with its mark, in this order.
-LEGACY = ("shift_jis", "gb18030", "euc_jp", "euc_kr", "big5", "cp1252")
 MARKS = ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 
 Reader = Callable[..., DataFrame]
@@ -35,7 +34,7 @@ READERS: dict[str, Reader] = {
 
 
 def decoded(content: bytes) -> tuple[str | None, str]:
-    """(text, encoding): strict UTF-8, UTF-16 by its mark, then the legacy encoding under which the most characters are letters. Null for what looks binary."""
+    """(text, encoding): strict UTF-8, UTF-16 by its mark, then the legacy encoding under which its characters are the likeliest. Null for what looks binary."""
     if content.startswith(b"\xef\xbb\xbf"):
         content = content[3:]
     for mark, name in MARKS:
@@ -47,16 +46,7 @@ def decoded(content: bytes) -> tuple[str | None, str]:
         pass
     if b"\0" in content:
         return None, "binary"
-    best = None
-    for name in LEGACY:
-        try:
-            text = content.decode(name)
-        except (UnicodeDecodeError, LookupError):
-            continue
-        odd = sum(1 for c in text if not (c.isalnum() or c.isspace() or c in ".,:;!?-'\"()[]{}<>/\\、。「」『』，！？・ー~～"))
-        if best is None or odd < best[0]:
-            best = odd, text, name
-    return (best[1], best[2]) if best else (content.decode("utf-8", "replace"), "utf-8")
+    return legacy(content) or (content.decode("utf-8", "replace"), "utf-8")
 
 
 def texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
