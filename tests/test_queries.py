@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from unitflow.plans import formats, queries  # noqa: F401  formats adds its own
+from unitflow.plans import engine, formats, queries  # noqa: F401  the others add their own
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

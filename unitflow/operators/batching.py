@@ -8,6 +8,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from unitflow.functions import scripts
+
+
+def in_unit_order(df: DataFrame, scene: list[str], location_col: str = "location", name: str = "sort_key") -> DataFrame:
+    """Adds the first sort key of units in a scene; the second is their place in the source. Where all locations of a scene begin alike up to
+    their first digit, they are numbers of one sequence, and the key is theirs; else it is empty, and the source's order stays."""
+    location = F.col(location_col)
+    prefix = F.when(location.rlike("[0-9]"), F.regexp_extract(location, "^[^0-9]*", 0))
+    w = Window.partitionBy(*scene)
+    alike = (F.min(prefix).over(w) == F.max(prefix).over(w)) & (F.count(prefix).over(w) == F.count("*").over(w))
+    return df.withColumn(name, F.when(alike, scripts.natural_key(location)).otherwise(""))
+
 
 def neighbours(df: DataFrame, scene: list[str], order: list[str], *values: str) -> DataFrame:
     """Adds prev_ and next_ of each value within the scene."""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from unitflow.functions.written import shared_dir
-from unitflow.operators import fitting, numbering, prefixes, profiles, store, workspace
+from unitflow.operators import batching, fitting, numbering, prefixes, profiles, store, workspace
 from unitflow.plans.formats import BARE_SQL, LINES_SQL, TREE_SQL, bare, game_files, made
 from unitflow.plans.queries import NUMBERED_SQL, UNITS_SQL, numbered, query, table, units
 from unitflow.sinks import games as game_sink
@@ -216,3 +216,19 @@ def profile_trials(spark, sf_dir):
     found = profiles.detected(files, listed, F.lit("en"))
     rows = [(p.name, p.name in found, profiles.validated(files, p, F.lit("en")).select("path").distinct().count() if p.name in found else None) for p in listed]
     return spark.createDataFrame(rows, "profile string, detected boolean, faulty_files long")
+
+
+@query(UNITS_SQL + """
+, s AS (SELECT doc_id, pos, CASE doc_id % 3 WHEN 0 THEN pos WHEN 1 THEN -pos ELSE -pos END AS place FROM units)
+SELECT doc_id, pos, lag(pos) OVER w AS prev_pos, lead(pos) OVER w AS next_pos FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY place)""")
+def scene_order(spark, sf_dir):
+    """Units read backwards: numbered locations of one sequence are neighbours by number; those of several, or without a number, as they were read."""
+    own = units(spark, sf_dir).select("doc_id", "pos", (-F.col("pos")).alias("ordinal"))
+    kind = F.col("doc_id") % 3
+    location = F.when(kind == 0, F.concat(F.lit("Map/"), "pos", F.lit("/x"))).when(kind == 1, F.concat(F.when(F.col("pos") % 2 == 0, "A").otherwise("B"), "pos")).otherwise(F.lit("name"))
+    # A document of one unit, or of units of one kind alone, has the same neighbours either way only if its order is that of numbers; so two more are added.
+    more = own.select("doc_id").distinct().where("doc_id % 3 = 1").select("doc_id", F.explode(F.array(F.lit(1 << 20).cast("long"), F.lit((1 << 20) + 1).cast("long"))).alias("pos")).withColumn("ordinal", -F.col("pos"))
+    df = batching.in_unit_order(own.unionByName(more).withColumn("location", location), ["doc_id"])
+    out = batching.neighbours(df, ["doc_id"], ["sort_key", "ordinal"], "pos").where(f"pos < {1 << 20}")
+    inside = lambda c: F.when(F.col(c) < (1 << 20), F.col(c)).alias(c)
+    return out.select("doc_id", "pos", inside("prev_pos"), inside("next_pos"))
