@@ -34,11 +34,11 @@ from unitflow.llm.shared import keyed, materialize
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 TOP = 10
 #: Documents of a block, and their terms with repeats.
-BLOCK_DOCS, BLOCK_TERMS = 64, 1 << 16
+BLOCK_DOCS, BLOCK_TERMS = 16, 1 << 16
 #: Text of the queries that go to the executors at once.
 QUERY_BYTES = 1 << 20
 #: Blocks that a task sorts by their bounds at once, and the size of the scored grids it holds of these.
-SORTED_BLOCKS, GRID_BYTES = 256, 64 << 20
+SORTED_BLOCKS, GRID_BYTES = 1024, 64 << 20
 #: Blocks of the highest bounds that give a query its first threshold.
 FIRST_BLOCKS = 4
 LENGTH_PERCENT = 90
