@@ -166,7 +166,7 @@ TOKENS_SQL = r"SELECT DISTINCT unnest(string_split(regexp_replace(text, '\s', '
 
 @query(rf"""
 WITH t AS ({TOKENS_SQL} UNION SELECT event_type FROM events UNION SELECT value::DECIMAL(18,2)::VARCHAR FROM events UNION SELECT unnest(['', 'true', 'null', '1e5', '.5', '5.', '+3', 'NaN', 'inf', '1d', '0x1p3', 'a.png', 'A.JSON', '$gameMap', 'function(x)', 'return 1', 'png', '-', 'TRUE', 'Undefined', 'x$gameVariables', 'b.gif']))
-SELECT token, token = '' OR token IN ('true', 'false', 'null', 'undefined') OR regexp_full_match(token, '(?i)[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)')
+SELECT token, token = '' OR lower(token) IN ('true', 'false', 'null', 'undefined') OR regexp_full_match(token, '(?i)[+-]?(inf(inity)?|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)')
  OR list_contains(['png','jpg','jpeg','ogg','m4a','wav','json','js','css','webm'], lower(string_split(token, '.')[-1]))
  OR contains(token, '$game') OR starts_with(token, 'function') OR contains(token, 'return ') AS machine FROM t""")
 def machine_literal(spark, sf_dir):
