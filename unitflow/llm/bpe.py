@@ -6,7 +6,8 @@ blocks of the text finds the state before each code point, and with it the place
 The resulting slices are merged by rank once each and kept in a bounded cache.
 
 A null text is an empty text and gives no ids. Rows that repeat are encoded each; ids of documents may be
-null. An empty table gives an empty result.
+null. An empty table gives an empty result. Texts of any length are encoded whole, in a chunk of their own where they are longer than one; other
+columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ Jensen-Shannon distance. Texts shorter than a guard are not judged by it. DataFr
 
 A null text has no words and fails the base rule. A language without a list of common words, or a null one,
 is compared with the reference of all such documents by its characters alone. Rows that repeat are judged each; ids may be null;
-an empty table gives an empty result.
+an empty table gives an empty result. Texts of any length are judged whole; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

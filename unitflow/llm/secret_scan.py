@@ -6,7 +6,8 @@ the largest Shannon entropy of a window decides by the class. An allow-list supp
 UUIDs. DataFrame functions only.
 
 A null text is an empty text without spans. Rows that repeat are scanned each; ids may be null; an empty table gives
-an empty result. Offsets are code points, the end is exclusive.
+an empty result. Offsets are code points, the end is exclusive. Texts of any length are scanned whole, in time that grows with their length; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations
