@@ -1,7 +1,9 @@
 """A corpus pipeline: from raw documents to token ids, in five stages.
 
 Each stage takes all documents its predecessor kept, is written as Parquet in the shared folder and read again. All
-but the last return the columns of documents.
+but the last return the columns of documents. A null text is an empty text to the stages and stays null in the rows they keep; rows that repeat are judged each, but for
+near-duplicates, of which one row stays; null ids are kept; empty tables pass through; columns besides id and text are left alone whatever their names, but for
+n_chars, which follows the text. Texts of any length are handled whole.
 """
 
 from __future__ import annotations
