@@ -31,7 +31,7 @@ from unitflow.operators.numbering import sums_before
 MAGIC = b"DACF1\0\0\0"
 RANK_BITS = 512
 MAX_KEPT = 1_500_000
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, LINE_BYTES = 1 << 20, 1 << 14
 #: Text that one task encodes, and packed ids after which it begins another file.
 TASK_BYTES, FILE_BYTES = 32 << 20, 8 << 20
 _SPACED = bytes(32 if c == 10 else c for c in range(256))
@@ -132,6 +132,14 @@ def _ended(part: bytes) -> tuple[bytes, bytes]:
     return word, part[len(word) :]
 
 
+def _is_word(part: bytes) -> bool:
+    """Whether a part is letters of Latin alone, before and after it is lowered: one pre-token."""
+    if part.isascii():
+        return part.isalpha()
+    text = part.decode()
+    return text.isalpha() and max(text) < "\u0250" and text.lower().isalpha()
+
+
 @lru_cache(2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -163,8 +171,22 @@ class Encoder:
         self.kind = "I" if self.width == 4 else "H"
         self.lowers = '"Lowercase"' in json.dumps(json.loads(own.to_str())["normalizer"])
         self.ends = _PARTS_ENDS in json.loads(own.to_str())["pre_tokenizer"].get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
+        suffix = json.loads(own.to_str())["model"].get("end_of_word_suffix")
+        named = [own.id_to_token(i) or "" for i in range(own.get_vocab_size())] if suffix and self.ends else []
+        self.stops = np.array([t.endswith(suffix) for t in named]) if named else None
         self.last = array(self.kind, [end_id]).tobytes()
 
+    def _lines(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of words that are each one pre-token: words are encoded in lines, whose ids are parted after those that end a word."""
+        own, at = _tokenizer(self.vocabulary), list(chunked([len(w) for w in words], LINE_BYTES))
+        for (low, high), e in zip(at, own.encode_batch_fast([b" ".join(words[low:high]).decode() for low, high in at], add_special_tokens=False), strict=True):
+            stops = np.flatnonzero(self.stops[e.ids]) + 1
+            if len(stops) != high - low:  # not so after all
+                yield from (array(self.kind, x.ids).tobytes() for x in own.encode_batch_fast([w.decode() for w in words[low:high]], add_special_tokens=False))
+                continue
+            line, stops = array(self.kind, e.ids).tobytes(), (stops * self.width).tolist()
+            yield from map(line.__getitem__, map(slice, [0, *stops[:-1]], stops))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         own, kept = _tokenizer(self.vocabulary), _kept(self.vocabulary, self.run)
         for low, high in chunked([len(t) for t in texts], CHUNK_CHARS):
@@ -175,7 +197,10 @@ class Encoder:
             new = missing.difference(kept)
             ended = {w: pair for w in new if (pair := _ended(w))[1]} if self.ends else {}
             whole = list((new.difference(ended) | {x for pair in ended.values() for x in pair}).difference(kept))
-            for w, e in zip(whole, own.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False), strict=True):
+            words = [w for w in whole if _is_word(w)] if self.stops is not None else []
+            kept.update(zip(words, self._lines(words), strict=True))
+            rest = [w for w in whole if w not in kept]
+            for w, e in zip(rest, own.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
                 kept[w] = array(self.kind, e.ids).tobytes()
             for w, (word, points) in ended.items():
                 kept[w] = kept[word] + kept[points]
