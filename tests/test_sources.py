@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from unitflow.sinks import render
-from unitflow.sources import lines, tables
+from unitflow.sources import lines, scripts, tables
 from unitflow.streaming import cache
 
 
@@ -69,3 +69,12 @@ def test_streamed_cache(spark, tmp_path):
     cache.compact(spark, f"{tmp_path}/out", f"{tmp_path}/small")
     assert sorted(cache.latest(spark, f"{tmp_path}/small").collect()) == sorted(cache.latest(spark, f"{tmp_path}/out").collect())
     assert cache.latest(spark, f"{tmp_path}/none") is None
+
+
+def test_keys_of_any_length_are_texts(spark):
+    """Spark's own parser gives nothing for an object with a key of more than 50,000 characters."""
+    long = "long key " * 6000
+    text = "{" + f'"{long}": "", "short key": 1, "short key": {{"inner key": 2}}' + "}"
+    df = spark.createDataFrame([(1, text), (2, '["no object"]'), (3, "{broken"), (4, None)], "f int, text string")
+    rows = scripts.json_list_units(df, F.lit("en"), "mtool", "text", "f").orderBy("f", "pos").collect()
+    assert [(r.f, r.pos, r.location, r.original_lines) for r in rows] == [(1, 0, "k000000", [long]), (1, 1, "k000001", ["short key"]), (1, 2, "k000002", ["short key"])]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from unitflow.functions import ids, scripts
 from unitflow.sources.lines import lines
+from unitflow.sources.tables import exploded, json_keys
 
 # First words of lines that hold a quoted string but no dialogue.
 NO_DIALOGUE = ("voice", "play", "queue", "show", "scene", "image", "jump", "call", "pause", "stop", "window", "hide", "with")
@@ -51,10 +52,10 @@ def renpy_units(df: DataFrame, source: Column, text_col: str = "text", *keep: st
 
 
 def json_list_units(df: DataFrame, source: Column, kind: str, text_col: str = "text", *keep: str) -> DataFrame:
-    """Units of three JSON shapes, parsed by Spark: mtool ({text: anything}), paratranz ([{key, original, translation}], open records only) and vnt
-    ([{name, message}], the name as role)."""
+    """Units of three JSON shapes: mtool ({text: anything}), paratranz ([{key, original, translation}], open records only) and vnt ([{name, message}], the
+    name as role). Values are parsed by Spark, keys in Arrow batches: Spark's parser refuses a key of more than 50,000 characters."""
     if kind == "mtool":
-        rows = F.posexplode(F.transform(F.json_object_keys(text_col), lambda k: F.struct(k.alias("value"), F.lit("").alias("role"), F.lit("").alias("done"))))
+        own = exploded(df, text_col, keep, "pos long, value string", json_keys).select(*keep, "pos", "value", F.lit("").alias("role"), F.lit("").alias("done"))
         letter, width = "k", 50
     elif kind == "paratranz":
         parsed = F.from_json(text_col, "array<struct<key:string,original:string,translation:string>>")
@@ -66,7 +67,9 @@ def json_list_units(df: DataFrame, source: Column, kind: str, text_col: str = "t
         letter, width = "m", 40
     else:
         raise ValueError(f"unknown shape {kind!r}")
-    own = df.select(*keep, rows.alias("pos", "r")).select(*keep, F.col("pos").cast("long").alias("pos"), "r.*").where((scripts.trim(F.col("done")) == "") & scripts.needs_translation(F.col("value"), source))
+    if kind != "mtool":
+        own = df.select(*keep, rows.alias("pos", "r")).select(*keep, F.col("pos").cast("long").alias("pos"), "r.*")
+    own = own.where((scripts.trim(F.col("done")) == "") & scripts.needs_translation(F.col("value"), source))
     own = own.withColumn("location", F.format_string(f"{letter}%06d", "pos")).withColumn("context", F.format_string("s%04d", F.floor(F.col("pos") / width))).withColumn("original_lines", F.split("value", "\n"))
     return own.select(*keep, "pos", ids.unit_id(F.lit(kind), F.col("location"), F.col("original_lines")).alias("id"), "location", "context", "role", "original_lines")
 

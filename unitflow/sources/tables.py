@@ -164,6 +164,19 @@ def json_leaves(text: str, slashes: bool = True) -> Iterator[tuple[int, str, str
     return iter(out)
 
 
+def json_keys(text: str) -> Iterator[tuple[int, str]]:
+    """(number, key) of each key of an object, in order, of any length, those that are there twice too; none for what is no object."""
+    try:
+        root = json.loads(text, parse_constant=_refuse, object_pairs_hook=_Pairs)
+    except RecursionError as e:
+        raise ValueError("too deep") from e
+    return enumerate(k for k, _ in root) if isinstance(root, _Pairs) else iter(())
+
+
+class _Pairs(list):
+    """The pairs of an object, told apart from a list."""
+
+
 def json_units(df: DataFrame, source: Column, text_col: str = "text", *keep: str) -> DataFrame:
     """A unit for each string leaf in the source language, at its path; scenes of fifty string leaves. Keys with a slash are passed over."""
     own = exploded(df, text_col, keep, "leaf long, location string, value string, kind string", partial(json_leaves, slashes=False))
