@@ -78,3 +78,11 @@ def test_keys_of_any_length_are_texts(spark):
     df = spark.createDataFrame([(1, text), (2, '["no object"]'), (3, "{broken"), (4, None)], "f int, text string")
     rows = scripts.json_list_units(df, F.lit("en"), "mtool", "text", "f").orderBy("f", "pos").collect()
     assert [(r.f, r.pos, r.location, r.original_lines) for r in rows] == [(1, 0, "k000000", [long]), (1, 1, "k000001", ["short key"]), (1, 2, "k000002", ["short key"])]
+
+
+def test_a_catalogue_without_translations_is_written_like_others(spark):
+    """Every written catalogue ends with a line feed, one without units in the source language too."""
+    files = spark.createDataFrame([(1, 'msgid "Re."\nmsgstr ""'), (2, 'msgid "Hello"\nmsgstr ""'), (3, None)], "f int, text string")
+    own = tables.po_units(files, F.lit("en"), "text", "f").withColumn("translation_lines", F.array(F.lit("x")))
+    out = {r.f: r.text for r in render.rendered(files, own, ["f"], render.po_text, untouched=False).collect()}
+    assert out == {1: 'msgid "Re."\nmsgstr ""\n', 2: 'msgid "Hello"\nmsgstr "x"\n', 3: None}

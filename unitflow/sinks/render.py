@@ -104,9 +104,9 @@ def cues(files: DataFrame, translated: DataFrame, key: list[str], text_col: str
     return df.select(*key, F.when(text.isNotNull(), F.concat(joined, sep)).alias("text"))
 
 
-def rendered(files: DataFrame, translated: DataFrame, key: list[str], render: Callable[[str, dict], str], text_col: str = "text") -> DataFrame:
+def rendered(files: DataFrame, translated: DataFrame, key: list[str], render: Callable[[str, dict], str], text_col: str = "text", untouched: bool = True) -> DataFrame:
     """key and text of each file, put together by a function of the file's text and {location: lines}. translated: key, location and translation_lines.
-    Files without translations stay as they are; a file is one row, whatever the number of its units."""
+    Files without translations stay as they are or, not untouched, are written like the others; a file is one row, whatever the number of its units."""
     own = translated.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("location", "translation_lines"))).alias("__new"))
     df = files.select(*key, F.col(text_col).alias("__text")).join(own, key, "left")
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -114,7 +114,7 @@ def rendered(files: DataFrame, translated: DataFrame, key: list[str], render: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, new = batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist()
-            out = [t if t is None or not n else render(t, dict(n)) for t, n in zip(texts, new, strict=True)]
+            out = [t if t is None or untouched and not n else render(t, dict(n or ())) for t, n in zip(texts, new, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(out, pa.string())], names=[*key, "text"])
 
     return df.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), "text string"]))
