@@ -86,3 +86,21 @@ def test_a_catalogue_without_translations_is_written_like_others(spark):
     own = tables.po_units(files, F.lit("en"), "text", "f").withColumn("translation_lines", F.array(F.lit("x")))
     out = {r.f: r.text for r in render.rendered(files, own, ["f"], render.po_text, untouched=False).collect()}
     assert out == {1: 'msgid "Re."\nmsgstr ""\n', 2: 'msgid "Hello"\nmsgstr "x"\n', 3: None}
+
+
+def test_rows_of_a_batch_are_handed_on_in_pieces(spark):
+    """A worker never holds the parsed rows of all texts of a batch."""
+
+    class Held(str):
+        n = 0
+
+        def __init__(self, _):
+            Held.n += 1
+
+        def __del__(self):
+            Held.n -= 1
+
+    df = spark.range(6000, numPartitions=1).select("id", F.lit("x").alias("text"))
+    out = tables.exploded(df, "text", ("id",), "held long, value string", lambda t: [(Held.n, Held(t)) for _ in range(10)])
+    assert out.agg(F.max("held"), F.count("*"), F.count_distinct("id")).first()[1:] == (60000, 6000)
+    assert out.agg(F.max("held")).first()[0] < 2 * tables.OUT_ROWS

@@ -10,15 +10,15 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from unitflow.functions import batches
 from unitflow.operators import fitting
 from unitflow.sources.games import CHOICES, DATABASE, FIELDS, OPEN, SCROLL, TEXT
 
 _EDITS = "array<struct<location:string,domain:string,lines:array<string>>>"
-_OUT = "struct<text:string,reason:string>"
 
 
 def _shape(value):
@@ -68,11 +68,12 @@ def anchor(name: str, text: str | None) -> str | None:
 def anchors(files: DataFrame, *keep: str, name_col: str = "name", text_col: str = "text") -> DataFrame:
     """keep, name and anchor of each file."""
 
-    @F.pandas_udf("string")
-    def run(names: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([anchor(n, t) for n, t in zip(names, texts, strict=True)], dtype=object)
+    own = files.select(*keep, F.col(name_col).alias("name"), F.col(text_col).alias("__text"))
+    return _anchored(own, "__text", "anchor").drop("__text")
 
-    return files.select(*keep, F.col(name_col).alias("name"), run(F.col(name_col), F.col(text_col)).alias("anchor"))
+
+def _anchored(files: DataFrame, text_col: str, column: str) -> DataFrame:
+    return batches.added(files, ["name", text_col], {column: ("string", pa.string())}, lambda name, text: (anchor(name, text),))
 
 
 class _Refused(ValueError):
@@ -169,16 +170,14 @@ def game_files(files: DataFrame, done: DataFrame, stored: DataFrame, rules: list
     rules_ = fitting.ordered(rules or [])
     key = [*keep, "name"]
 
-    @F.pandas_udf(_OUT)
-    def run(names: pd.Series, texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        out = [(t, None) if e is None else write_file(n, t, e, rules_) for n, t, e in zip(names, texts, edits, strict=True)]
-        return pd.DataFrame(out, columns=["text", "reason"])
+    def one(name: str, text: str, edits: list | None) -> tuple[str, str | None]:
+        return (None, None) if edits is None else write_file(name, text, edits, rules_)
 
-    own = files.select(*keep, F.col(name_col).alias("name"), F.col(text_col).alias("text"))
-    now = anchors(own, *keep).withColumnRenamed("anchor", "now")
+    own = _anchored(files.select(*keep, F.col(name_col).alias("name"), F.col(text_col).alias("text")), "text", "now")
     edits = done.select(*keep, F.substring_index("location", "/", 1).alias("name"), F.struct("location", "domain", "lines").alias("edit"))
     edits = edits.groupBy(*key).agg(F.sort_array(F.collect_list("edit")).cast(_EDITS).alias("edits"))
-    joined = own.join(now, key).join(stored.select(*key, "anchor"), key, "left").join(edits, key, "left")
+    joined = own.join(stored.select(*key, "anchor"), key, "left").join(edits, key, "left")
     why = F.when(F.col("anchor").isNull(), "no anchor is stored").when(~F.col("now").eqNullSafe(F.col("anchor")), "the structure has changed")
-    joined = joined.withColumn("why", why).withColumn("made", run(F.col("name"), F.col("text"), F.when(F.col("why").isNull(), F.col("edits"))))
-    return joined.select(*key, F.coalesce("made.text", "text").alias("text"), F.coalesce("why", "made.reason").alias("reason"))
+    joined = joined.withColumn("why", why).withColumn("edits", F.when(F.col("why").isNull(), F.col("edits"))).drop("now", "anchor")
+    made = batches.added(joined, ["name", "text", "edits"], {"made": ("string", pa.string()), "reason": ("string", pa.string())}, one)
+    return made.select(*key, F.coalesce("made", "text").alias("text"), F.coalesce("why", "reason").alias("reason"))

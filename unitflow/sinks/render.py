@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from unitflow.functions import batches
 from unitflow.sources.lines import lines as source_lines
 from unitflow.sources.tables import csv_spans, po_entries
 
@@ -109,15 +110,11 @@ def rendered(files: DataFrame, translated: DataFrame, key: list[str], render: Ca
     Files without translations stay as they are or, not untouched, are written like the others; a file is one row, whatever the number of its units."""
     own = translated.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("location", "translation_lines"))).alias("__new"))
     df = files.select(*key, F.col(text_col).alias("__text")).join(own, key, "left")
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, new = batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist()
-            out = [t if t is None or untouched and not n else render(t, dict(n or ())) for t, n in zip(texts, new, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(key))), pa.array(out, pa.string())], names=[*key, "text"])
+    def one(text: str | None, new: list | None) -> tuple[str | None]:
+        return (text if text is None or untouched and not new else render(text, dict(new or ())),)
 
-    return df.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in key), "text string"]))
+    return batches.added(df, ["__text", "__new"], {"text": ("string", pa.string())}, one).select(*key, "text")
 
 
 def po_text(text: str, new: dict[str, list[str]]) -> str:

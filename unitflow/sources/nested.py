@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.functions import ids, prose, scripts
+from unitflow.functions import batches, ids, prose, scripts
 from unitflow.sources.tables import exploded
 
 MAX_OPENED = 16
@@ -109,16 +109,13 @@ def nested_units(df: DataFrame, source: Column, text_col: str = "text", *keep: s
 def written_back(files: DataFrame, done: DataFrame, *key: str, text_col: str = "text") -> DataFrame:
     """key, text and reason of each file: with all its translations (key, location, translation), or as it was and why."""
 
-    @F.pandas_udf("struct<text:string,reason:string>")
-    def run(texts: pd.Series, edits: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, own in zip(texts, edits, strict=True):
-            try:
-                rows.append((text if own is None else with_texts(text, dict(own)), None))
-            except ValueError as e:
-                rows.append((text, str(e)))
-        return pd.DataFrame(rows, columns=["text", "reason"])
-
-    edits = done.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("location", "translation"))).alias("edits"))
-    out = files.join(edits, list(key), "left").withColumn("made", run(F.col(text_col), F.col("edits")))
-    return out.select(*key, F.col("made.text").alias("text"), F.col("made.reason").alias("reason"))
+    def one(text: str | None, edits: list | None) -> tuple[str | None, str | None]:
+        try:
+            return text if edits is None else with_texts(text, dict(edits)), None
+        except ValueError as e:
+            return text, str(e)
+
+    edits = done.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("location", "translation"))).alias("__edits"))
+    df = files.select(*key, F.col(text_col).alias("__text")).join(edits, list(key), "left")
+    out = batches.added(df, ["__text", "__edits"], {"text": ("string", pa.string()), "reason": ("string", pa.string())}, one)
+    return out.select(*key, "text", "reason")

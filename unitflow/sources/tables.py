@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from unitflow.functions import ids, scripts
 
 MAX_DEPTH = 128
+#: How much text, or how many rows, a task's worker gathers before it hands on what it has parsed.
+OUT_CHARS, OUT_ROWS = 1 << 20, 1 << 12
 
 
 def exploded(df: DataFrame, text_col: str, keep: tuple[str, ...], schema: str, parse: Callable[[str], Iterator[tuple]]) -> DataFrame:
@@ -29,18 +31,27 @@ def exploded(df: DataFrame, text_col: str, keep: tuple[str, ...], schema: str, p
     kinds = {"long": pa.int64(), "string": pa.string()}
     arrow = [kinds[c.strip().split(" ")[1]] for c in schema.split(",")]
 
+    def packed(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=[*keep, *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for k, text in enumerate(batch.column(len(keep)).to_pylist()):
+            at, rows, size = [], [], 0
+            for k in range(batch.num_rows):
+                text = batch.column(len(keep))[k].as_py() or ""
                 try:
-                    found = list(parse(text or ""))
+                    found = list(parse(text))
                 except ValueError:
                     continue
                 at += [k] * len(found)
                 rows += found
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], names=[*keep, *names])
+                size += len(text)
+                if size >= OUT_CHARS or len(rows) >= OUT_ROWS:  # rows of a few texts at a time, not of a whole batch
+                    yield packed(batch, at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield packed(batch, at, rows)
 
     return own.mapInArrow(run, whole)
 
