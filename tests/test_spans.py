@@ -98,3 +98,10 @@ def test_refusals(spark):
     assert {r.reason for r in spans.edited(moved, good).collect() if r.file != "g.bin"} == {"the file has changed"}
     lone = spans.resolved(good.withColumn("file", F.lit("nowhere")), files).select("reason").distinct().collect()
     assert [r.reason for r in lone] == ["no such file"]
+
+
+def test_edits_shuffle_files_once(spark):
+    """Spans are found and checked where a file's row lies: no plan of a write holds more than the join of files with their edits."""
+    files = spark.createDataFrame(FILES, "file string, text string")
+    plan = spans.edited(files, edits_of(files, lambda x: F.concat(x, F.lit("!"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("MapInArrow") == 2

@@ -25,7 +25,10 @@ def machine_key(key: Column) -> Column:
 
 def human_text(text: Column) -> Column:
     """Whether a value reads like text: it has letters, is no number, address, path, code, hexadecimal string or name of a program's own."""
-    t = scripts.trim(text)
+    return scripts.let(scripts.trim(text), _human)
+
+
+def _human(t: Column) -> Column:
     number = t.rlike(r"(?i)^[+-]?(?:inf(?:inity)?|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$")
     code = t.rlike(r"://|@|[\\/{}`<>]|=>|==|^(?:www\.|[/\\.$%])")
     control = t.rlike(r"[\p{Cc}&&[^\n\r\t]]")

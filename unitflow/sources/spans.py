@@ -4,24 +4,27 @@ A file is JSON, XML, settings (INI, TOML or a flat YAML) or prose, by the first
 have no spans. Scanners run in Arrow batches and give each string with its bytes, its style (how it is written) and its path; which of them are for people is
 told by Spark expressions. A span's anchor is its file, the hash of the file, its bytes and its style.
 
-Writing joins anchors with fresh spans of the files as they are: an anchor that no longer meets its own span is refused. Edits of a file that
-do not overlap are woven into its bytes, the new file is scanned again, and its spans must be the old ones with the new texts; else the file stays as
-it was. Bytes outside the edits never change.
+Writing gathers edits by file and joins them with the files as they are: a file is scanned where its row lies, and an anchor that no longer meets its own span
+is refused. Edits of a file that do not overlap are woven into its bytes, the new file is scanned again, and its spans must be the old ones with the new
+texts; else the file stays as it was. Bytes outside the edits never change. No span is shuffled, but those that are edited.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
 import re
 import tomllib
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.functions import ids, prose, scripts
+from unitflow.functions import batches, ids, prose, scripts
+from unitflow.sources.tables import exploded
 
 MAX_DEPTH = 128
 JSON, XML, DOUBLE, SINGLE, SINGLE_YAML, BARE_YAML, BARE_INI, PROSE = "json", "xml", "double", "single", "single_yaml", "bare_yaml", "bare_ini", "prose"
@@ -31,7 +34,6 @@ CODE = (
     "fn ", "function ", "def ", "class ", "import ", "from ", "use ", "return ", "let ", "const ", "var ", "if ", "else", "while ", "for ", "print(", "console.", "//", "/*", "--", "#!",
     "echo ", "printf ", "select ", "insert ", "update ", "delete ", "write-host ", "export ", "set ", "call ", "rem ",
 )
-_HIT = "struct<format:string,spans:array<struct<start:long,end:long,style:string,path:string,text:string>>>"
 Span = tuple[int, int, str, str, str]
 
 _TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*"|[{}\[\],:]', re.S)
@@ -63,12 +65,17 @@ def json_spans(data: bytes) -> list[Span] | None:
             else:
                 stack[-1][1] += 1
         elif stack[-1][2]:
-            stack[-1][1] = json.loads(token)
+            stack[-1][1] = _plain(token)
         else:
-            out.append((m.start(), m.end(), JSON, "/".join(str(s[1]) for s in stack), json.loads(token)))
+            out.append((m.start(), m.end(), JSON, "/".join([str(s[1]) for s in stack]), _plain(token)))
     return out
 
 
+def _plain(token: bytes) -> str:
+    """What a string of JSON holds."""
+    return json.loads(token) if b"\\" in token else token[1:-1].decode()
+
+
 def _refuse(name: str):
     raise ValueError(name)
 
@@ -250,14 +257,14 @@ def scan(text: str | None, name: str = "") -> tuple[str | None, list[Span]]:
 def spans(files: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """file, hash, format, nth (from 0 in a file), start, end (bytes), style, path and text of all strings of the files, machine keys' and all."""
 
-    @F.pandas_udf(_HIT)
-    def run(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-        found = [scan(t, str(n or "")) for t, n in zip(texts, names, strict=True)]
-        return pd.DataFrame({"format": [f for f, _ in found], "spans": [[dict(zip(("start", "end", "style", "path", "text"), s, strict=True)) for s in own] for _, own in found]})
+    def parse(named: str) -> Iterator[tuple]:
+        name, text = named.split("\0", 1)
+        kind, found = scan(text, name)
+        return ((kind, k, *s) for k, s in enumerate(found))
 
-    df = files.select(F.col(file_col).alias("file"), F.sha2(text_col, 256).alias("hash"), run(F.col(text_col), F.col(file_col).cast("string")).alias("hit"))
-    df = df.select("file", "hash", "hit.format", F.posexplode("hit.spans").alias("nth", "s"))
-    return df.select("file", "hash", "format", "nth", "s.start", "s.end", "s.style", "s.path", "s.text")
+    named = F.concat(F.coalesce(F.col(file_col).cast("string"), F.lit("")), F.lit("\0"), F.coalesce(text_col, F.lit("")))
+    df = files.select(F.col(file_col).alias("file"), F.sha2(text_col, 256).alias("hash"), named.alias("__named"))
+    return exploded(df, "__named", ("file", "hash"), "format string, nth long, start long, end long, style string, path string, text string", parse)
 
 
 def for_people() -> Column:
@@ -299,34 +306,49 @@ def literal(text: Column, style: Column) -> Column:
 def edited(files: DataFrame, edits: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
     """file, text and reason: each file with its edits (file, hash, start, end, style, translation), or as it was, with why. Files without
     edits stay, byte for byte. All of a file's edits are made, or none."""
-    files = files.select(F.col(file_col).alias("file"), F.col(text_col).alias("text"))
-    fresh = spans(files)
-    checked = resolved(edits.dropDuplicates(["file", "start", "end", "translation"]), files, fresh)
-    checked = checked.withColumn("literal", literal(F.col("translation"), F.col("style")))
-    one = F.struct("start", "end", "literal", F.coalesce("reason", F.when(F.col("literal").isNull(), "not to be written so")).alias("reason"), "translation")
-    per_file = checked.groupBy("file").agg(F.sort_array(F.collect_list(one)).alias("edits"))
-    overlap = F.exists(F.zip_with("edits", F.slice("edits", F.lit(2), F.size("edits")), lambda a, b: a["end"] > b["start"]), lambda x: F.coalesce(x, F.lit(False)))
-    first = F.coalesce(F.get(F.filter(F.transform("edits", lambda e: e["reason"]), lambda r: r.isNotNull()), F.lit(0)), F.when(overlap, "edits overlap"))
-    data = F.col("text").cast("binary")
-    upto = lambda i: F.coalesce(F.get(F.col("edits.end"), i - 1), F.lit(0)).cast("int")
-    piece = lambda start, n: F.substring(data, start + 1, n).cast("string")
-    woven = F.concat(F.array_join(F.transform("edits", lambda e, i: F.concat(piece(upto(i), e["start"].cast("int") - upto(i)), e["literal"])), ""), piece(F.element_at("edits", -1)["end"].cast("int"), F.octet_length("text")))
-    new = files.join(per_file, "file").select("file", "text", "edits", first.alias("reason"))
-    new = new.withColumn("made", F.when(F.col("reason").isNull(), woven))
+    one = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), literal(F.col("translation"), F.col("style")).alias("literal"), "style", "hash", "translation")
+    per_file = edits.groupBy("file").agg(F.sort_array(F.collect_set(one)).alias("__edits"))
+    own = files.select(F.col(file_col).alias("file"), F.col(text_col).alias("__text")).join(per_file, "file", "left").withColumn("__name", F.col("file").cast("string"))
+    out = batches.added(own, ["__text", "__edits", "__name"], {"text": ("string", pa.string()), "reason": ("string", pa.string())}, rewritten)
+    return out.select("file", "text", "reason")
+
+
+def rewritten(text: str | None, edits: list[dict] | None, name: str | None = "") -> tuple[str | None, str | None]:
+    """A file's text with its edits, sorted by their place, and no reason, or as it was and why."""
+    if not edits:
+        return text, None
+    if text is None:
+        return text, "no such file"
+    data = text.encode()
+    now = hashlib.sha256(data).hexdigest()
+    kind, old = scan(text, name or "")
+    styles = {(start, end): style for start, end, style, _, _ in old}
+    for e in edits:
+        if e["hash"] is not None and e["hash"] != now:
+            return text, "the file has changed"
+        if (found := styles.get((e["start"], e["end"]))) is None:
+            return text, "no span at these bytes"
+        if e["style"] is not None and e["style"] != found:
+            return text, "another style"
+        if e["literal"] is None:
+            return text, "not to be written so"
+    if any(a["end"] > b["start"] for a, b in itertools.pairwise(edits)):
+        return text, "edits overlap"
+    edges = [0, *(x for e in edits for x in (e["start"], e["end"])), len(data)]
+    kept = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    made = b"".join(x for pair in zip(kept, [*(e["literal"].encode() for e in edits), b""], strict=True) for x in pair).decode()
     # The new file's spans are the old ones, with the new texts.
-    was = fresh.join(checked.select("file", "start", "end", "translation"), ["file", "start", "end"], "left").select("file", "nth", F.struct("format", "style", "path").alias("was"), F.coalesce("translation", "text").alias("text"))
-    again = spans(new.where("reason is null").select("file", F.col("made").alias("text")))
-    now = again.select("file", "nth", F.struct("format", _style_class(F.col("style")).alias("style"), "path").alias("now"), F.col("text").alias("text_now"))
-    was = was.withColumn("was", F.struct("was.format", _style_class(F.col("was.style")).alias("style"), "was.path")).join(new.where("reason is null").select("file"), "file", "left_semi")
-    broken = was.join(now, ["file", "nth"], "full").where(~F.col("was").eqNullSafe(F.col("now")) | ~F.col("text").eqNullSafe(F.col("text_now"))).select("file").distinct().withColumn("broken", F.lit("the structure has changed"))
-    out = files.join(new.select("file", "made", "reason", F.lit(True).alias("has")), "file", "left").join(broken, "file", "left")
-    reason = F.coalesce("reason", "broken")
-    return out.select("file", F.when(F.col("has") & reason.isNull(), F.col("made")).otherwise(F.col("text")).alias("text"), reason.alias("reason"))
+    new = {(e["start"], e["end"]): e["translation"] for e in edits}
+    wanted = [(_style_class(style), path, new.get((start, end), own)) for start, end, style, path, own in old]
+    again, fresh = scan(made, name or "")
+    if again != kind or [(_style_class(style), path, own) for _, _, style, path, own in fresh] != wanted:
+        return text, "the structure has changed"
+    return made, None
 
 
-def _style_class(style: Column) -> Column:
+def _style_class(style: str) -> str:
     """Styles of settings count as one: a value may need quotation marks once it is translated."""
-    return F.when(style.isin(JSON, XML, PROSE), style).otherwise("value")
+    return style if style in (JSON, XML, PROSE) else "value"
 
 
 def coverage(files: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
