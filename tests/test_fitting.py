@@ -134,3 +134,12 @@ def test_column_equals_plain_python(spark):
         assert got[k].fit.reflowed == (lines is not None and want[0] != lines)
     totals = fitting.overflow_counts(fitting.fitted(df, rules, F.col("n"))).collect()
     assert sum(r.units for r in totals) == len(rows) and sum(r.overflow_lines for r in totals) == sum(r.fit.overflow_lines for r in got.values())
+
+
+def test_a_text_without_controls_is_its_own_tokens():
+    """Only texts with controls are taken apart sign by sign; widths and breaks are the same either way."""
+    plain, with_control = (fitting._Fitter(fitting.Rule(control=c, width=8)) for c in ("", r"\\[A-Z]"))
+    text = "One two, three 字字字 four."
+    assert plain.tokens(text)[1] is text and with_control.tokens(text)[1] is text
+    assert with_control.tokens("a\\C")[1] == ["a", ""] and with_control.width("a\\C字") == 3
+    assert plain.reflowed(text, 4, 8) == with_control.reflowed(text, 4, 8) and "".join(plain.reflowed(text, 4, 8)) == text
