@@ -119,3 +119,18 @@ def test_accepted(spark):
     got = {r.i: (r.fault, r.lines) for r in review.accepted(df, F.lit("en"), F.lit("zh")).collect()}
     assert [got[i][0] for i in range(4)] == [f for _, _, f in rows[:4]]
     assert got[0][1] == ["{name} \\C[1]你好"] and re.fullmatch(r"\s*", got[3][1][0])
+
+
+def test_lines_without_literals_need_no_worker(spark):
+    rows = spark.createDataFrame([(1, ["plain", "text"]), (2, ["50%% \\C[1]", "x"]), (3, None), (4, [])], "k int, x array<string>")
+    out = {r.k: r.m for r in rows.select("k", masks.masked(F.col("x")).alias("m")).collect()}
+    assert out[1].masked == out[1].visible == ["plain", "text"] and out[1].literals == []
+    assert out[2].literals == ["%%", "\\C[1]"] and out[2].masked == ["50[CTRL_0] [CTRL_1]", "x"]
+    assert out[4].literals == [] and (out[3] is None or out[3].masked is None)
+
+
+def test_breaks_go_as_before(spark):
+    cases = ["你\n好", "a\nb", "a \nb", "a\n b", "a\n\nb", "a\n\n b", "\n b", "a \n\n\nb", "你\n\n好", "\na", "a\n"]
+    old = F.regexp_replace(F.regexp_replace(F.col("s"), rf"(?<={quality.WIDE})\n(?={quality.WIDE})", ""), rf"(?U)(?<={quality.BLANK})\n+|(?<![\n])\n(?={quality.BLANK})", "")
+    df = spark.createDataFrame([(c,) for c in cases], "s string").select(quality.joined(F.col("s")).alias("a"), F.regexp_replace(old, r"\n+", " ").alias("b"))
+    assert all(r.a == r.b for r in df.collect())

@@ -25,8 +25,9 @@ def structure_error(item_type: Column, original: Column, translated: Column) ->
 def with_masks(df: DataFrame, rules: tuple[str, ...] = masks.CORE) -> DataFrame:
     """Adds own and done, the masks of original_lines and lines, and lost and lost_core, the literals that lines lack."""
     df = df.select("*", masks.masked(F.col("original_lines"), rules).alias("own"), masks.masked(F.col("lines"), rules).alias("done"))
-    core = F.col("own") if rules == masks.CORE else masks.masked(F.col("original_lines"))
-    df = df.select("*", core["literals"].alias("core"))
+    if rules == masks.CORE:
+        return df.select("*", masks.lost("lines", F.col("own.literals")).alias("lost")).select("*", F.col("lost").alias("lost_core"))
+    df = df.select("*", masks.masked(F.col("original_lines"))["literals"].alias("core"))
     return df.select("*", masks.lost("lines", F.col("own.literals")).alias("lost"), masks.lost("lines", F.col("core")).alias("lost_core")).drop("core")
 
 
