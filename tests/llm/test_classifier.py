@@ -46,6 +46,20 @@ def test_long_texts_are_fitted_whole(spark):
     assert seen > unseen + 1
 
 
+def test_all_trusted_documents_are_fitted_on(spark):
+    """Texts of any of 6,000 trusted documents that are not held out are known to the model, in unlabelled copies too; and all toxic ones to the other."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some "), F.col("id") % 7, F.lit(" own"), "id").alias("text"))
+    bad = spark.range(20_000, 26_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("bad"), "id").alias("text"))
+    docs = rows.unionByName(rows.withColumn("doc_id", F.col("doc_id") + 10_000)).unionByName(bad)
+    labels = rows.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).unionByName(bad.select("doc_id", F.lit(0).alias("quality"), F.lit(1).alias("toxic")))
+    held = F.pmod(F.hash(F.pmod("doc_id", F.lit(10_000))), F.lit(quality_classifier.HELD_OUT)) == 0
+    got = quality_classifier.classify(docs, labels).where("doc_id < 16000").select(held.alias("held"), "perplexity").groupBy("held").agg(F.min("perplexity").alias("least"), F.max("perplexity").alias("most"), F.count("*").alias("n")).collect()
+    of = {r.held: r for r in got}
+    assert of[False].most < of[True].least and of[False].n + of[True].n == 12_000
+    _, scores, _ = quality_classifier._judge(docs, labels, "doc_id", "text", quality_classifier.MAX_TRUSTED_DOCS, quality_classifier.QUANTILE)
+    assert scores.scored.where("doc_id >= 20000").agg(F.count_distinct(F.round("worst", 6))).first()[0] == 1
+
+
 def test_limits_and_verdicts_by_brute_force(spark):
     """The limit of each language and the verdict of each document, from the fitted model's scores alone: the least score that the quantile's share of the
     held-out trusted documents does not exceed. With a very long text, rows that repeat, ties, nulls, and extra columns with names of the result."""
