@@ -48,6 +48,14 @@ def test_changes_are_whole(spark, ws):
         ws.table("units", 9)
 
 
+def test_ids_that_are_locations_are_grouped_once_and_versions_are_packed(spark, ws):
+    units = units_of(spark, {1: "one", 2: "two", 3: "three"}).withColumn("id", F.when(F.col("id") == "u3", "L2").otherwise(F.col("location")))
+    workspace.replace_units(ws, units, "one")  # L1 twice itself; L2 a location, and the id of what lies at L3
+    got = {r.id: (r.unit_id, r.fault) for r in workspace.judged(records_of(spark, [("L1", "one", ["x"]), ("L2", "two", ["y"]), ("L3", "three", []), ("L9", "", [])]), ws.table("units")).collect()}
+    assert got["L1"] == ("L1", None) and got["L9"] == (None, "unknown id") and got["L2"][0] == "L2" and got["L2"][1] == got["L3"][1] == "more than one record"
+    assert all(".zstd." in f for f in ws.table("units").inputFiles())
+
+
 def test_a_failed_write_changes_nothing(spark, ws):
     workspace.replace_units(ws, units_of(spark, {1: "x y z"}), "one")
     broken = units_of(spark, {2: "new"}).withColumn("id", F.raise_error(F.lit("killed")).cast("string"))

@@ -77,7 +77,7 @@ class Workspace:
         folders = {}
         for name, df in changes.items():
             folders[name] = f"data/{name}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.path}/{folders[name]}")
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{folders[name]}")
         body = json.dumps({"tables": before["tables"] | folders, "facts": before["facts"] | (facts or {})}, sort_keys=True)
         return self._publish(before["version"] + 1, body)
 
@@ -141,7 +141,8 @@ def judged(records: DataFrame, units: DataFrame) -> DataFrame:
     own = ["id", "location", "item_type", "source_hash", "original_lines"]
     unit = F.struct(*own)
     by_location = units.groupBy(F.col("location").alias("__place")).agg(F.max_by(unit, F.col("id")).alias("here"))
-    by_id = units.groupBy(F.col("id").alias("__place")).agg(F.max_by(unit, F.col("location")).alias("named"))
+    # a unit whose id is its location is found by that, or another in its place is
+    by_id = units.where(~F.col("id").eqNullSafe(F.col("location"))).groupBy(F.col("id").alias("__place")).agg(F.max_by(unit, F.col("location")).alias("named"))
     df = records.join(by_location, records["id"] == F.col("__place"), "left").drop("__place").join(by_id, records["id"] == F.col("__place"), "left").drop("__place")
     df = df.withColumn("unit", F.coalesce("here", "named")).drop("here", "named")
     seen = df.where("unit is not null").groupBy(F.col("unit.id").alias("unit_id")).agg(F.count("*").alias("n"))
