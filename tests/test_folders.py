@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from unitflow.operators import profiles
 from unitflow.sources import files, folders
 
 MESSAGE = {"events": [None, {"id": 2, "pages": [{"list": [{"code": 101, "parameters": ["", 0, 0, 2, "Ann"]}, {"code": 401, "parameters": ["Hello from the game"]}]}]}]}
@@ -78,3 +79,10 @@ def test_a_format_reads_its_own_files_alone(spark, folder):
     direct = files.read_units(spark, f"{folder}/a", "en", "txt").select("id").collect()
     assert sorted(direct) == sorted(folders.units_of(claims, "en", "txt").where(F.col("path").contains("/a/")).select("id").collect())
     assert folders.read_folder(spark, folder, "en", "nothing").collect() == []
+
+
+def test_digests_of_lists_tell_them_apart(spark):
+    """What a profile's trial compares in place of texts."""
+    rows = [(["a", "b"],), (["a,b"],), ([None, "a"],), (["a"],), (["-"],), ([None],), ([],), ([""],), (None,)]
+    got = [r.d for r in spark.createDataFrame(rows, "x array<string>").select(profiles._digest(F.col("x")).alias("d")).collect()]
+    assert len(set(got)) == len(rows) and got[-1] is None

@@ -54,17 +54,22 @@ def detected(files: DataFrame, profiles: list[Profile], source: Column) -> list[
     return found
 
 
+def _digest(texts: Column) -> Column:
+    """Stands for lists of texts where they are compared, so that only digests are shuffled; each text's own ends with a sign for null."""
+    return F.sha2(F.array_join(F.transform(texts, lambda x: F.coalesce(F.sha2(x, 256), F.lit("-"))), ","), 256)
+
+
 def validated(files: DataFrame, profile: Profile, source: Column) -> DataFrame:
     """path and fault of each file that a profile does not give back: bytes changed by a write without translations, a unit that is lost or moved, or a
     mark that is not in its place. A profile is valid if there are none."""
     own = profile.reader(files, source)
     empty = profile.writer(files, own.withColumn("translation_lines", F.col("original_lines")).limit(0))
-    same = files.select("path", "text").join(empty.select("path", F.col("text").alias("new")), "path", "left")
-    changed = same.where(~F.col("text").eqNullSafe(F.col("new"))).select("path", F.lit("a write without translations changes it").alias("fault"))
+    same = files.select("path", F.sha2("text", 256).alias("was")).join(empty.select("path", F.sha2("text", 256).alias("new")), "path", "left")
+    changed = same.where(~F.col("was").eqNullSafe(F.col("new"))).select("path", F.lit("a write without translations changes it").alias("fault"))
     marked = F.transform("original_lines", lambda x: F.concat(F.lit(MARKS[0]), x, F.lit(MARKS[1])))
     out = profile.writer(files, own.withColumn("translation_lines", marked))
-    again = profile.reader(out.select("path", "text"), source).select("path", "location", F.col("original_lines").alias("now"))
-    both = own.select("path", "location", marked.alias("wanted")).join(again, ["path", "location"], "full")
+    again = profile.reader(out.select("path", "text"), source).select("path", "location", _digest(F.col("original_lines")).alias("now"))
+    both = own.select("path", "location", _digest(marked).alias("wanted")).join(again, ["path", "location"], "full")
     moved = both.where(~F.col("wanted").eqNullSafe(F.col("now"))).select("path").distinct().select("path", F.lit("a translation is not in its place").alias("fault"))
     return changed.unionByName(moved)
 
